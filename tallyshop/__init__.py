@@ -1,7 +1,13 @@
 """Retail analytics on Spark: typed tables, reusable operators and 65 reports."""
 
 from tallyshop.schema import SCHEMAS, RetailTables
-from tallyshop.sources import load_retail, read_table, read_tables, write_tables
+from tallyshop.sources import (
+    load_retail,
+    read_table,
+    read_tables,
+    save_bucketed,
+    write_tables,
+)
 
 __all__ = [
     "SCHEMAS",
@@ -9,5 +15,6 @@ __all__ = [
     "load_retail",
     "read_table",
     "read_tables",
+    "save_bucketed",
     "write_tables",
 ]

@@ -1,4 +1,10 @@
-from tallyshop.operators.facts import item_totals, order_totals, product_totals, valid_lines
+from tallyshop.operators.facts import (
+    item_totals,
+    order_totals,
+    product_totals,
+    save_item_totals,
+    valid_lines,
+)
 from tallyshop.operators.lookup import fits_broadcast, lookup
 from tallyshop.operators.ordering import global_row_number, ntile_global, rank_within, top_n
 from tallyshop.operators.periods import growth_pct, running_total
@@ -30,6 +36,7 @@ __all__ = [
     "product_totals",
     "rank_within",
     "running_total",
+    "save_item_totals",
     "segment_by_count",
     "status_pivot",
     "team_rollup",

@@ -33,6 +33,8 @@ def is_shipped() -> Column:
 
 def item_totals(t: RetailTables) -> DataFrame:
     """One row per order that has lines: ``revenue``, ``units``, ``n_lines``."""
+    if t.item_totals is not None:
+        return t.item_totals
     return t.order_items.groupBy("order_id").agg(
         F.sum(line_revenue()).alias("revenue"),
         F.sum("quantity").alias("units"),
@@ -50,9 +52,21 @@ def order_totals(t: RetailTables, keep_empty: bool = False) -> DataFrame:
     return t.orders.where(is_valid()).join(item_totals(t), "order_id", how)
 
 
-def valid_lines(t: RetailTables) -> DataFrame:
-    """Lines of valid orders with the columns of their order."""
-    return t.order_items.join(t.orders.where(is_valid()), "order_id")
+def save_item_totals(t: RetailTables, path: str) -> RetailTables:
+    """Write the totals per order once, for a series of reports.
+
+    About two thirds of the reports start from these totals. With the returned
+    tables they read one narrow row per order instead of all lines.
+    """
+    item_totals(t).write.mode("overwrite").parquet(path)
+    return t.with_item_totals(t.spark.read.parquet(path))
+
+
+def valid_lines(t: RetailTables, lines: DataFrame | None = None) -> DataFrame:
+    """Lines of valid orders with the columns of their order. ``lines`` may be
+    the order lines with columns added."""
+    lines = t.order_items if lines is None else lines
+    return lines.join(t.orders.where(is_valid()), "order_id")
 
 
 def product_totals(t: RetailTables) -> DataFrame:

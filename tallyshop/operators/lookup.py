@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyshop.session import input_bytes
-
-_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-
-
-def _bytes(setting: str) -> int:
-    number, unit = re.fullmatch(r"(-?\d+)\s*([bkmgt]?)b?", setting.strip().lower()).groups()
-    return int(number) * _UNITS[unit]
+from tallyshop.session import input_bytes, parse_bytes
 
 
 def fits_broadcast(dim: DataFrame) -> bool:
@@ -25,12 +16,12 @@ def fits_broadcast(dim: DataFrame) -> bool:
     would refuse a dimension that is itself a lookup in a smaller one. The bytes
     of the inputs bound such a dimension: it has no more rows than its first input.
     """
-    limit = _bytes(dim.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    limit = parse_bytes(dim.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
     return input_bytes(dim) <= limit
 
 
 def lookup(facts: DataFrame, dim: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """``facts`` with the columns of ``dim``, whose ``on`` is unique.
+    """``facts`` joined to the dimension ``dim``.
 
     Beyond the broadcast limit the join is left to Spark: a shuffled join whose
     skewed partitions adaptive execution splits.

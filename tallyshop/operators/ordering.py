@@ -28,8 +28,11 @@ def rank_within(
     return df.withColumn(out, F.rank().over(window).cast("bigint"))
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rn") -> DataFrame:
-    """Position of every row in the global order, from 1.
+def global_row_number(
+    df: DataFrame, order: Sequence[Column], out: str = "rn", total: str | None = None
+) -> DataFrame:
+    """Position of every row in the global order, from 1, and the number of rows
+    if ``total`` names a column for it.
 
     A window without partitions would sort all rows in one task. Here the rows
     are range-partitioned and sorted, and a row's position is its place in its
@@ -47,18 +50,20 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rn") -
             "_row": F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),
         }
     )
+    # One row per partition from here to the join.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition.
-    offsets = (
-        keyed.groupBy("_part")
-        .agg(F.count("*").alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    sizes = keyed.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = sizes.select(
+        "_part",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(Window.partitionBy()).alias("_total"),
     )
-    return (
-        keyed.join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.col("_offset") + F.col("_row") + 1)
-        .drop("_id", "_part", "_row", "_offset")
+    numbered = keyed.join(F.broadcast(offsets), "_part").withColumn(
+        out, F.col("_offset") + F.col("_row") + 1
     )
+    if total is not None:
+        numbered = numbered.withColumn(total, F.col("_total"))
+    return numbered.drop("_id", "_part", "_row", "_offset", "_total")
 
 
 def ntile_global(
@@ -68,13 +73,11 @@ def ntile_global(
 
     Buckets differ by at most one row; the first ``count % n`` take the extra.
     """
-    numbered = global_row_number(df, order, "_rn")
-    total = numbered.agg(F.count("*").alias("_total")).scalar()
-    sized = numbered.withColumns(
-        {"_q": F.floor(total / n).cast("bigint"), "_r": (total % n).cast("bigint")}
+    sized = global_row_number(df, order, "_rn", "_size").withColumns(
+        {"_q": F.expr(f"_size div {n}"), "_r": F.expr(f"_size % {n}")}
     )
     bucket = F.expr(
         "CASE WHEN _rn <= _r * (_q + 1) THEN (_rn - 1) div (_q + 1) + 1 "
         "ELSE _r + (_rn - 1 - _r * (_q + 1)) div greatest(_q, 1) + 1 END"
     )
-    return sized.withColumn(out, bucket.cast("bigint")).drop("_rn", "_q", "_r")
+    return sized.withColumn(out, bucket.cast("bigint")).drop("_rn", "_size", "_q", "_r")

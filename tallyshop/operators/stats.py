@@ -14,13 +14,25 @@ from tallyshop.operators.facts import is_shipped
 STATUS_COLUMNS = {"pending": 1, "processing": 2, "rejected": 3, "completed": 4}
 
 
-def pct_of_total(df: DataFrame, num: str, total_df: DataFrame, out: str) -> DataFrame:
-    """``num`` as a percentage of the single value in ``total_df``.
+def pct_of_total(
+    df: DataFrame,
+    num: str,
+    out: str,
+    base: str | None = None,
+    total_df: DataFrame | None = None,
+) -> DataFrame:
+    """``num`` as a percentage of the sum of ``base`` (``num`` itself by default)
+    over ``df``, or of the single value in ``total_df``.
 
-    Pass a total taken from the same aggregated frame where the two agree: the
-    exchanges below are then shared, and the facts are read once.
+    ``df`` is an aggregated frame with one row per status, tier or store. Adding
+    up those few rows reads the facts once, where a total of its own reads them
+    again.
     """
-    return df.withColumn(out, share_pct(F.col(num), total_df.scalar()))
+    if total_df is not None:
+        whole = total_df.scalar()
+    else:
+        whole = F.sum(base or num).over(Window.partitionBy())
+    return df.withColumn(out, share_pct(F.col(num), whole))
 
 
 def group_median(

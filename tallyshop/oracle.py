@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from tallyshop.plans import customer, operations, product, sales
 from tallyshop.schema import PRIMARY_KEYS, REFERENCES, REQUIRED, SCHEMAS
 
-# The retail model over the driver's star; every query starts with it.
-MODEL = """
-WITH geo AS (
+# The retail model over the driver's star: one ``m_`` relation per table.
+STAR = """
+geo AS (
   SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
 ), kinds AS (
   SELECT p_type, CAST(row_number() OVER (ORDER BY p_type) AS INTEGER) AS kind_id
@@ -63,7 +63,11 @@ WITH geo AS (
       AS DECIMAL(12,2)) AS list_price,
     CAST(CAST(l_discount AS DECIMAL(4,2)) * 2.5 AS DECIMAL(5,3)) AS discount
   FROM lineitem
-), line AS (
+)"""
+
+# Joined relations the reports read; they need only the ``m_`` relations.
+JOINED = """
+line AS (
   SELECT *, quantity * list_price * (1 - discount) AS nr FROM m_items
 ), ok AS (
   SELECT * FROM m_orders WHERE order_status <> 3
@@ -73,11 +77,17 @@ WITH geo AS (
   SELECT *, date_diff('day', order_date, shipped_date) AS took,
     date_diff('day', required_date, shipped_date) AS over
   FROM m_orders WHERE order_status = 4 AND shipped_date IS NOT NULL
+), branded AS (
+  SELECT product_id, brand_name FROM m_products JOIN m_brands USING (brand_id)
+), typed AS (
+  SELECT product_id, category_name FROM m_products JOIN m_categories USING (category_id)
 ), named AS (
   SELECT * FROM m_products JOIN m_brands USING (brand_id) JOIN m_categories USING (category_id)
 )
 """
 
+MODEL = f"WITH {STAR}, {JOINED}"
+
 
 def _r2(x: str) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(38,10)), 2) AS DOUBLE)"
@@ -177,21 +187,21 @@ SELECT {_NAMES}, {_UNITS}, {_NET}, {_ORDERS} FROM {_ALL_LINES}
 GROUP BY {_NAMES} ORDER BY units_sold DESC, product_id LIMIT 10""",
     "slow_movers": f"""
 SELECT {_NAMES}, {_UNITS}, {_NET} FROM {_ALL_LINES}
-GROUP BY {_NAMES} ORDER BY units_sold, product_id LIMIT 10""",
+GROUP BY {_NAMES} ORDER BY units_sold NULLS FIRST, product_id LIMIT 10""",
     "never_sold": f"""
 SELECT {_NAMES}, {_r2("named.list_price")} AS list_price
-FROM named WHERE product_id NOT IN (SELECT product_id FROM line)""",
+FROM named WHERE NOT EXISTS (SELECT 1 FROM line WHERE line.product_id = named.product_id)""",
     "sales_quartile": f"""
 SELECT *, {_n("ntile(4) OVER (ORDER BY units_sold DESC, product_id)")} AS sales_quartile
 FROM (SELECT {_NAMES}, {_UNITS} FROM {_ALL_LINES} GROUP BY {_NAMES})""",
     "category_sales": f"""
 SELECT category_name, {_n("sum(quantity)")} AS total_units_sold,
   {_r2("sum(nr)")} AS total_net_revenue, count(DISTINCT product_id) AS distinct_products_sold
-FROM {_ALL_LINES} GROUP BY category_name""",
+FROM line JOIN typed USING (product_id) GROUP BY category_name""",
     "brand_sales": f"""
 SELECT brand_name, {_n("sum(quantity)")} AS total_units_sold,
   {_r2("sum(nr)")} AS total_net_revenue, count(DISTINCT product_id) AS distinct_products_sold
-FROM {_ALL_LINES} GROUP BY brand_name""",
+FROM line JOIN branded USING (product_id) GROUP BY brand_name""",
     "overstock_ratio": _overstock("sum(sold_qty)", "sum(held_qty)", _FAN_OUT),
     "price_stats_category": f"""
 SELECT category_name, count(product_id) AS num_products,
@@ -380,7 +390,7 @@ SELECT y AS order_year, {_r2("v")} AS net_revenue, {_r2(
     "(CAST(v AS DOUBLE) - CAST(prev AS DOUBLE)) / nullif(CAST(prev AS DOUBLE), 0) * 100"
 )} AS yoy_growth_pct
 FROM (
-  SELECT y, v, lag(v) OVER (ORDER BY y) AS prev
+  SELECT y, v, lag(v) OVER (ORDER BY y NULLS FIRST) AS prev
   FROM (SELECT {_n("year(order_date)")} AS y, sum(nr) AS v FROM sold GROUP BY 1)
 )""",
     "quarterly_revenue": f"""
@@ -391,7 +401,7 @@ SELECT {_n("month(order_date)")} AS calendar_month, monthname(order_date) AS mon
   {_ORDERS}, {_NET} FROM sold GROUP BY 1, 2""",
     "cumulative_revenue": f"""
 SELECT order_month, {_r2("v")} AS net_revenue,
-  {_r2("sum(v) OVER (ORDER BY order_month)")} AS cumulative_revenue
+  {_r2("sum(v) OVER (ORDER BY order_month NULLS FIRST)")} AS cumulative_revenue
 FROM (SELECT {_MONTH}, sum(nr) AS v FROM sold GROUP BY order_month)""",
     "revenue_by_store": f"""
 SELECT store_id, store_name, {_ORDERS}, {_NET},
@@ -403,13 +413,13 @@ FROM sold JOIN m_staffs s ON s.staff_id = sold.staff_id
 JOIN m_stores t ON t.store_id = s.store_id GROUP BY s.staff_id, first_name, last_name, store_name""",
     "revenue_by_category": f"""
 SELECT category_name, {_ORDERS}, {_UNITS}, {_NET}
-FROM sold JOIN named USING (product_id) GROUP BY category_name""",
+FROM sold JOIN typed USING (product_id) GROUP BY category_name""",
     "revenue_by_brand": f"""
 SELECT brand_name, {_ORDERS}, {_UNITS}, {_NET}
-FROM sold JOIN named USING (product_id) GROUP BY brand_name""",
+FROM sold JOIN branded USING (product_id) GROUP BY brand_name""",
     "store_category": f"""
 SELECT store_name, category_name, {_UNITS}, {_NET}
-FROM sold JOIN named USING (product_id) JOIN m_stores USING (store_id)
+FROM sold JOIN typed USING (product_id) JOIN m_stores USING (store_id)
 GROUP BY store_name, category_name""",
     "discount_tiers": f"""
 SELECT {_le("discount", sales.DISCOUNT_BOUNDS, sales.DISCOUNT_TIERS)} AS discount_tier,
@@ -428,7 +438,7 @@ FROM sold GROUP BY 1""",
 SELECT category_name,
   {_le("discount", sales.WIDE_DISCOUNT_BOUNDS, sales.WIDE_DISCOUNT_TIERS)} AS discount_tier,
   count(*) AS num_line_items, {_AVG_QTY}
-FROM sold JOIN named USING (product_id) GROUP BY 1, 2""",
+FROM sold JOIN typed USING (product_id) GROUP BY 1, 2""",
     "aov_overall": f"SELECT {_ORDERS}, {_TOTAL}, {_AOV} FROM sold",
     "aov_by_store": f"""
 SELECT store_id, store_name, {_ORDERS}, {_AOV}
@@ -451,8 +461,9 @@ RECENT = "2001-06-01"
 VARIANT_SQL: dict[str, str] = {
     "never_sold_since": f"""
 SELECT {_NAMES}, {_r2("named.list_price")} AS list_price FROM named
-WHERE product_id NOT IN (
-  SELECT product_id FROM line JOIN m_orders USING (order_id) WHERE order_date >= DATE '{RECENT}'
+WHERE NOT EXISTS (
+  SELECT 1 FROM line JOIN m_orders USING (order_id)
+  WHERE line.product_id = named.product_id AND order_date >= DATE '{RECENT}'
 )""",
     "overstock_ratio_true_totals": _overstock("sum(u)", "sum(h)", _NO_FAN_OUT),
     "overstock_ratio_unsold_first": _overstock(
@@ -544,11 +555,12 @@ SELECT 'customer_id' AS column_name, count(*) FILTER (customer_id IS NULL) AS vi
 FROM m_orders UNION ALL
 SELECT 'shipped_date', count(*) FILTER (shipped_date IS NULL) FROM m_orders""",
     "orders_outside_active_staff": """
-SELECT order_id, staff_id FROM m_orders
-WHERE staff_id NOT IN (SELECT staff_id FROM m_staffs WHERE active = 1)""",
+SELECT order_id, staff_id FROM m_orders o WHERE staff_id IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM m_staffs s WHERE s.staff_id = o.staff_id AND active = 1
+)""",
     "customer_value_deciles": f"""
 SELECT customer_id, {_r2("v")} AS lifetime_value,
-  {_n("ntile(10) OVER (ORDER BY v DESC, customer_id)")} AS decile
+  {_n("ntile(10) OVER (ORDER BY v DESC, customer_id NULLS FIRST)")} AS decile
 FROM (SELECT customer_id, sum(nr) AS v FROM sold GROUP BY customer_id)""",
     "median_order_units_by_store": f"""
 SELECT store_id, {_r2("median")} AS median_units
@@ -556,8 +568,9 @@ FROM {_median(
     "(SELECT store_id, order_id, sum(quantity) AS units FROM sold GROUP BY ALL)",
     "store_id", "units")}""",
     "cumulative_revenue_by_store": f"""
-SELECT store_id, order_month, {_r2("sum(v) OVER (PARTITION BY store_id ORDER BY order_month)")}
-  AS cumulative_revenue
+SELECT store_id, order_month, {_r2(
+    "sum(v) OVER (PARTITION BY store_id ORDER BY order_month NULLS FIRST)"
+)} AS cumulative_revenue
 FROM (SELECT store_id, {_MONTH}, sum(nr) AS v FROM sold GROUP BY ALL)""",
     "store_month_status": f"""
 SELECT store_id, {_MONTH}, {_PIVOT}, count(*) AS total_orders, {_REJECTION}

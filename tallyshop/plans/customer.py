@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyshop.functions import ratio, rounded, share_pct, tier_lt
+from tallyshop.functions import ratio, rounded, tier_lt
 from tallyshop.operators.facts import is_valid, item_totals, order_totals
 from tallyshop.operators.ordering import top_n
 from tallyshop.operators.stats import pct_of_total, segment_by_count
@@ -52,9 +52,9 @@ def onetime_vs_repeat(t: RetailTables) -> DataFrame:
     """Customers with one order against those with more. Orders without a
     customer count as one customer, but not in the percentage base."""
     segments = segment_by_count(t.orders, "customer_id", _segment("n_rows"), "customer_segment")
-    return pct_of_total(
-        segments, "n_keys", segments.agg(F.sum("n_known")), "pct_of_customers"
-    ).select("customer_segment", F.col("n_keys").alias("num_customers"), "pct_of_customers")
+    return pct_of_total(segments, "n_keys", "pct_of_customers", base="n_known").select(
+        "customer_segment", F.col("n_keys").alias("num_customers"), "pct_of_customers"
+    )
 
 
 def frequency_bands(t: RetailTables) -> DataFrame:
@@ -203,13 +203,16 @@ def clv_tiers(t: RetailTables, bounds=CLV_BOUNDS, labels=CLV_TIERS) -> DataFrame
         .groupBy(tier_lt("lifetime_value", bounds, labels).alias("clv_tier"))
         .agg(F.count("*").alias("num_customers"), F.sum("lifetime_value").alias("revenue"))
     )
-    total = per_tier.agg(F.sum("revenue")).scalar()
-    return per_tier.select(
-        "clv_tier",
-        "num_customers",
-        rounded("revenue").alias("tier_total_revenue"),
-        share_pct("revenue", total).alias("pct_of_total_revenue"),
-    ).orderBy("clv_tier")
+    return (
+        pct_of_total(per_tier, "revenue", "pct_of_total_revenue")
+        .select(
+            "clv_tier",
+            "num_customers",
+            rounded("revenue").alias("tier_total_revenue"),
+            "pct_of_total_revenue",
+        )
+        .orderBy("clv_tier")
+    )
 
 
 def customer_span(t: RetailTables, n: int = 20, more_than: int = 1) -> DataFrame:

@@ -22,10 +22,6 @@ SAME_DAY, NEXT_DAY, FEW_DAYS, LONGER = (
 )
 
 
-def _total(df: DataFrame, num: str) -> DataFrame:
-    return df.agg(F.sum(num))
-
-
 def status_breakdown(t: RetailTables) -> DataFrame:
     """Orders per status and their share of all orders."""
     per_status = t.orders.groupBy("order_status").agg(F.count("*").alias("num_orders"))
@@ -33,7 +29,7 @@ def status_breakdown(t: RetailTables) -> DataFrame:
         "status_label", label("order_status", STATUS_LABELS, UNKNOWN_STATUS)
     )
     return (
-        pct_of_total(named, "num_orders", _total(per_status, "num_orders"), "pct_of_all_orders")
+        pct_of_total(named, "num_orders", "pct_of_all_orders")
         .select("order_status", "status_label", "num_orders", "pct_of_all_orders")
         .orderBy("order_status")
     )
@@ -124,9 +120,9 @@ def fulfilment_buckets(t: RetailTables) -> DataFrame:
         .groupBy(bucket.alias("fulfillment_bucket"))
         .agg(F.count("*").alias("num_orders"))
     )
-    return pct_of_total(
-        per_bucket, "num_orders", _total(per_bucket, "num_orders"), "pct_of_completed_orders"
-    ).orderBy("fulfillment_bucket")
+    return pct_of_total(per_bucket, "num_orders", "pct_of_completed_orders").orderBy(
+        "fulfillment_bucket"
+    )
 
 
 def fulfilment_by_month(t: RetailTables) -> DataFrame:

@@ -7,11 +7,12 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyshop.functions import mean, period, ratio, rounded, share_pct, tier_le, tier_lt
+from tallyshop.functions import mean, period, ratio, rounded, tier_le, tier_lt
 from tallyshop.operators.facts import line_revenue, order_totals, valid_lines
 from tallyshop.operators.lookup import lookup
 from tallyshop.operators.ordering import top_n
 from tallyshop.operators.periods import growth_pct, running_total
+from tallyshop.operators.stats import pct_of_total
 from tallyshop.plans.dims import product_brand, product_category, staff_with_store
 from tallyshop.schema import RetailTables
 
@@ -115,9 +116,8 @@ def revenue_by_store(t: RetailTables) -> DataFrame:
     """Orders, revenue and share of all revenue per store. The total includes
     orders of unknown stores."""
     per_store = _orders_and_revenue(t, "store_id")
-    total = per_store.agg(F.sum("revenue")).scalar()
     return (
-        per_store.withColumn("pct_of_total_revenue", share_pct("revenue", total))
+        pct_of_total(per_store, "revenue", "pct_of_total_revenue")
         .join(t.stores.select("store_id", "store_name"), "store_id")
         .select(
             "store_id",
@@ -147,9 +147,18 @@ def revenue_by_staff(t: RetailTables) -> DataFrame:
     )
 
 
+def _valid_lines_with(t: RetailTables, products: DataFrame) -> DataFrame:
+    """Valid lines with columns of their product.
+
+    Products come first: the join to orders then leaves the lines partitioned by
+    order, which a distinct count of orders per group can use as it is.
+    """
+    return valid_lines(t, lookup(t.order_items, products, "product_id"))
+
+
 def _revenue_by_product(t: RetailTables, names: DataFrame, key: str) -> DataFrame:
     return (
-        lookup(valid_lines(t), names, "product_id")
+        _valid_lines_with(t, names)
         .groupBy(key)
         .agg(
             F.countDistinct("order_id").alias("num_orders"),
@@ -171,12 +180,13 @@ def revenue_by_brand(t: RetailTables) -> DataFrame:
 def store_category(t: RetailTables) -> DataFrame:
     """Units and revenue per store and category."""
     sold = (
-        lookup(valid_lines(t), product_category(t), "product_id")
-        .groupBy("store_id", "category_name")
+        _valid_lines_with(t, t.products.select("product_id", "category_id"))
+        .groupBy("store_id", "category_id")
         .agg(F.sum("quantity").alias("units"), F.sum(line_revenue()).alias("revenue"))
     )
     return (
         sold.join(t.stores.select("store_id", "store_name"), "store_id")
+        .join(t.categories, "category_id")
         .groupBy("store_name", "category_name")
         .agg(
             F.sum("units").alias("units_sold"),
@@ -248,12 +258,21 @@ def discounted_flag(t: RetailTables) -> DataFrame:
 def discount_tiers_category(
     t: RetailTables, bounds=WIDE_DISCOUNT_BOUNDS, labels=WIDE_DISCOUNT_TIERS
 ) -> DataFrame:
+    per_category = (
+        _valid_lines_with(t, t.products.select("product_id", "category_id"))
+        .groupBy("category_id", tier_le("discount", bounds, labels).alias("discount_tier"))
+        .agg(
+            F.count("*").alias("n_lines"),
+            F.sum("quantity").alias("units"),
+            F.count("quantity").alias("counted"),
+        )
+    )
     return (
-        lookup(valid_lines(t), product_category(t), "product_id")
-        .groupBy("category_name", tier_le("discount", bounds, labels).alias("discount_tier"))
+        per_category.join(t.categories, "category_id")
+        .groupBy("category_name", "discount_tier")
         .agg(
-            F.count("*").alias("num_line_items"),
-            rounded(mean("quantity")).alias("avg_quantity_per_line_item"),
+            F.sum("n_lines").alias("num_line_items"),
+            ratio(F.sum("units"), F.sum("counted")).alias("avg_quantity_per_line_item"),
         )
         .orderBy("category_name", "discount_tier")
     )

@@ -129,6 +129,7 @@ class RetailTables:
         if missing:
             raise ValueError(f"no source given for {sorted(missing)}")
         self.spark = spark
+        self.item_totals: DataFrame | None = None
         self._openers = dict(openers)
         self._open: dict[str, DataFrame] = {}
 
@@ -147,7 +148,17 @@ class RetailTables:
         raise AttributeError(name)
 
     def replace(self, **frames: DataFrame) -> RetailTables:
-        """The same tables with some of them swapped."""
+        """The same tables with some of them swapped. Saved totals are dropped
+        with the lines they were taken from."""
         openers = {n: (lambda n=n: self[n]) for n in SCHEMAS}
         openers.update({n: (lambda df=df: df) for n, df in frames.items()})
-        return RetailTables(self.spark, openers)
+        tables = RetailTables(self.spark, openers)
+        if "order_items" not in frames:
+            tables.item_totals = self.item_totals
+        return tables
+
+    def with_item_totals(self, totals: DataFrame) -> RetailTables:
+        """The same tables with the line totals per order already worked out."""
+        tables = self.replace()
+        tables.item_totals = totals
+        return tables

@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 100_000
+# A shuffle holds (scan tasks x shuffle partitions) blocks, so both are bounded:
+# beyond these numbers tasks get larger and spill, instead of blocks getting tiny.
+SHUFFLE_PARTITION_BYTES = 256 << 20
+MAX_SHUFFLE_PARTITIONS = 16_384
+MAX_SCAN_TASKS = 200_000
+MAX_SCAN_BYTES = 1 << 30
 
 _INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_SCAN_BYTES = "spark.sql.files.maxPartitionBytes"
+
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def parse_bytes(setting: str) -> int:
+    """Bytes in a Spark size setting such as ``10485760b`` or ``64MB``."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([bkmgt]?)b?", setting.strip().lower()).groups()
+    return int(number) * _UNITS[unit]
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -27,16 +41,21 @@ def tune(spark: SparkSession, largest: DataFrame | None = None) -> None:
 
     * A skewed join is split even where a later aggregation would have reused
       its partitioning; that costs one more exchange, and only when skew is seen.
-    * Shuffles start with enough partitions for ``largest`` to stay near 128 MB
-      each; adaptive execution merges the small ones afterwards. The session's
-      own ``spark.sql.shuffle.partitions`` is the floor.
+    * Shuffles start with enough partitions for the input ``largest`` to be near
+      256 MB each; adaptive execution merges the small ones afterwards. The
+      session's own ``spark.sql.shuffle.partitions`` is the floor.
+    * Scans of very large inputs read larger splits, up to 1 GB.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     if largest is None:
         return
-    wanted = min(MAX_SHUFFLE_PARTITIONS, math.ceil(input_bytes(largest) / SHUFFLE_PARTITION_BYTES))
+    size = input_bytes(largest)
+    split = min(MAX_SCAN_BYTES, math.ceil(size / MAX_SCAN_TASKS))
+    if split > parse_bytes(spark.conf.get(_SCAN_BYTES)):
+        spark.conf.set(_SCAN_BYTES, str(split))
+    wanted = min(MAX_SHUFFLE_PARTITIONS, math.ceil(size / SHUFFLE_PARTITION_BYTES))
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
     current = int(spark.conf.get(_INITIAL_PARTITIONS, str(floor)) or floor)
     if wanted > max(floor, current):

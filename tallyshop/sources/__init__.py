@@ -1,4 +1,4 @@
-from tallyshop.sources.files import read_table, read_tables, write_tables
+from tallyshop.sources.files import read_table, read_tables, save_bucketed, write_tables
 from tallyshop.sources.star import load_retail
 
-__all__ = ["load_retail", "read_table", "read_tables", "write_tables"]
+__all__ = ["load_retail", "read_table", "read_tables", "save_bucketed", "write_tables"]
