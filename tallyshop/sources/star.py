@@ -7,10 +7,9 @@ Columns the star does not have are derived from keys.
 
 from __future__ import annotations
 
-from decimal import Decimal
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,7 +17,8 @@ from tallyshop.operators.lookup import lookup
 from tallyshop.schema import SCHEMAS, RetailTables
 from tallyshop.session import tune
 
-_SELLERS = 10
+# Orders are assigned to this many suppliers, by key.
+SELLERS = 10
 
 
 @lru_cache(maxsize=256)
@@ -27,167 +27,145 @@ def _file_schema(spark: SparkSession, path: str) -> StructType:
     return spark.read.parquet(path).schema
 
 
-def _as(name: str, **columns: Column) -> list[Column]:
-    """The columns of table ``name`` in order and type; absent ones are null."""
-    return [
-        columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]
-    ]
-
-
-def _hundredths(x: str) -> Column:
-    """A two-decimal double as an exact whole number of hundredths."""
-    return F.floor(F.col(x) * 100 + 0.5)
+def _as(name: str, df: DataFrame, **columns: str) -> DataFrame:
+    """The columns of table ``name`` in order and type, from SQL expressions
+    over ``df``; those not given are null."""
+    return df.selectExpr(
+        *(
+            f"CAST({columns.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
+            for f in SCHEMAS[name]
+        )
+    )
 
 
 def load_retail(spark: SparkSession, sf_dir: str) -> RetailTables:
+    """The nine tables over the star in ``sf_dir``. Files are opened on first use."""
+
     def raw(name: str) -> DataFrame:
         path = f"{sf_dir}/{name}.parquet"
         return spark.read.schema(_file_schema(spark, path)).parquet(path)
 
     def geography() -> DataFrame:
-        regions = raw("region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-        return lookup(raw("nation"), regions, "n_regionkey").select(
-            "n_nationkey", "n_name", "r_name"
-        )
-
-    def brand_id() -> Column:
-        return F.substring("p_brand", 7, 10).cast("int")
-
-    def brands() -> DataFrame:
-        return raw("part").select("p_brand").distinct().select(
-            *_as("brands", brand_id=brand_id(), brand_name=F.col("p_brand"))
-        )
+        regions = raw("region").selectExpr("r_regionkey AS n_regionkey", "r_name")
+        return lookup(raw("nation"), regions, "n_regionkey")
 
     def type_list() -> DataFrame:
         # One row holding the sorted vocabulary of product types.
-        return raw("part").agg(F.sort_array(F.collect_set("p_type")).alias("types"))
+        return raw("part").selectExpr("sort_array(collect_set(p_type)) AS types")
+
+    brand_id = "substring(p_brand, 7)"
+
+    def brands() -> DataFrame:
+        names = raw("part").select("p_brand").distinct()
+        return _as("brands", names, brand_id=brand_id, brand_name="p_brand")
 
     def categories() -> DataFrame:
-        return type_list().select(F.posexplode("types").alias("pos", "p_type")).select(
-            *_as("categories", category_id=F.col("pos") + 1, category_name=F.col("p_type"))
-        )
+        types = type_list().selectExpr("posexplode(types) AS (pos, p_type)")
+        return _as("categories", types, category_id="pos + 1", category_name="p_type")
 
     def stores() -> DataFrame:
-        return geography().select(
-            *_as(
-                "stores",
-                store_id=F.col("n_nationkey"),
-                store_name=F.col("n_name"),
-                city=F.col("n_name"),
-                state=F.col("r_name"),
-            )
+        return _as(
+            "stores",
+            geography(),
+            store_id="n_nationkey",
+            store_name="n_name",
+            city="n_name",
+            state="r_name",
         )
 
     def customers() -> DataFrame:
-        place = geography().withColumnRenamed("n_nationkey", "c_nationkey")
-        return lookup(raw("customer"), place, "c_nationkey").select(
-            *_as(
-                "customers",
-                customer_id=F.col("c_custkey"),
-                first_name=F.lit("Customer"),
-                last_name=F.substring("c_name", 10, 100),
-                city=F.col("n_name"),
-                state=F.col("r_name"),
-            )
+        places = geography().selectExpr("n_nationkey AS c_nationkey", "n_name", "r_name")
+        return _as(
+            "customers",
+            lookup(raw("customer"), places, "c_nationkey"),
+            customer_id="c_custkey",
+            first_name="'Customer'",
+            last_name="substring(c_name, 10)",
+            city="n_name",
+            state="r_name",
         )
 
     def staffs() -> DataFrame:
-        key = F.col("s_suppkey")
-        return raw("supplier").select(
-            *_as(
-                "staffs",
-                staff_id=key,
-                first_name=F.lit("Supplier"),
-                last_name=F.substring("s_name", 10, 100),
-                active=(F.col("s_acctbal") >= 0),
-                store_id=F.col("s_nationkey"),
-                manager_id=F.when(key != 0, F.expr("(s_suppkey - 1) div 4")),
-            )
+        return _as(
+            "staffs",
+            raw("supplier"),
+            staff_id="s_suppkey",
+            first_name="'Supplier'",
+            last_name="substring(s_name, 10)",
+            active="s_acctbal >= 0",
+            store_id="s_nationkey",
+            manager_id="CASE WHEN s_suppkey <> 0 THEN (s_suppkey - 1) div 4 END",
         )
 
     def products() -> DataFrame:
-        price = F.col("p_retailprice").cast("decimal(12,2)") * F.col("p_size")
-        return raw("part").select(
-            *_as(
-                "products",
-                product_id=F.col("p_partkey"),
-                product_name=F.col("p_name"),
-                brand_id=brand_id(),
-                category_id=F.array_position(type_list().scalar(), F.col("p_type")),
-                model_year=F.lit(2016) + F.col("p_size") % 4,
-                list_price=price * F.lit(Decimal("0.1")),
-            )
+        position = F.array_position(type_list().scalar(), F.col("p_type"))
+        return _as(
+            "products",
+            raw("part").withColumn("category", position),
+            product_id="p_partkey",
+            product_name="p_name",
+            brand_id=brand_id,
+            category_id="category",
+            model_year="2016 + p_size % 4",
+            list_price="CAST(p_retailprice AS DECIMAL(12,2)) * p_size * 0.1",
         )
 
     def stocks() -> DataFrame:
         # Each product is held by the stores in one of five residue classes.
-        part = (
-            raw("part")
-            .where(F.col("p_partkey") % 40 != 0)
-            .select("p_partkey", ((5 - F.col("p_partkey") % 5) % 5).alias("residue"))
-        )
-        nation = raw("nation").select(
-            "n_nationkey", (F.col("n_nationkey") % 5).cast("bigint").alias("residue")
+        part = raw("part").where("p_partkey % 40 <> 0")
+        part = part.selectExpr("p_partkey", "(5 - p_partkey % 5) % 5 AS residue")
+        nation = raw("nation").selectExpr(
+            "n_nationkey", "CAST(n_nationkey % 5 AS BIGINT) AS residue"
         )
-        return lookup(part, nation, "residue").select(
-            *_as(
-                "stocks",
-                store_id=F.col("n_nationkey"),
-                product_id=F.col("p_partkey"),
-                quantity=(F.col("p_partkey") * 7 + F.col("n_nationkey") * 13) % 31,
-            )
+        return _as(
+            "stocks",
+            lookup(part, nation, "residue"),
+            store_id="n_nationkey",
+            product_id="p_partkey",
+            quantity="(p_partkey * 7 + n_nationkey * 13) % 31",
         )
 
     def orders() -> DataFrame:
-        key = F.col("o_orderkey")
+        # At most one supplier per key from 0 to 9 is sent to the tasks, at any scale.
         sellers = (
             raw("supplier")
-            .where(F.col("s_suppkey").between(0, _SELLERS - 1))
-            .select(F.col("s_suppkey").alias("seller"), "s_nationkey")
-        )
-        status = (
-            F.when(key % 20 == 0, 3)
-            .when(F.col("o_orderstatus") == "P", 1)
-            .when(F.col("o_orderstatus") == "O", 2)
-            .when(F.col("o_orderstatus") == "F", 4)
-        )
-        day = F.to_date("o_orderdate")
-        placed = raw("orders").select(
-            key.alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            status.alias("order_status"),
-            day.alias("order_date"),
-            F.date_add(day, F.substring("o_orderpriority", 1, 1).cast("int")).alias(
-                "required_date"
-            ),
-            F.when(status == 4, F.date_add(day, (key % 7).cast("int"))).alias("shipped_date"),
-            (key % _SELLERS).alias("seller"),
-        )
-        # At most ten sellers pass the filter above, whatever the scale.
-        return placed.join(F.broadcast(sellers), "seller").select(
-            *_as(
-                "orders",
-                **{c: F.col(c) for c in placed.columns if c != "seller"},
-                store_id=F.col("s_nationkey"),
-                staff_id=F.col("seller"),
-            )
+            .where(f"s_suppkey BETWEEN 0 AND {SELLERS - 1}")
+            .selectExpr("s_suppkey AS seller", "s_nationkey")
+        )
+        placed = raw("orders").selectExpr(
+            "o_orderkey",
+            "o_custkey",
+            "o_orderpriority",
+            "CASE WHEN o_orderkey % 20 = 0 THEN 3 WHEN o_orderstatus = 'P' THEN 1 "
+            "WHEN o_orderstatus = 'O' THEN 2 WHEN o_orderstatus = 'F' THEN 4 END AS status",
+            "to_date(o_orderdate) AS day",
+            f"o_orderkey % {SELLERS} AS seller",
+        )
+        return _as(
+            "orders",
+            placed.join(F.broadcast(sellers), "seller"),
+            order_id="o_orderkey",
+            customer_id="o_custkey",
+            order_status="status",
+            order_date="day",
+            required_date="date_add(day, CAST(substring(o_orderpriority, 1, 1) AS INT))",
+            shipped_date="CASE WHEN status = 4 THEN date_add(day, CAST(o_orderkey % 7 AS INT)) END",
+            store_id="s_nationkey",
+            staff_id="seller",
         )
 
     def order_items() -> DataFrame:
-        unit_cents = F.expr(
-            "floor(l_extendedprice * 100 + 0.5) div nullif(cast(l_quantity as bigint), 0) div 10"
-        )
-        return raw("lineitem").select(
-            *_as(
-                "order_items",
-                order_id=F.col("l_orderkey"),
-                item_id=F.col("l_linenumber"),
-                product_id=F.col("l_partkey"),
-                quantity=F.lit(1) + F.col("l_quantity").cast("int") % 3,
-                list_price=unit_cents.cast("decimal(14,0)") * F.lit(Decimal("0.01")),
-                discount=_hundredths("l_discount").cast("decimal(3,0)")
-                * F.lit(Decimal("0.025")),
-            )
+        # Prices and discounts are two-decimal doubles: go through whole hundredths.
+        cents = "floor(l_extendedprice * 100 + 0.5) div nullif(CAST(l_quantity AS BIGINT), 0) div 10"
+        return _as(
+            "order_items",
+            raw("lineitem"),
+            order_id="l_orderkey",
+            item_id="l_linenumber",
+            product_id="l_partkey",
+            quantity="1 + CAST(l_quantity AS INT) % 3",
+            list_price=f"CAST({cents} AS DECIMAL(14,0)) * 0.01",
+            discount="CAST(floor(l_discount * 100 + 0.5) AS DECIMAL(3,0)) * 0.025",
         )
 
     openers = {
@@ -201,6 +179,5 @@ def load_retail(spark: SparkSession, sf_dir: str) -> RetailTables:
         "orders": orders,
         "order_items": order_items,
     }
-    tables = RetailTables(spark, openers)
     tune(spark, raw("lineitem"))
-    return tables
+    return RetailTables(spark, openers)
