@@ -17,6 +17,8 @@ from tallyshop.sources import load_retail
 Query = Callable[[SparkSession, str], DataFrame]
 
 VARIANTS: dict[str, Callable[[RetailTables], DataFrame]] = {
+    "category_sales_valid_only": lambda t: product.category_sales(t, valid_only=True),
+    "brand_sales_valid_only": lambda t: product.brand_sales(t, valid_only=True),
     "never_sold_since": lambda t: product.never_sold(t, since=RECENT),
     "overstock_ratio_true_totals": lambda t: product.overstock_ratio(t, true_totals=True),
     "overstock_ratio_unsold_first": lambda t: product.overstock_ratio(t, unsold_first=True),

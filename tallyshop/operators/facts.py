@@ -69,9 +69,11 @@ def valid_lines(t: RetailTables, lines: DataFrame | None = None) -> DataFrame:
     return lines.join(t.orders.where(is_valid()), "order_id")
 
 
-def product_totals(t: RetailTables) -> DataFrame:
-    """One row per product on any line, whatever the order's status."""
-    return t.order_items.groupBy("product_id").agg(
+def product_totals(t: RetailTables, valid_only: bool = False) -> DataFrame:
+    """One row per product on any line, whatever the order's status, or on lines
+    of valid orders only."""
+    lines = valid_lines(t) if valid_only else t.order_items
+    return lines.groupBy("product_id").agg(
         F.sum("quantity").alias("units"),
         F.sum(line_revenue()).alias("revenue"),
         F.count("*").alias("n_lines"),

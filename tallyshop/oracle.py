@@ -459,6 +459,14 @@ FROM (
 RECENT = "2001-06-01"
 
 VARIANT_SQL: dict[str, str] = {
+    "category_sales_valid_only": f"""
+SELECT category_name, {_n("sum(quantity)")} AS total_units_sold,
+  {_r2("sum(nr)")} AS total_net_revenue, count(DISTINCT product_id) AS distinct_products_sold
+FROM sold JOIN typed USING (product_id) GROUP BY category_name""",
+    "brand_sales_valid_only": f"""
+SELECT brand_name, {_n("sum(quantity)")} AS total_units_sold,
+  {_r2("sum(nr)")} AS total_net_revenue, count(DISTINCT product_id) AS distinct_products_sold
+FROM sold JOIN branded USING (product_id) GROUP BY brand_name""",
     "never_sold_since": f"""
 SELECT {_NAMES}, {_r2("named.list_price")} AS list_price FROM named
 WHERE NOT EXISTS (

@@ -101,9 +101,9 @@ def sales_quartile(t: RetailTables, buckets: int = 4) -> DataFrame:
     return ntile_global(joined, buckets, order, "sales_quartile").orderBy(*order)
 
 
-def _sales_by(t: RetailTables, names: DataFrame, key: str) -> DataFrame:
+def _sales_by(t: RetailTables, names: DataFrame, key: str, valid_only: bool) -> DataFrame:
     return (
-        product_totals(t)
+        product_totals(t, valid_only)
         .join(names, "product_id")
         .groupBy(key)
         .agg(
@@ -115,12 +115,12 @@ def _sales_by(t: RetailTables, names: DataFrame, key: str) -> DataFrame:
     )
 
 
-def category_sales(t: RetailTables) -> DataFrame:
-    return _sales_by(t, product_category(t), "category_name")
+def category_sales(t: RetailTables, valid_only: bool = False) -> DataFrame:
+    return _sales_by(t, product_category(t), "category_name", valid_only)
 
 
-def brand_sales(t: RetailTables) -> DataFrame:
-    return _sales_by(t, product_brand(t), "brand_name")
+def brand_sales(t: RetailTables, valid_only: bool = False) -> DataFrame:
+    return _sales_by(t, product_brand(t), "brand_name", valid_only)
 
 
 def overstock_ratio(

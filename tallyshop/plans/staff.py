@@ -54,7 +54,7 @@ def staff_sales(t: RetailTables) -> DataFrame:
 
 
 def staff_hierarchy(t: RetailTables) -> DataFrame:
-    """Who reports to whom, the top of the organisation first."""
+    """Staff beside their managers, those without a manager first."""
     return (
         with_manager(t.staffs)
         .select(
