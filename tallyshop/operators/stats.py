@@ -42,7 +42,8 @@ def group_median(
 
     Nulls take part in the ordering, first, and are left out of the mean. Rows
     are first counted per distinct value, before the shuffle, so what a window
-    task sorts is the distinct values of a group, not its rows.
+    task sorts is the distinct values of a group, not its rows. Meant for values
+    on a scale, such as prices in cents or whole units.
     """
     keys = list(keys)
     counted = df.groupBy(*keys, F.col(col).alias("_v")).agg(F.count("*").alias("_c"))
@@ -53,9 +54,12 @@ def group_median(
             "_n": F.sum("_c").over(group),
         }
     )
-    covered = lambda pos: F.col(pos).between(F.col("_last") - F.col("_c") + 1, F.col("_last"))
-    weight = F.when(covered("_lo"), 1).otherwise(0) + F.when(
-        covered("_hi") & (F.col("_hi") != F.col("_lo")), 1
+
+    def covers(position: str) -> Column:
+        return F.col(position).between(F.col("_last") - F.col("_c") + 1, F.col("_last"))
+
+    weight = F.when(covers("_lo"), 1).otherwise(0) + F.when(
+        covers("_hi") & (F.col("_hi") != F.col("_lo")), 1
     ).otherwise(0)
     middle = (
         placed.withColumns({"_lo": F.expr("(_n + 1) div 2"), "_hi": F.expr("(_n + 2) div 2")})

@@ -123,6 +123,11 @@ def brand_sales(t: RetailTables, valid_only: bool = False) -> DataFrame:
     return _sales_by(t, product_brand(t), "brand_name", valid_only)
 
 
+def _at_least_one(n: str) -> Column:
+    """Rows a missing side leaves in an outer join: one, not none."""
+    return F.greatest(F.coalesce(n, F.lit(0)), F.lit(1))
+
+
 def overstock_ratio(
     t: RetailTables, n: int = 15, true_totals: bool = False, unsold_first: bool = False
 ) -> DataFrame:
@@ -144,8 +149,7 @@ def overstock_ratio(
     joined = catalog(t).join(sold, "product_id", "left").join(stock, "product_id", "left")
     units, on_hand = F.col("units"), F.col("stock")
     if not true_totals:
-        at_least_one = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(1))
-        units, on_hand = units * at_least_one("n_stock"), on_hand * at_least_one("n_lines")
+        units, on_hand = units * _at_least_one("n_stock"), on_hand * _at_least_one("n_lines")
     rows = joined.select(
         *_NAMES,
         F.coalesce(units, F.lit(0)).alias("units_sold"),
