@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,20 +20,9 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, tie: Sequence[str]) ->
     return df.orderBy(*order, *tie).limit(n)
 
 
-def rank_within(
-    df: DataFrame, part: Sequence[str], order: Sequence[Column], out: str = "rank"
-) -> DataFrame:
-    """Rank with gaps inside each group. Meant for a frame already aggregated to
-    the ranked entity, such as the staff of a store."""
-    window = Window.partitionBy(*part).orderBy(*order)
-    return df.withColumn(out, F.rank().over(window).cast("bigint"))
-
-
-def global_row_number(
-    df: DataFrame, order: Sequence[Column], out: str = "rn", total: str | None = None
-) -> DataFrame:
-    """Position of every row in the global order, from 1, and the number of rows
-    if ``total`` names a column for it.
+def _number(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` with ``_rn``, the position of a row in the global order from 1,
+    ``_part``, its range partition, and ``_total``, the number of rows.
 
     A window without partitions would sort all rows in one task. Here the rows
     are range-partitioned and sorted, and a row's position is its place in its
@@ -52,18 +42,26 @@ def global_row_number(
     )
     # One row per partition from here to the join.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = keyed.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = sizes.select(
-        "_part",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(Window.partitionBy()).alias("_total"),
+    offsets = (
+        keyed.groupBy("_part")
+        .agg(F.count("*").alias("_n"))
+        .select(
+            "_part",
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+            F.sum("_n").over(Window.partitionBy()).alias("_total"),
+        )
     )
-    numbered = keyed.join(F.broadcast(offsets), "_part").withColumn(
-        out, F.col("_offset") + F.col("_row") + 1
+    return (
+        keyed.join(F.broadcast(offsets), "_part")
+        .withColumn("_rn", F.col("_offset") + F.col("_row") + 1)
+        .drop("_id", "_row", "_offset")
     )
-    if total is not None:
-        numbered = numbered.withColumn(total, F.col("_total"))
-    return numbered.drop("_id", "_part", "_row", "_offset", "_total")
+
+
+def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rn") -> DataFrame:
+    """Position of every row in the global order, from 1, without gathering all
+    rows in one task."""
+    return _number(df, order).withColumnRenamed("_rn", out).drop("_part", "_total")
 
 
 def ntile_global(
@@ -73,11 +71,56 @@ def ntile_global(
 
     Buckets differ by at most one row; the first ``count % n`` take the extra.
     """
-    sized = global_row_number(df, order, "_rn", "_size").withColumns(
-        {"_q": F.expr(f"_size div {n}"), "_r": F.expr(f"_size % {n}")}
+    sized = _number(df, order).withColumns(
+        {"_q": F.expr(f"_total div {n}"), "_r": F.expr(f"_total % {n}")}
     )
     bucket = F.expr(
         "CASE WHEN _rn <= _r * (_q + 1) THEN (_rn - 1) div (_q + 1) + 1 "
         "ELSE _r + (_rn - 1 - _r * (_q + 1)) div greatest(_q, 1) + 1 END"
     )
-    return sized.withColumn(out, bucket.cast("bigint")).drop("_rn", "_size", "_q", "_r")
+    return sized.withColumn(out, bucket.cast("bigint")).drop(
+        "_part", "_total", "_rn", "_q", "_r"
+    )
+
+
+def _first_position(numbered: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Position of the first row with the same ``keys``, which are a prefix of
+    the global order.
+
+    Such rows are neighbours. If they lie in one partition, a window inside the
+    partition finds the first. Those that cross into another partition are looked
+    up; there are fewer of these than partitions, so they are broadcast.
+    """
+    inside = F.min("_rn").over(Window.partitionBy("_part", *keys))
+    crossing = (
+        numbered.groupBy(*keys)
+        .agg(
+            F.min("_rn").alias("_first"),
+            F.min("_part").alias("_from"),
+            F.max("_part").alias("_to"),
+        )
+        .where(F.col("_from") < F.col("_to"))
+        .select(*(F.col(k).alias(f"_c_{k}") for k in keys), "_first")
+    )
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys))
+    return (
+        numbered.withColumn("_inside", inside)
+        .join(F.broadcast(crossing), same, "left")
+        .withColumn(out, F.coalesce("_first", "_inside"))
+        .drop("_inside", "_first", *(f"_c_{k}" for k in keys))
+    )
+
+
+def rank_within(
+    df: DataFrame, part: Sequence[str], by: str, tie: Sequence[str], out: str = "rank"
+) -> DataFrame:
+    """``RANK() OVER (PARTITION BY part ORDER BY by DESC)``, without gathering a
+    group in one task. ``tie`` makes rows unique; it does not affect the rank."""
+    part, tie = list(part), list(tie)
+    order = [*map(F.col, part), F.col(by).desc(), *map(F.col, tie)]
+    numbered = _number(df, order)
+    started = _first_position(numbered, part, "_start")
+    ranked = _first_position(started, [*part, by], "_equal")
+    return ranked.withColumn(out, F.col("_equal") - F.col("_start") + 1).drop(
+        "_part", "_total", "_rn", "_start", "_equal"
+    )

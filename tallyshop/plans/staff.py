@@ -94,10 +94,17 @@ def staff_rank_in_store(t: RetailTables) -> DataFrame:
     earned = (
         staff_with_store(t)
         .join(_revenue_by(t, "staff_id"), "staff_id", "left")
-        .withColumn("revenue", F.coalesce("revenue", F.lit(0)))
+        .select(
+            "store_id",
+            "store_name",
+            "staff_id",
+            "first_name",
+            "last_name",
+            F.coalesce("revenue", F.lit(0)).alias("revenue"),
+        )
     )
     return (
-        rank_within(earned, ["store_id"], [F.col("revenue").desc()], "rank_within_store")
+        rank_within(earned, ["store_id"], "revenue", ["staff_id"], "rank_within_store")
         .select(
             "store_name",
             "staff_id",

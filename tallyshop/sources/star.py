@@ -49,18 +49,18 @@ def load_retail(spark: SparkSession, sf_dir: str) -> RetailTables:
         regions = raw("region").selectExpr("r_regionkey AS n_regionkey", "r_name")
         return lookup(raw("nation"), regions, "n_regionkey")
 
-    def type_list() -> DataFrame:
-        # One row holding the sorted vocabulary of product types.
-        return raw("part").selectExpr("sort_array(collect_set(p_type)) AS types")
+    def vocabulary(column: str) -> DataFrame:
+        # One row: the sorted list of the few texts the star uses in this column.
+        return raw("part").selectExpr(f"sort_array(collect_set({column})) AS texts")
 
     brand_id = "substring(p_brand, 7)"
 
     def brands() -> DataFrame:
-        names = raw("part").select("p_brand").distinct()
+        names = vocabulary("p_brand").selectExpr("explode(texts) AS p_brand")
         return _as("brands", names, brand_id=brand_id, brand_name="p_brand")
 
     def categories() -> DataFrame:
-        types = type_list().selectExpr("posexplode(types) AS (pos, p_type)")
+        types = vocabulary("p_type").selectExpr("posexplode(texts) AS (pos, p_type)")
         return _as("categories", types, category_id="pos + 1", category_name="p_type")
 
     def stores() -> DataFrame:
@@ -98,7 +98,7 @@ def load_retail(spark: SparkSession, sf_dir: str) -> RetailTables:
         )
 
     def products() -> DataFrame:
-        position = F.array_position(type_list().scalar(), F.col("p_type"))
+        position = F.array_position(vocabulary("p_type").scalar(), F.col("p_type"))
         return _as(
             "products",
             raw("part").withColumn("category", position),

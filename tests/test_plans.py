@@ -70,7 +70,6 @@ PER_ORDER = (
     "segment_revenue",
     "staff_sales",
     "team_revenue",
-    "staff_rank_in_store",
     "store_comparison",
     "store_scorecard",
     "revenue_per_active_staff",
@@ -147,14 +146,19 @@ def test_never_sold_makes_keys_distinct_before_the_anti_join(golden, conf):
     assert "HashAggregate(keys=[product_id]" in lines[lines.rindex("Exchange hashpartitioning") :]
 
 
-@pytest.mark.parametrize("name", ["sales_quartile", "customer_value_deciles"])
-def test_global_buckets_do_not_gather_rows(golden, conf, name):
+@pytest.mark.parametrize(
+    "name", ["sales_quartile", "customer_value_deciles", "staff_rank_in_store"]
+)
+def test_buckets_and_ranks_do_not_gather_rows(golden, conf, name):
     conf(AS_IF_LARGE)
     df = REPORTS_AND_OPERATORS[name](golden)
     plan = executed(df)
     # What reaches a single task is one row per partition, counted before.
     for single in re.finditer("Exchange SinglePartition", plan):
         assert "HashAggregate(keys=[_part]" in plan[single.start() : single.start() + 400]
+    # Windows over rows stay inside a range partition, even for the rank in a store.
+    for exchange in re.findall(r"Exchange hashpartitioning\(store_id[^)]*\)", plan):
+        assert "HashAggregate(keys=[store_id" in plan[plan.index(exchange) :][:400]
 
 
 def test_hot_partitions_of_line_joins_are_split(spark, conf, tmp_path):
