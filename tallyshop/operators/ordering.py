@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,48 +20,86 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, tie: Sequence[str]) ->
     return df.orderBy(*order, *tie).limit(n)
 
 
-def _number(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """``df`` with ``_rn``, the position of a row in the global order from 1,
-    ``_part``, its range partition, and ``_total``, the number of rows.
+def place(df: DataFrame, order: Sequence[Column], weight: str | None = None) -> DataFrame:
+    """``df`` in range partitions of the global order, with ``_part``, the
+    partition, ``_end``, the running sum of ``weight`` over the global order (by
+    default the position from 1), and ``_total``, the sum over all rows.
 
     A window without partitions would sort all rows in one task. Here the rows
-    are range-partitioned and sorted, and a row's position is its place in its
-    partition plus the sizes of the partitions before it. ``order`` must be
-    unique for the positions to be repeatable.
+    are range-partitioned and sorted, and a row's running sum is that inside its
+    partition plus the sums of the partitions before it. ``order`` must be
+    unique for the result to be repeatable.
 
     The sorted rows are checkpointed: they are read twice, and both reads must
     see the same partitions even if executors are lost in between.
     """
     ensure_checkpoint_dir(df.sparkSession)
     ranged = df.orderBy(*order).checkpoint()
-    keyed = ranged.withColumn("_id", F.monotonically_increasing_id()).withColumns(
-        {
-            "_part": F.shiftright("_id", _ROW_BITS),
-            "_row": F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),
-        }
+    keyed = ranged.withColumn("_id", F.monotonically_increasing_id()).withColumn(
+        "_part", F.shiftright("_id", _ROW_BITS)
     )
+    if weight is None:
+        size, inside = F.count("*"), F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1
+    else:
+        size = F.sum(weight)
+        inside = F.sum(weight).over(Window.partitionBy("_part").orderBy("_id"))
     # One row per partition from here to the join.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         keyed.groupBy("_part")
-        .agg(F.count("*").alias("_n"))
+        .agg(size.alias("_size"))
         .select(
             "_part",
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-            F.sum("_n").over(Window.partitionBy()).alias("_total"),
+            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+            F.sum("_size").over(Window.partitionBy()).alias("_total"),
         )
     )
     return (
-        keyed.join(F.broadcast(offsets), "_part")
-        .withColumn("_rn", F.col("_offset") + F.col("_row") + 1)
-        .drop("_id", "_row", "_offset")
+        keyed.withColumn("_end", inside)
+        .join(F.broadcast(offsets), "_part")
+        .withColumn("_end", F.col("_offset") + F.col("_end"))
+        .drop("_id", "_offset")
+    )
+
+
+def over_neighbours(
+    placed: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    combine: Callable[[str], Column],
+    out: str,
+) -> DataFrame:
+    """``combine`` (``F.min`` or ``F.max``) of ``value`` over the rows of a placed
+    frame with the same ``keys``, which are a prefix of its order.
+
+    Such rows are neighbours. If they lie in one partition, a window inside the
+    partition sees them all. Those that cross into another partition are looked
+    up; there are fewer of these than partitions, so they are broadcast.
+    """
+    inside = combine(value).over(Window.partitionBy("_part", *keys))
+    crossing = (
+        placed.groupBy(*keys)
+        .agg(
+            combine(value).alias("_whole"),
+            F.min("_part").alias("_from"),
+            F.max("_part").alias("_to"),
+        )
+        .where(F.col("_from") < F.col("_to"))
+        .select(*(F.col(k).alias(f"_c_{k}") for k in keys), "_whole")
+    )
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys))
+    return (
+        placed.withColumn("_inside", inside)
+        .join(F.broadcast(crossing), same, "left")
+        .withColumn(out, F.coalesce("_whole", "_inside"))
+        .drop("_inside", "_whole", *(f"_c_{k}" for k in keys))
     )
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rn") -> DataFrame:
     """Position of every row in the global order, from 1, without gathering all
     rows in one task."""
-    return _number(df, order).withColumnRenamed("_rn", out).drop("_part", "_total")
+    return place(df, order).withColumnRenamed("_end", out).drop("_part", "_total")
 
 
 def ntile_global(
@@ -71,43 +109,15 @@ def ntile_global(
 
     Buckets differ by at most one row; the first ``count % n`` take the extra.
     """
-    sized = _number(df, order).withColumns(
+    sized = place(df, order).withColumns(
         {"_q": F.expr(f"_total div {n}"), "_r": F.expr(f"_total % {n}")}
     )
     bucket = F.expr(
-        "CASE WHEN _rn <= _r * (_q + 1) THEN (_rn - 1) div (_q + 1) + 1 "
-        "ELSE _r + (_rn - 1 - _r * (_q + 1)) div greatest(_q, 1) + 1 END"
+        "CASE WHEN _end <= _r * (_q + 1) THEN (_end - 1) div (_q + 1) + 1 "
+        "ELSE _r + (_end - 1 - _r * (_q + 1)) div greatest(_q, 1) + 1 END"
     )
     return sized.withColumn(out, bucket.cast("bigint")).drop(
-        "_part", "_total", "_rn", "_q", "_r"
-    )
-
-
-def _first_position(numbered: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    """Position of the first row with the same ``keys``, which are a prefix of
-    the global order.
-
-    Such rows are neighbours. If they lie in one partition, a window inside the
-    partition finds the first. Those that cross into another partition are looked
-    up; there are fewer of these than partitions, so they are broadcast.
-    """
-    inside = F.min("_rn").over(Window.partitionBy("_part", *keys))
-    crossing = (
-        numbered.groupBy(*keys)
-        .agg(
-            F.min("_rn").alias("_first"),
-            F.min("_part").alias("_from"),
-            F.max("_part").alias("_to"),
-        )
-        .where(F.col("_from") < F.col("_to"))
-        .select(*(F.col(k).alias(f"_c_{k}") for k in keys), "_first")
-    )
-    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys))
-    return (
-        numbered.withColumn("_inside", inside)
-        .join(F.broadcast(crossing), same, "left")
-        .withColumn(out, F.coalesce("_first", "_inside"))
-        .drop("_inside", "_first", *(f"_c_{k}" for k in keys))
+        "_part", "_total", "_end", "_q", "_r"
     )
 
 
@@ -117,10 +127,9 @@ def rank_within(
     """``RANK() OVER (PARTITION BY part ORDER BY by DESC)``, without gathering a
     group in one task. ``tie`` makes rows unique; it does not affect the rank."""
     part, tie = list(part), list(tie)
-    order = [*map(F.col, part), F.col(by).desc(), *map(F.col, tie)]
-    numbered = _number(df, order)
-    started = _first_position(numbered, part, "_start")
-    ranked = _first_position(started, [*part, by], "_equal")
+    placed = place(df, [*map(F.col, part), F.col(by).desc(), *map(F.col, tie)])
+    started = over_neighbours(placed, part, "_end", F.min, "_start")
+    ranked = over_neighbours(started, [*part, by], "_end", F.min, "_equal")
     return ranked.withColumn(out, F.col("_equal") - F.col("_start") + 1).drop(
-        "_part", "_total", "_rn", "_start", "_equal"
+        "_part", "_total", "_end", "_start", "_equal"
     )

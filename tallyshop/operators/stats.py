@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyshop.functions import count_if, mean, rate_pct, rounded, share_pct
 from tallyshop.operators.facts import is_shipped
+from tallyshop.operators.ordering import over_neighbours, place
 
 # Order status codes and the columns of the status pivot.
 STATUS_COLUMNS = {"pending": 1, "processing": 2, "rejected": 3, "completed": 4}
@@ -41,28 +42,27 @@ def group_median(
     """Exact median per group: the mean of the one or two middle rows.
 
     Nulls take part in the ordering, first, and are left out of the mean. Rows
-    are first counted per distinct value, before the shuffle, so what a window
-    task sorts is the distinct values of a group, not its rows. Meant for values
-    on a scale, such as prices in cents or whole units.
+    are first counted per distinct value, before the shuffle. The counts are then
+    added up over the global order of groups and values, so that not even the
+    distinct values of a group meet in one task.
     """
     keys = list(keys)
     counted = df.groupBy(*keys, F.col(col).alias("_v")).agg(F.count("*").alias("_c"))
-    group = Window.partitionBy(*keys)
-    placed = counted.withColumns(
-        {
-            "_last": F.sum("_c").over(group.orderBy(F.col("_v").asc_nulls_first())),
-            "_n": F.sum("_c").over(group),
-        }
-    )
+    placed = place(counted, [*map(F.col, keys), F.col("_v").asc_nulls_first()], "_c")
+    first = placed.withColumn("_begin", F.col("_end") - F.col("_c"))
+    grouped = over_neighbours(
+        over_neighbours(first, keys, "_begin", F.min, "_start"), keys, "_end", F.max, "_stop"
+    ).withColumn("_n", F.col("_stop") - F.col("_start"))
 
     def covers(position: str) -> Column:
-        return F.col(position).between(F.col("_last") - F.col("_c") + 1, F.col("_last"))
+        row = F.col("_start") + F.col(position)
+        return (row > F.col("_begin")) & (row <= F.col("_end"))
 
     weight = F.when(covers("_lo"), 1).otherwise(0) + F.when(
         covers("_hi") & (F.col("_hi") != F.col("_lo")), 1
     ).otherwise(0)
     middle = (
-        placed.withColumns({"_lo": F.expr("(_n + 1) div 2"), "_hi": F.expr("(_n + 2) div 2")})
+        grouped.withColumns({"_lo": F.expr("(_n + 1) div 2"), "_hi": F.expr("(_n + 2) div 2")})
         .withColumn("_w", weight)
         .where(F.col("_w") > 0)
     )

@@ -56,7 +56,7 @@ def test_global_row_number_of_equal_keys(spark, unmerged):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_group_median_is_the_row_number_median(spark, seed):
+def test_group_median_is_the_row_number_median(spark, unmerged, seed):
     rng = random.Random(seed)
     rows = [
         (rng.choice(["a", "b", "c", None]), rng.choice([None, *range(8)]))
@@ -75,7 +75,7 @@ def test_group_median_is_the_row_number_median(spark, seed):
     assert {tuple(r) for r in ours.collect()} == {tuple(r) for r in plain.collect()}
 
 
-def test_group_median_without_nulls_is_the_builtin(spark):
+def test_group_median_without_nulls_is_the_builtin(spark, unmerged):
     df = spark.range(999).select((F.col("id") % 7).alias("g"), F.hash("id").alias("v"))
     ours = ops.group_median(df, ["g"], "v")
     builtin = df.groupBy("g").agg(F.median("v").alias("median"))
