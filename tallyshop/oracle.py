@@ -134,11 +134,9 @@ _NAMES = "product_id, product_name, brand_name, category_name"
 _PRICE_TIER = _lt("list_price", product.PRICE_BOUNDS, product.PRICE_TIERS) + " AS price_tier"
 _DAYS = f"{_r2(_avg('took'))} AS avg_days_to_ship"
 _EARLY = f"{_r2(_avg('over'))} AS avg_days_early_or_late"
-_LATE = (
-    "count(*) FILTER (shipped_date > required_date) AS num_late_orders, "
-    + _pct("count(*) FILTER (shipped_date > required_date)", "count(*)")
-    + " AS pct_late"
-)
+# A sum, unlike a count, is null over no rows at all.
+_NUM_LATE = "sum(if(shipped_date > required_date, 1, 0))"
+_LATE = f"{_n(_NUM_LATE)} AS num_late_orders, {_pct(_NUM_LATE, 'count(*)')} AS pct_late"
 _DONE = "count(*) AS num_completed_orders"
 _PIVOT = ", ".join(
     f"count(*) FILTER (order_status = {code}) AS {name}"

@@ -156,7 +156,8 @@ def load_retail(spark: SparkSession, sf_dir: str) -> RetailTables:
 
     def order_items() -> DataFrame:
         # Prices and discounts are two-decimal doubles: go through whole hundredths.
-        cents = "floor(l_extendedprice * 100 + 0.5) div nullif(CAST(l_quantity AS BIGINT), 0) div 10"
+        quantity = "nullif(CAST(l_quantity AS BIGINT), 0)"
+        cents = f"floor(l_extendedprice * 100 + 0.5) div {quantity} div 10"
         return _as(
             "order_items",
             raw("lineitem"),

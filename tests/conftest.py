@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tests.compare import STAR_TABLES  # noqa: E402
-from tests.fixtures import save_golden, save_random  # noqa: E402
+from tests.fixtures import save_empty, save_golden, save_random  # noqa: E402
 
 TESTDATA = "/root/testdata"
 
@@ -52,6 +52,11 @@ def golden_dir(tmp_path_factory):
     return save_golden(str(tmp_path_factory.mktemp("golden")))
 
 
+@pytest.fixture(scope="session")
+def empty_dir(tmp_path_factory):
+    return save_empty(str(tmp_path_factory.mktemp("empty")))
+
+
 @pytest.fixture(scope="session")
 def random_dir(tmp_path_factory):
     return save_random(str(tmp_path_factory.mktemp("random")), seed=7)

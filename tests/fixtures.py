@@ -31,7 +31,7 @@ def _arrow_type(kind):
 def _save(root: str, tables: dict[str, list[tuple]]) -> str:
     for name, rows in tables.items():
         fields = SCHEMAS[name].fields
-        width = len(rows[0])
+        width = len(rows[0]) if rows else 0
         columns = {}
         for i, f in enumerate(fields):
             values = [row[i] if i < width else None for row in rows]
@@ -222,6 +222,10 @@ def random_tables(seed: int, hot: bool = False, n_orders: int = 600) -> dict[str
     }
 
 
+def save_empty(root: str) -> str:
+    return _save(root, {name: [] for name in SCHEMAS})
+
+
 def save_golden(root: str) -> str:
     return _save(root, golden_tables())
 
