@@ -104,6 +104,12 @@ def test_bucketed_orders_join_without_an_exchange(spark, golden, tmp_path):
         spark.sql("DROP DATABASE shop CASCADE")
 
 
+def test_an_order_too_large_for_a_bucket_is_refused(spark, skewed_dir):
+    hot = read_tables(spark, skewed_dir)
+    with pytest.raises(ValueError, match="one order has"):
+        save_bucketed(hot, "default", 64)
+
+
 def test_saved_item_totals_replace_the_lines(spark, golden, tmp_path):
     saved = save_item_totals(golden, f"{tmp_path}/totals")
     plan = exchanges(REPORTS["clv_top"](saved))
