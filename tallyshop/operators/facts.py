@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyshop.functions import net_revenue
+from tallyshop.operators.skew import split_join
 from tallyshop.schema import RetailTables
 
 REJECTED = 3
@@ -66,7 +67,7 @@ def valid_lines(t: RetailTables, lines: DataFrame | None = None) -> DataFrame:
     """Lines of valid orders with the columns of their order. ``lines`` may be
     the order lines with columns added."""
     lines = t.order_items if lines is None else lines
-    return lines.join(t.orders.where(is_valid()), "order_id")
+    return split_join(lines, t.orders.where(is_valid()), "order_id", source=t.order_items)
 
 
 def product_totals(t: RetailTables, valid_only: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyshop.operators.skew import split_join
 from tallyshop.session import input_bytes, parse_bytes
 
 
@@ -20,10 +21,9 @@ def fits_broadcast(dim: DataFrame) -> bool:
     return input_bytes(dim) <= limit
 
 
-def lookup(facts: DataFrame, dim: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """``facts`` joined to the dimension ``dim``.
-
-    Beyond the broadcast limit the join is left to Spark: a shuffled join whose
-    skewed partitions adaptive execution splits.
-    """
-    return facts.join(F.broadcast(dim) if fits_broadcast(dim) else dim, on, how)
+def lookup(facts: DataFrame, dim: DataFrame, on: str) -> DataFrame:
+    """``facts`` with the columns of the dimension ``dim``, by broadcast within
+    the limit. Beyond it both are shuffled, and hot keys are joined apart."""
+    if fits_broadcast(dim):
+        return facts.join(F.broadcast(dim), on)
+    return split_join(facts, dim, on)

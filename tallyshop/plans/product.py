@@ -13,6 +13,7 @@ from tallyshop.functions import mean, ratio, rounded, tier_lt
 from tallyshop.operators.facts import product_totals
 from tallyshop.operators.ordering import ntile_global, top_n
 from tallyshop.operators.relations import unmatched
+from tallyshop.operators.skew import split_join
 from tallyshop.operators.stats import group_median
 from tallyshop.plans.dims import catalog, product_brand, product_category
 from tallyshop.schema import RetailTables
@@ -85,7 +86,7 @@ def never_sold(t: RetailTables, since: str | None = None) -> DataFrame:
     lines = t.order_items
     if since is not None:
         recent = t.orders.where(F.col("order_date") >= F.lit(since).cast("date"))
-        lines = lines.join(recent.select("order_id"), "order_id", "left_semi")
+        lines = split_join(lines, recent.select("order_id"), "order_id")
     return (
         unmatched(catalog(t), lines, "product_id")
         .select(*_NAMES, rounded("list_price").alias("list_price"))
