@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshop.llm import decontamination, mixing, near_duplicates
+from tallyshop.llm import decontamination, language, mixing, near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs.where(~language.held_out())))
+    return found.select(
+        "doc_id", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), F.array("source"), (5, 2, 1))
     return mixed.select(
@@ -34,6 +42,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_language": op2_language,
     "op7_mix_sources": op7_mix_sources,
     "op9_decontamination": op9_decontamination,
 }
