@@ -93,7 +93,7 @@ def _features(found: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """Per word its own feature and its script; per byte of a word its trigram feature; and
     where each word's bytes begin among them."""
     low = _lowered(found.data)
-    own = Lowered(found).hashes(low)
+    own = W.Words(low, found.starts, found.ends, found.first).hashes(np.arange(256, dtype=np.uint8))
     size = found.ends - found.starts
     begin = np.cumsum(size) - size
     at = np.repeat(found.starts - begin, size) + np.arange(int(size.sum()))
@@ -107,17 +107,6 @@ def _features(found: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return (own >> np.uint64(64 - WORD_BITS)).astype(np.int64), _scripts(found), tri, begin
 
 
-class Lowered:
-    """Word hashes over bytes that are lower-cased already."""
-
-    def __init__(self, found: W.Words):
-        self.found = found
-
-    def hashes(self, low: np.ndarray) -> np.ndarray:
-        same = np.arange(256, dtype=np.uint8)
-        return W.Words(low, self.found.starts, self.found.ends, self.found.first).hashes(same)
-
-
 def _count(batches):
     """``(lang, feature, n)`` of the labelled texts of a partition."""
     totals: dict[str, np.ndarray] = {}
@@ -242,12 +231,12 @@ def _has_letter(data, offsets, i) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def _identify(model: Model, penalty: float):
+def _identify(model: Model, penalty: float, text_col: str):
     kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in W.slices(batch.column("text")):
+            for lo, hi, data, offsets in W.slices(batch.column(text_col)):
                 found = W.find_words(data, offsets, W.ALNUM)
                 texts, langs = found.texts, len(model.langs)
                 names, scores, spans = ["und"] * texts, [0.0] * texts, [[] for _ in range(texts)]
@@ -271,10 +260,10 @@ def _identify(model: Model, penalty: float):
                             {"lang": model.langs[own[x]], "first_word": int(x), "n_words": int(y - x)}
                             for x, y in zip(cuts[:-1], cuts[1:], strict=True)
                         ]
+                part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo), pa.array(names, pa.string()),
-                     pa.array(scores, pa.float64()), pa.array(spans, kind)],
-                    ["id", "lang_pred", "score", "spans"],
+                    [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, kind)],
+                    [*part.schema.names, "lang_pred", "lang_score", "spans"],
                 )
 
     return run
@@ -290,30 +279,42 @@ def _ascii_letter(data, offsets, i) -> bool:
     return bool(((low >= 0x61) & (low <= 0x7A)).any())
 
 
-def identify(
-    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH
+_RESULT = [
+    ("lang_pred", "string"),
+    ("lang_score", "double"),
+    ("spans", "array<struct<lang:string,first_word:bigint,n_words:bigint>>"),
+]
+
+
+def identify_rows(
+    docs: DataFrame, model: Model, text_col: str = "text", penalty: float = SWITCH
 ) -> DataFrame:
-    """``(id, lang_pred, score, spans)`` for every row.
+    """``docs`` with ``lang_pred``, ``lang_score`` and ``spans`` in each row, without a shuffle.
+    Columns of these names are replaced.
 
     ``lang_pred`` is the language of most words, ``und`` (score 0, no spans) where the text is
-    null, has no letter, or the model has no languages. ``score`` is that language's share of
-    the words times its posterior against the runner-up. ``spans`` are runs of words of one
+    null, has no letter, or the model has no languages. ``lang_score`` is that language's share
+    of the words times its posterior against the runner-up. ``spans`` are runs of words of one
     language. Ties go to the first language by name. Rows are taken one by one, so repeated
     ids, empty tables and other columns make no difference; long texts are read whole.
     """
+    docs = docs.drop(*(name for name, _ in _RESULT))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        yield from _identify(shared.value, penalty)(batches)
-
-    return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(
-            run,
-            f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, "
-            "spans array<struct<lang:string,first_word:bigint,n_words:bigint>>",
-        )
-        .withColumnRenamed("id", id_col)
+        yield from _identify(shared.value, penalty, text_col)(batches)
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    return docs.mapInArrow(run, ", ".join(kinds + [f"{name} {kind}" for name, kind in _RESULT]))
+
+
+def identify(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH
+) -> DataFrame:
+    """``(id, lang_pred, score, spans)`` for every row; see ``identify_rows``."""
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    return identify_rows(rows, model, "text", penalty).select(
+        id_col, "lang_pred", F.col("lang_score").alias("score"), "spans"
     )
 
 
