@@ -12,7 +12,9 @@ One hash function orders all shingles; a document's sketch is its ``k`` smallest
 3. Each representative meets the first of each of its lists, then, where a list still spans
    several components, a seeded one, and at last all members of other components, size and
    joint sketch permitting. A list of ``n`` similar texts thus costs ``n`` pairs.
-4. The joint-sketch estimate filters the pairs, the full sets decide them.
+4. The joint-sketch estimate filters the pairs, the full sets decide them. The sets are made
+   again from the texts; a bitmap of the wanted ids, of fixed size, spares the other texts
+   the shuffle (were it full, all sets would be shuffled, and the join decide).
 """
 
 from __future__ import annotations
@@ -99,9 +101,32 @@ def _sketch(n: int, k: int):
     return run
 
 
-def _sets(n: int):
+BITMAP_BITS = 25
+
+
+def _bit(id_col: str = "id") -> Column:
+    return F.xxhash64(id_col).bitwiseAND(2**BITMAP_BITS - 1)
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """The ids as a bitmap of 2 ** ``BITMAP_BITS`` bits (4 MB, however many ids there are)."""
+    place, bit = F.shiftright("bit", 6), F.expr("shiftleft(1L, int(bit & 63))")
+    rows = ids.select(_bit().alias("bit")).groupBy(place.alias("place")).agg(F.bit_or(bit).alias("bits"))
+    found = rows.toPandas()
+    out = np.zeros(2 ** (BITMAP_BITS - 6), np.int64)
+    out[found["place"]] = found["bits"]
+    return out
+
+
+def _sets(n: int, wanted):
+    """Shingle sets of the texts whose ids may be among the wanted ones."""
+
     def run(batches):
+        bitmap = wanted.value
         for batch in batches:
+            bit = batch.column("bit").to_numpy(zero_copy_only=False)
+            some = bitmap[bit >> 6] >> (bit & 63) & 1
+            batch = batch.filter(pa.array(some.astype(bool)))
             for lo, hi, data, offsets in W.slices(batch.column("text")):
                 sets = list(shingle_sets(data, offsets, n))
                 values = np.concatenate(sets).astype(np.int64)
@@ -209,6 +234,7 @@ def near_duplicates(
     )
     needed_lists = members.where("n > 1").groupBy("n", "x1", "x2").agg(F.min("v").alias("v"))
     lists = saved(rarest.join(needed_lists.select("v"), "v", "left_semi"))
+    reps = saved(reps.join(lists.select("id").distinct(), "id", "left_semi"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs ``(a, b)``, those whose full sets are similar enough."""
@@ -220,9 +246,11 @@ def near_duplicates(
 
     def exact(close: DataFrame) -> DataFrame:
         involved = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id")))
+        involved = involved.distinct()
+        wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(involved))
         sets = (
-            texts.join(involved.distinct(), "id", "left_semi").dropDuplicates(["id"])
-            .mapInArrow(_sets(shingle_words), "id long, shingles array<long>")
+            texts.withColumn("bit", _bit()).mapInArrow(_sets(shingle_words, wanted), "id long, shingles array<long>")
+            .join(involved, "id", "left_semi").dropDuplicates(["id"])
         )
         both = F.size(F.array_intersect("shingles_a", "shingles_b"))
         return saved(
