@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshop.llm import decontamination, language, mixing, near_duplicates, passages
+from tallyshop.llm import (
+    decontamination,
+    language,
+    mixing,
+    near_duplicates,
+    passages,
+    quality_rules,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +32,23 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.where(~language.held_out())))
+    return scored.select(
+        "doc_id",
+        F.coalesce(language.held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.remove_repeats(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -48,6 +73,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_language": op2_language,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
     "op6_substrings": op6_substrings,
     "op7_mix_sources": op7_mix_sources,
     "op9_decontamination": op9_decontamination,
