@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from tallyshop.llm import words as W
 
 #: Bounds of the training sample.
-FIT_TOXIC, FIT_CLEAN = 1_000, 2_000
-BITS, SIZE, BAG = 16, 8, 8
+FIT_TOXIC, FIT_CLEAN = 800, 2_000
+BITS, SIZE, BAG = 16, 8, 4
+RATE, FLOOR, DECAY = 1.0, 0.5, 0.002
 
 
 @dataclass
@@ -76,7 +77,7 @@ def _worst(logit: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray
     return order[at], full
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, seed: int = 11) -> Model:
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, seed: int = 11) -> Model:
     """Train vectors and softmax by full-batch Adam. Without texts of both labels, the model
     scores everything by the share of toxic ones."""
     toxic = np.asarray(toxic, float)
@@ -124,17 +125,18 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, seed: int = 11)
             per_word = np.repeat(g / held[worst], held[worst])
             pull = np.bincount(used, per_word, len(starts)).astype(np.float32)
             grad["w"] += pull @ vector
-            touched = np.flatnonzero(pull)
             feature_pull = np.repeat(pull / size, size)
             total = np.bincount(features, feature_pull, 2**BITS).astype(np.float32)
             grad["e"] += total[:, None] * theta["w"]
-            del touched
         for k in theta:
             g = grad[k] / len(toxic)
             m = moment[k]
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g * g
-            theta[k] -= 0.1 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
+            spread = np.sqrt(m[1] / (1 - 0.99**step))
+            # relative to the largest, so that a rare n-gram moves as little as its evidence says
+            theta[k] -= RATE * (m[0] / (1 - 0.9**step)) / (spread + FLOOR * spread.max() + 1e-8)
+        theta["e"] *= 1 - DECAY
     return Model((theta["e"] @ theta["w"]).astype(np.float32), float(theta["b"][0]))
 
 
