@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from tallyshop.llm import (
     decontamination,
     language,
+    licenses,
     mixing,
     near_duplicates,
     passages,
+    pseudo_likelihood,
     quality_rules,
+    site_quality,
     toxicity,
 )
 
@@ -49,6 +52,26 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts and paths come from the pages whose address ends in the document's id; other
+    documents belong to their source."""
+    docs, labels, pages = (_table(spark, sf_dir, name) for name in ("documents", "labels", "pages"))
+    address = r"^[a-z]+://([^/?#:]+)(?::\d+)?/(?:([^/?#]*)/)?(\d+)"
+    found = pages.select(
+        F.regexp_extract("url", address, 3).try_cast("long").alias("doc_id"),
+        F.regexp_extract("url", address, 1).alias("host"),
+        F.regexp_extract("url", address, 2).alias("path"),
+    ).where("doc_id IS NOT NULL")
+    listed = found.groupBy("doc_id").agg(F.min(F.struct("host", "path")).alias("s"))
+    sites = docs.select("doc_id", "source", "lang").join(listed, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("s.host", "source").alias("host"),
+        F.coalesce("s.path", "lang").alias("path"),
+    )
+    learned = labels.where(~language.held_out())
+    return site_quality.site_quality(docs, learned, sites, site_quality.fit(docs, learned))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.remove_repeats(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -65,18 +88,31 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     return decontamination.digest(decontamination.contamination(docs, items))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_language": op2_language,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
+    "op5_site_quality": op5_site_quality,
     "op6_substrings": op6_substrings,
     "op7_mix_sources": op7_mix_sources,
+    "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_decontamination": op9_decontamination,
+    "op10_licenses": op10_licenses,
 }
 ORACLES: dict[str, str] = {}
