@@ -131,7 +131,8 @@ def _select(sized: DataFrame, quota: DataFrame, id_col: str, seed: int) -> DataF
         ends = sums.withColumn("end", F.sum("words").over(upto)).select(
             "pattern", "bucket", (F.col("end") - F.col("words")).alias("begin"), "end"
         )
-        placed = rest.join(ends, ["pattern", "bucket"])
+        # dealt by both keys: the window's partitioning alone would send a pattern to one task
+        placed = rest.join(ends.repartition("pattern", "bucket"), ["pattern", "bucket"])
         inside = (F.col("begin") < F.col("left")) & (F.col("end") > F.col("left"))
         settled = placed.where(~inside).select(
             "pattern", id_col, "size",
