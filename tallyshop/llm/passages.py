@@ -29,7 +29,6 @@ from tallyshop.llm.decontamination import winnow
 
 PHRASE = 8
 _DIGIT = 6  # words are numbered within a slice and written as characters of this many bits
-_FLUSH = 1 << 19
 
 
 def _phrases(found: W.Words, hashes: np.ndarray, window: int):
@@ -79,8 +78,8 @@ def _located(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _suspects(window: int):
-    """Rows ``(key, id, start, end, known)``: windows that may repeat one of another slice by
-    their hash, and word ranges that repeat one of this slice for certain."""
+    """Rows ``(key, id, at)``: windows that may repeat one of another slice, by their hash and
+    where they start, and word ranges that repeat one of this slice for certain, packed."""
 
     def run(batches):
         for batch in batches:
@@ -114,16 +113,25 @@ def _suspects(window: int):
                     [
                         pa.array(np.concatenate([value[first], W.mix(own.view(np.uint64)).view(np.int64)])),
                         pa.array(np.concatenate([ids[first], own])),
-                        pa.array(np.concatenate([start[first], begin]).astype(np.int32)),
-                        pa.array(np.concatenate([start[first] + window, end]).astype(np.int32)),
-                        pa.array(np.arange(int(first.sum()) + len(own)) >= first.sum()),
+                        pa.array(np.concatenate([start[first], _packed(begin, end)])),
                     ],
-                    ["key", "id", "start", "end", "known"],
+                    ["key", "id", "at"],
                 )
 
     return run
 
 
+def _packed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Word ranges as negative numbers, which no window's start is."""
+    return -1 - (start << 31 | (end - start))
+
+
+def _unpacked(at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of windows and of packed ranges."""
+    start = np.where(at >= 0, at, (-1 - at) >> 31)
+    return start, start + np.where(at >= 0, window, (-1 - at) & (2**31 - 1))
+
+
 def _ranges(ids: np.ndarray, start: np.ndarray, window: int):
     """Windows merged into word ranges per document: ``(id, start, end)``."""
     order = np.lexsort((start, ids))
@@ -134,80 +142,59 @@ def _ranges(ids: np.ndarray, start: np.ndarray, window: int):
     return ids[new], start[new], start[last] + window
 
 
-def _later(window: int):
-    """Of sorted suspects, all but the first of each window, as ranges listed per document."""
-
-    def listed(parts):
-        ids, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((begin, ids))
-        ids, begin, end = ids[order], begin[order], end[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = ids[1:] != ids[:-1]
-        counts = np.diff(np.append(np.flatnonzero(new), len(ids)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids[new]), W.list_array(pa.array(begin), counts), W.list_array(pa.array(end), counts)],
-            ["id", "starts", "ends"],
-        )
-
-    def run(batches):
-        before, held, rows = None, [], 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            key, ids, start, end, known = (
-                batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)
-            )
-            again = known.copy()
-            fresh = np.flatnonzero(~known)
+def _later(batches):
+    """Of sorted suspects, all but the first of each window, and all that is known."""
+    before = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        key, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "at"))
+        again = at < 0
+        fresh = np.flatnonzero(~again)
+        if len(fresh):
             same = np.zeros(len(fresh), bool)
             same[1:] = key[fresh][1:] == key[fresh][:-1]
-            if len(fresh):
-                same[0] = key[fresh[0]] == before
-                before = key[fresh[-1]]
+            same[0] = key[fresh[0]] == before
+            before = key[fresh[-1]]
             again[fresh] = same
-            held.append((ids[again], start[again], end[again]))
-            rows += len(held[-1][0])
-            if rows >= _FLUSH:
-                yield listed(held)
-                held, rows = [], 0
-        if rows:
-            yield listed(held)
+        yield batch.select(["id", "at"]).filter(pa.array(again))
 
-    return run
 
+def _cut(window: int):
+    def run(batches):
+        for batch in batches:
+            removed = batch.column("removed")
+            for lo, hi, data, offsets in W.slices(batch.column("text")):
+                found = W.find_words(data, offsets, W.PLAIN)
+                counts, gone, texts, spans = found.counts(), [], [], []
+                for i in range(lo, hi):
+                    a, b = found.first[i - lo], found.first[i - lo + 1]
+                    out = np.zeros(b - a, bool)
+                    if removed[i].is_valid:
+                        steps = np.zeros(b - a + 1, np.int64)
+                        begin, end = _unpacked(removed[i].values.to_numpy(zero_copy_only=False), window)
+                        np.add.at(steps, begin, 1)
+                        np.add.at(steps, end, -1)
+                        out = np.cumsum(steps[:-1]) > 0
+                    gone.append(int(out.sum()))
+                    spans.append(np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]]))).reshape(-1, 2).tolist())
+                    text = bytes(data[offsets[i - lo] : offsets[i - lo + 1]])
+                    base = offsets[i - lo]
+                    kept = np.flatnonzero(~out) + a
+                    texts.append(b" ".join([text[x:y] for x, y in zip((found.starts[kept] - base).tolist(), (found.ends[kept] - base).tolist(), strict=True)]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").slice(lo, hi - lo),
+                        pa.array(counts, pa.int64()),
+                        pa.array(gone, pa.int64()),
+                        pa.array(texts, pa.binary()).cast(pa.string()),
+                        pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+                        pa.array(spans, pa.list_(pa.list_(pa.int32()))),
+                    ],
+                    ["id", "n_words", "n_removed", "kept_text", "kept_sha256", "spans"],
+                )
 
-def _cut(batches):
-    for batch in batches:
-        removed = batch.column("removed")
-        for lo, hi, data, offsets in W.slices(batch.column("text")):
-            found = W.find_words(data, offsets, W.PLAIN)
-            counts, gone, texts, spans = found.counts(), [], [], []
-            for i in range(lo, hi):
-                a, b = found.first[i - lo], found.first[i - lo + 1]
-                out = np.zeros(b - a, bool)
-                if removed[i].is_valid:
-                    steps = np.zeros(b - a + 1, np.int64)
-                    for x in removed[i].as_py():
-                        np.add.at(steps, x["starts"], 1)
-                        np.add.at(steps, x["ends"], -1)
-                    out = np.cumsum(steps[:-1]) > 0
-                gone.append(int(out.sum()))
-                spans.append(np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]]))).reshape(-1, 2).tolist())
-                text = bytes(data[offsets[i - lo] : offsets[i - lo + 1]])
-                base = offsets[i - lo]
-                kept = np.flatnonzero(~out) + a
-                texts.append(b" ".join([text[x:y] for x, y in zip((found.starts[kept] - base).tolist(), (found.ends[kept] - base).tolist(), strict=True)]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").slice(lo, hi - lo),
-                    pa.array(counts, pa.int64()),
-                    pa.array(gone, pa.int64()),
-                    pa.array(texts, pa.binary()).cast(pa.string()),
-                    pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-                    pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-                ],
-                ["id", "n_words", "n_removed", "kept_text", "kept_sha256", "spans"],
-            )
+    return run
 
 
 def remove_repeats(
@@ -235,16 +222,14 @@ def remove_repeats(
         phrases.select("phrase", "id").join(recurring, "phrase")
         .groupBy("id").agg(F.collect_list("phrase").alias("phrases"))
     )
-    suspects = texts.join(listed, "id").mapInArrow(
-        _suspects(window), "key long, id long, start int, end int, known boolean"
-    )
+    suspects = texts.join(listed, "id").mapInArrow(_suspects(window), "key long, id long, at long")
     removed = (
-        suspects.repartition("key").sortWithinPartitions("key", "id", "start")
-        .mapInArrow(_later(window), "id long, starts array<int>, ends array<int>")
-        .groupBy("id").agg(F.collect_list(F.struct("starts", "ends")).alias("removed"))
+        suspects.repartition("key").sortWithinPartitions("key", "id", "at")
+        .mapInArrow(_later, "id long, at long")
+        .groupBy("id").agg(F.collect_list("at").alias("removed"))
     )
     return texts.join(removed, "id", "left").mapInArrow(
-        _cut,
+        _cut(window),
         "id long, n_words long, n_removed long, kept_text string, kept_sha256 string, "
         "spans array<array<int>>",
     ).withColumnRenamed("id", id_col)
