@@ -10,8 +10,10 @@ One hash function orders all shingles; a document's sketch is its ``k`` smallest
    values need a list: a passage that thousands of documents share drops out by itself
    wherever a document has rarer values. Of lists with the same members one is kept.
 3. Each representative meets the first of each of its lists, then, where a list still spans
-   several components, a seeded one, and at last all members of other components, size and
-   joint sketch permitting. A list of ``n`` similar texts thus costs ``n`` pairs.
+   several components, a seeded one: a list of ``n`` similar texts costs ``n`` pairs.
+   Representatives of lists that span several components even then get lists of their full
+   sets in the same way, which leaves only those that share ``percent`` of their shingles
+   with others; there all members of different components meet, sizes and bitmaps permitting.
 4. The joint-sketch estimate filters the pairs, the full sets decide them. The sets are made
    again from the texts; a bitmap of the wanted ids, of fixed size, spares the other texts
    the shuffle (were it full, all sets would be shuffled, and the join decide).
@@ -31,7 +33,7 @@ from tallyshop.llm import words as W
 from tallyshop.llm.graph import components
 from tallyshop.llm.storage import saved
 
-MISS = 1e-9
+MISS = 1e-6
 
 
 def shared_at_least(k: int, percent: int) -> int:
@@ -62,14 +64,16 @@ def shingle_sets(data, offsets, n: int) -> Iterator[np.ndarray]:
 
 SIGNATURE = 8
 _BITS = [f"s{i}" for i in range(SIGNATURE)] + ["loose"]
+WHOLE_SIGNATURE = 32
+_WHOLE_BITS = [f"f{i}" for i in range(WHOLE_SIGNATURE)] + ["over"]
 _SKETCH_NAMES = ["id", "n_shingles", "sum1", "sum2", "sketch", *_BITS]
 
 
-def _signatures(values: np.ndarray, held: np.ndarray) -> list[np.ndarray]:
-    """The sketches as bitmaps of ``SIGNATURE`` longs, and how many values share a bit: two
-    sketches share at most their common bits and the smaller of those numbers."""
-    bit = (values % (64 * SIGNATURE)).astype(np.uint64)
-    out = np.zeros((len(held), SIGNATURE), np.uint64)
+def _signatures(values: np.ndarray, held: np.ndarray, longs: int) -> list[np.ndarray]:
+    """Sets as bitmaps of ``longs`` longs, and how many values share a bit: two sets share at
+    most their common bits and the smaller of those numbers."""
+    bit = (values % (64 * longs)).astype(np.uint64)
+    out = np.zeros((len(held), longs), np.uint64)
     row = np.repeat(np.arange(len(held)), held)
     np.bitwise_or.at(out, (row, bit >> np.uint64(6)), np.uint64(1) << (bit & np.uint64(63)))
     return [*out.view(np.int64).T, held - np.bitwise_count(out).sum(1, dtype=np.int64)]
@@ -93,7 +97,7 @@ def _sketch(n: int, k: int):
                         pa.array(sizes, pa.int64()),
                         *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in sums),
                         W.list_array(pa.array(values), held),
-                        *map(pa.array, _signatures(values, held)),
+                        *map(pa.array, _signatures(values, held, SIGNATURE)),
                     ],
                     _SKETCH_NAMES,
                 )
@@ -130,12 +134,14 @@ def _sets(n: int, wanted):
             for lo, hi, data, offsets in W.slices(batch.column("text")):
                 sets = list(shingle_sets(data, offsets, n))
                 values = np.concatenate(sets).astype(np.int64)
+                held = np.array([len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(lo, hi - lo),
-                        W.list_array(pa.array(values), np.array([len(s) for s in sets])),
+                        W.list_array(pa.array(values), held),
+                        *map(pa.array, _signatures(values, held, WHOLE_SIGNATURE)),
                     ],
-                    ["id", "shingles"],
+                    ["id", "shingles", *_WHOLE_BITS],
                 )
 
     return run
@@ -149,6 +155,12 @@ def _possible(k: int, percent: int) -> Column:
     return sizes & (bits + F.least("loose_a", "loose_b") >= least.otherwise(shared_at_least(k, percent)))
 
 
+def _possible_sets(percent: int) -> Column:
+    """The same by bitmaps of the full sets: ``n`` shared of ``n_a + n_b - n`` are enough."""
+    bits = sum(F.bit_count(F.col(f"{c}_a").bitwiseAND(F.col(f"{c}_b"))) for c in _WHOLE_BITS[:-1])
+    return (100 + percent) * (bits + F.least("over_a", "over_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+
+
 def _alike(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose joint sketch allows the similarity; sketches that hold whole sets give no
     estimate but the similarity itself."""
@@ -167,6 +179,30 @@ def _named_columns(name: str, columns: list[str]) -> list[Column]:
     return [F.col(x).alias(y) for x, y in (("id", name), *((c, f"{c}_{name}") for c in ("n", *columns)))]
 
 
+def _lists(held: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Inverted lists ``(v, id)`` of two members at least, in which any two sets meet that share
+    the ``needed`` number of values: the rarest ``size - needed + 1`` values of each set, among
+    which those of one set alone come first and need no list."""
+    often = held.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    rarest = (
+        held.join(often, "v")
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))
+        .join(sizes, "id")
+        .withColumn("take", F.expr("size(shared) - needed + 1"))
+        .where("take > 0")
+        .select("id", F.explode(F.expr("slice(shared, 1, take)")).alias("x"))
+        .select("id", F.col("x.v").alias("v"))
+    )
+    rarest = saved(rarest)
+    # lists with the same members give the same pairs, so one of them is enough
+    members = rarest.groupBy("v").agg(
+        F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "id")).alias(f"x{i}") for i in (1, 2))
+    )
+    kept = members.where("n > 1").groupBy("n", "x1", "x2").agg(F.min("v").alias("v"))
+    return saved(rarest.join(kept.select("v"), "v", "left_semi"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -209,31 +245,14 @@ def near_duplicates(
     )
     reps = member.where("sketch IS NOT NULL").select("id", "n", "sketch", *_BITS)
 
-    # inverted lists of the rarest values of each sketch
-    held = reps.select("id", F.explode("sketch").alias("v"))
-    often = held.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     size = F.size("sketch")
     needed = F.when(
         F.col("n") * 100 <= k * percent, F.ceil(F.col("n") * percent / 100).cast("int")
     ).otherwise(F.least(F.lit(sure), size))
-    rarest = (
-        held.join(often, "v")
-        .groupBy("id")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))
-        .join(reps.select("id", "n", (size - needed + 1).alias("room"), size.alias("s")), "id")
-        # values of this sketch alone are rarer still and come first
-        .withColumn("take", F.col("room") - (F.col("s") - F.size("shared")))
-        .where("take > 0")
-        .select("id", F.explode(F.expr("slice(shared, 1, take)")).alias("x"))
-        .select("id", F.col("x.v").alias("v"))
+    lists = _lists(
+        reps.select("id", F.explode("sketch").alias("v")),
+        reps.select("id", size.alias("size"), needed.alias("needed")),
     )
-    rarest = saved(rarest)
-    # lists with the same members give the same pairs, so one of them is enough
-    members = rarest.groupBy("v").agg(
-        F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "id")).alias(f"x{i}") for i in (1, 2))
-    )
-    needed_lists = members.where("n > 1").groupBy("n", "x1", "x2").agg(F.min("v").alias("v"))
-    lists = saved(rarest.join(needed_lists.select("v"), "v", "left_semi"))
     reps = saved(reps.join(lists.select("id").distinct(), "id", "left_semi"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -244,14 +263,19 @@ def near_duplicates(
         close = _alike(both.where(_possible(k, percent)), k, percent)
         return exact(saved(close.select("a", "b", "n_a", "n_b")))
 
+    def full_sets(ids: DataFrame) -> DataFrame:
+        wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
+        return (
+            texts.withColumn("bit", _bit()).mapInArrow(
+                _sets(shingle_words, wanted),
+                "id long, shingles array<long>, " + ", ".join(f"{c} long" for c in _WHOLE_BITS),
+            )
+            .join(ids, "id", "left_semi").dropDuplicates(["id"])
+        )
+
     def exact(close: DataFrame) -> DataFrame:
         involved = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id")))
-        involved = involved.distinct()
-        wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(involved))
-        sets = (
-            texts.withColumn("bit", _bit()).mapInArrow(_sets(shingle_words, wanted), "id long, shingles array<long>")
-            .join(involved, "id", "left_semi").dropDuplicates(["id"])
-        )
+        sets = full_sets(involved.distinct())
         both = F.size(F.array_intersect("shingles_a", "shingles_b"))
         return saved(
             close.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("shingles_a")), "a")
@@ -260,7 +284,7 @@ def near_duplicates(
             .select("a", "b")
         )
 
-    def labelled(edges: DataFrame) -> DataFrame:
+    def labelled(edges: DataFrame, lists: DataFrame) -> DataFrame:
         found = components(edges)
         return lists.join(found, "id", "left").select(
             "v", "id", F.coalesce("component", "id").alias("c")
@@ -282,15 +306,28 @@ def near_duplicates(
 
     first = with_leader(lists.withColumn("c", F.col("id")), F.min(F.struct("id", "c")))
     edges = confirmed(first)
-    left = saved(open_lists(labelled(edges)))
+    left = saved(open_lists(labelled(edges, lists)))
     if not left.isEmpty():
         seeded = F.min_by(F.struct("id", "c"), F.xxhash64("v", "id"))
         edges = edges.union(confirmed(with_leader(left, seeded)))
-        left = open_lists(labelled(edges)).join(reps.drop("sketch"), "id")
-        x = left.select("v", F.col("c").alias("c_a"), *_named_columns("a", _BITS))
-        y = left.select("v", F.col("c").alias("c_b"), *_named_columns("b", _BITS))
-        rest = x.join(y, "v").where("a < b AND c_a <> c_b").where(_possible(k, percent))
-        edges = edges.union(confirmed(rest.select("a", "b").distinct()))
+        open_ids = saved(open_lists(labelled(edges, lists)).select("id").distinct())
+        sizes = F.col("n").alias("size"), F.ceil(F.col("n") * percent / 100).cast("int").alias("needed")
+        sets = full_sets(open_ids)
+        whole = _lists(
+            sets.select("id", F.explode("shingles").alias("v")),
+            reps.join(open_ids, "id", "left_semi").select("id", *sizes),
+        )
+        left = open_lists(labelled(edges, whole))
+        own = left.groupBy("id").agg(F.collect_list("v").alias("lists"))
+        left = saved(
+            left.join(own, "id").join(reps.select("id", "n"), "id").join(sets.select("id", *_WHOLE_BITS), "id")
+        )
+        x = left.select("v", F.col("c").alias("c_a"), *_named_columns("a", ["lists", *_WHOLE_BITS]))
+        y = left.select("v", F.col("c").alias("c_b"), *_named_columns("b", ["lists", *_WHOLE_BITS]))
+        rest = x.join(y, "v").where("a < b AND c_a <> c_b").where(_possible_sets(percent))
+        # of all lists that two sketches share, one gives the pair
+        once = rest.where(F.array_min(F.array_intersect("lists_a", "lists_b")) == F.col("v"))
+        edges = edges.union(confirmed(once.select("a", "b")))
     edges = edges.distinct()
 
     degree = (

@@ -29,10 +29,11 @@ RATE, FLOOR, DECAY = 1.0, 0.5, 0.002
 
 @dataclass
 class Model:
-    """The projection of each vector, and the bias."""
+    """The projection of each vector, the bias, and the log-odds of a text without words."""
 
     weight: np.ndarray
     bias: float
+    empty: float
 
 
 def _subwords(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +83,9 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, seed: int = 11)
     scores everything by the share of toxic ones."""
     toxic = np.asarray(toxic, float)
     share = float(np.clip(toxic.mean() if len(toxic) else 0.5, 0.01, 0.99))
+    empty = float(np.log(share / (1 - share)))
     if not 0 < toxic.sum() < len(toxic):
-        return Model(np.zeros(2**BITS, np.float32), float(np.log(share / (1 - share))))
+        return Model(np.zeros(2**BITS, np.float32), empty, empty)
     column = pa.array(texts, pa.string())
     parts = []
     words = 0
@@ -137,7 +139,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, seed: int = 11)
             # relative to the largest, so that a rare n-gram moves as little as its evidence says
             theta[k] -= RATE * (m[0] / (1 - 0.9**step)) / (spread + FLOOR * spread.max() + 1e-8)
         theta["e"] *= 1 - DECAY
-    return Model((theta["e"] @ theta["w"]).astype(np.float32), float(theta["b"][0]))
+    return Model((theta["e"] @ theta["w"]).astype(np.float32), float(theta["b"][0]), empty)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -163,7 +165,7 @@ def _score(model: Model, batches):
     for batch in batches:
         for lo, hi, data, offsets in W.slices(batch.column("text")):
             found = W.find_words(data, offsets, W.ALNUM)
-            logits = np.zeros(hi - lo)
+            logits = np.full(hi - lo, model.empty)
             spans = np.full((hi - lo), -1)
             if len(found.starts):
                 features, starts = _subwords(found)
@@ -173,12 +175,12 @@ def _score(model: Model, batches):
                 held = np.diff(np.append(begin, len(word)))
                 bag = np.add.reduceat(word, begin) / held
                 worst, full = _worst(bag, owner, hi - lo)
-                logits[full] = bag[worst]
+                logits[full] = bag[worst] + model.bias
                 spans[full] = begin[worst] - found.first[:-1][full]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").slice(lo, hi - lo),
-                    pa.array(1 / (1 + np.exp(-np.clip(logits + model.bias, -40, 40)))),
+                    pa.array(1 / (1 + np.exp(-np.clip(logits, -40, 40)))),
                     pa.array(spans, pa.int64()),
                 ],
                 ["id", "score", "worst_word"],
@@ -187,7 +189,7 @@ def _score(model: Model, batches):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score, worst_word)`` for every row: the probability of the worst bag of words and
-    where it begins (-1 without words; the score is then that of the bias alone).
+    where it begins (-1 without words; the score is then the share of toxic training texts).
 
     Rows are taken one by one, so null ids, repeated rows, empty tables and other columns
     make no difference; texts are read whole.
