@@ -69,6 +69,7 @@ TEMPLATES = {
     ],
     "proprietary": [
         "All rights reserved.",
+        "Copyright (c) The Authors. All rights reserved.",
         "No part of this publication may be reproduced, distributed, or transmitted in any form or by any "
         "means without the prior written permission of the publisher.",
         "Unauthorized copying of this file, via any medium, is strictly prohibited.",
