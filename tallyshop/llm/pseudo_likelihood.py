@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyshop.llm import words as W
+from tallyshop.llm.storage import saved
 
 VOCABULARY = 4_096
 OWN, SHARED = 127, 32
@@ -62,6 +63,7 @@ def _word_counts(batches):
 def vocabulary(texts: DataFrame) -> Vocabulary:
     """Counts of all words of the corpus; the ``VOCABULARY`` most frequent are numbered."""
     counts = texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = saved(counts)
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     word = np.array([r.word for r in top], np.int64).view(np.uint64)
@@ -133,7 +135,9 @@ def _learn(net: dict, context: np.ndarray, target: np.ndarray, rate: float) -> N
         pull = (back @ net["w1"].T).reshape(-1, SIZE)
         net["w1"] -= x.T @ back
         net["b1"] -= back.sum(0)
-        np.subtract.at(net["vectors"], c.ravel(), 8 * pull)
+        order = np.argsort(c, axis=None, kind="stable")
+        number, begin = np.unique(c.ravel()[order], return_index=True)
+        net["vectors"][number] -= 8 * np.add.reduceat(pull[order], begin, axis=0)
 
 
 def _train_copies(round_: int):
