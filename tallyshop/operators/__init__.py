@@ -10,7 +10,6 @@ from tallyshop.operators.ordering import global_row_number, ntile_global, rank_w
 from tallyshop.operators.periods import growth_pct, running_total
 from tallyshop.operators.quality import fk_violations, null_violations, pk_violations, validate
 from tallyshop.operators.relations import count_lookup, team_rollup, unmatched, with_manager
-from tallyshop.operators.skew import hot_keys, split_join
 from tallyshop.operators.stats import (
     fulfilment,
     group_median,
@@ -26,7 +25,6 @@ __all__ = [
     "fulfilment",
     "global_row_number",
     "group_median",
-    "hot_keys",
     "growth_pct",
     "item_totals",
     "lookup",
@@ -40,7 +38,6 @@ __all__ = [
     "running_total",
     "save_item_totals",
     "segment_by_count",
-    "split_join",
     "status_pivot",
     "team_rollup",
     "top_n",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyshop.operators.skew import split_join
 from tallyshop.session import input_bytes, parse_bytes
 
 
@@ -23,7 +22,8 @@ def fits_broadcast(dim: DataFrame) -> bool:
 
 def lookup(facts: DataFrame, dim: DataFrame, on: str) -> DataFrame:
     """``facts`` with the columns of the dimension ``dim``, by broadcast within
-    the limit. Beyond it both are shuffled, and hot keys are joined apart."""
+    the limit. Beyond it both are shuffled, and adaptive execution splits hot keys (see
+    ``session.tune``)."""
     if fits_broadcast(dim):
         return facts.join(F.broadcast(dim), on)
-    return split_join(facts, dim, on)
+    return facts.join(dim, on)

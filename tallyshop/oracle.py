@@ -50,8 +50,8 @@ geo AS (
       WHEN o_orderstatus = 'O' THEN 2 WHEN o_orderstatus = 'F' THEN 4 END AS order_status,
     CAST(o_orderdate AS DATE) AS order_date,
     CAST(o_orderdate AS DATE) + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS required_date,
-    s_nationkey AS store_id, s_suppkey AS staff_id
-  FROM orders JOIN supplier ON s_suppkey = o_orderkey % 10
+    s_nationkey AS store_id, o_orderkey % (SELECT max(s_suppkey) + 1 FROM supplier) AS staff_id
+  FROM orders LEFT JOIN supplier ON s_suppkey = o_orderkey % (SELECT max(s_suppkey) + 1 FROM supplier)
 ), m_orders AS (
   SELECT *, CASE WHEN order_status = 4
     THEN order_date + CAST(order_id % 7 AS INTEGER) END AS shipped_date

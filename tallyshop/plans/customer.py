@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tallyshop.functions import ratio, rounded, tier_lt
 from tallyshop.operators.facts import is_valid, item_totals, order_totals
 from tallyshop.operators.ordering import top_n
-from tallyshop.operators.skew import split_join
 from tallyshop.operators.stats import pct_of_total, segment_by_count
 from tallyshop.schema import RetailTables
 
@@ -159,13 +158,13 @@ def top_cities(t: RetailTables, n: int = 15) -> DataFrame:
 def customer_vs_store_state(t: RetailTables) -> DataFrame:
     """Orders by the customer's state and the store's state.
 
-    Orders meet customers in one shuffle on the customer, hot customers apart;
+    Orders meet customers in one shuffle on the customer, hot customers split by adaptive execution;
     stores are joined to the counts.
     """
     homes = t.customers.select("customer_id", F.col("state").alias("customer_state"))
     places = t.stores.select("store_id", F.col("state").alias("store_state"))
     per_store = (
-        split_join(t.orders.select("customer_id", "store_id"), homes, "customer_id")
+        t.orders.select("customer_id", "store_id").join(homes, "customer_id")
         .groupBy("customer_state", "store_id")
         .agg(F.count("*").alias("n"))
     )

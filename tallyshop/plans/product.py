@@ -13,7 +13,6 @@ from tallyshop.functions import mean, ratio, rounded, tier_lt
 from tallyshop.operators.facts import product_totals
 from tallyshop.operators.ordering import ntile_global, top_n
 from tallyshop.operators.relations import unmatched
-from tallyshop.operators.skew import split_join
 from tallyshop.operators.stats import group_median
 from tallyshop.plans.dims import catalog, product_brand, product_category
 from tallyshop.schema import RetailTables
@@ -28,9 +27,6 @@ PRICE_TIERS = (
     "5. $3000+",
 )
 
-# A top-n list up to this long is sent to every task to narrow a second scan.
-_TOP_N_BROADCAST = 10_000
-
 _NAMES = ("product_id", "product_name", "brand_name", "category_name")
 
 
@@ -60,15 +56,14 @@ def best_sellers(t: RetailTables, n: int = 10) -> DataFrame:
         n,
         ["product_id"],
     )
-    wanted = listed.select("product_id")
-    if n <= _TOP_N_BROADCAST:
-        wanted = F.broadcast(wanted)
-    orders = (
-        t.order_items.join(wanted, "product_id", "left_semi")
-        .groupBy("product_id")
+    # every listed product has a line, so the list is joined once and its columns are the group
+    return (
+        t.order_items.select("product_id", "order_id")
+        .join(listed, "product_id")
+        .groupBy(*listed.columns)
         .agg(F.countDistinct("order_id").alias("num_orders"))
+        .orderBy(units.desc(), "product_id")
     )
-    return listed.join(orders, "product_id").orderBy(units.desc(), "product_id")
 
 
 def slow_movers(t: RetailTables, n: int = 10) -> DataFrame:
@@ -86,7 +81,7 @@ def never_sold(t: RetailTables, since: str | None = None) -> DataFrame:
     lines = t.order_items
     if since is not None:
         recent = t.orders.where(F.col("order_date") >= F.lit(since).cast("date"))
-        lines = split_join(lines, recent.select("order_id"), "order_id")
+        lines = lines.join(recent.select("order_id"), "order_id")
     return (
         unmatched(catalog(t), lines, "product_id")
         .select(*_NAMES, rounded("list_price").alias("list_price"))

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import math
 import re
-import tempfile
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
 # A shuffle holds (scan tasks x shuffle partitions) blocks, so both are bounded:
 # beyond these numbers tasks get larger and spill, instead of blocks getting tiny.
+# They are the defaults of ``tune``; a larger cluster gives larger ones.
 SHUFFLE_PARTITION_BYTES = 256 << 20
-MAX_SHUFFLE_PARTITIONS = 16_384
-MAX_SCAN_TASKS = 200_000
-MAX_SCAN_BYTES = 1 << 30
+SHUFFLE_PARTITIONS = 16_384
+SCAN_TASKS = 200_000
+SCAN_BYTES = 1 << 30
+# Without it, blocks of a hot key are reported by the average of all small blocks once a
+# shuffle has thousands of partitions, and adaptive execution does not see the key.
+ACCURATE_BLOCKS = "spark.shuffle.accurateBlockSkewedFactor"
 
 _INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 _SCAN_BYTES = "spark.sql.files.maxPartitionBytes"
@@ -36,7 +40,13 @@ def input_bytes(df: DataFrame) -> int:
     )
 
 
-def tune(spark: SparkSession, largest: DataFrame | None = None) -> None:
+def tune(
+    spark: SparkSession,
+    largest: DataFrame | None = None,
+    max_shuffle_partitions: int = SHUFFLE_PARTITIONS,
+    max_scan_tasks: int = SCAN_TASKS,
+    max_scan_bytes: int = SCAN_BYTES,
+) -> None:
     """Prepare a session for adaptive execution on skewed and large inputs.
 
     * A skewed join is split even where a later aggregation would have reused
@@ -44,18 +54,28 @@ def tune(spark: SparkSession, largest: DataFrame | None = None) -> None:
     * Shuffles start with enough partitions for the input ``largest`` to be near
       256 MB each; adaptive execution merges the small ones afterwards. The
       session's own ``spark.sql.shuffle.partitions`` is the floor.
-    * Scans of very large inputs read larger splits, up to 1 GB.
+      At most ``max_shuffle_partitions`` are asked for.
+    * Scans that would have more than ``max_scan_tasks`` tasks read larger splits, up to
+      ``max_scan_bytes``.
+
+    Hot keys are found by block sizes, so the application should start with
+    ``spark.shuffle.accurateBlockSkewedFactor`` (5.0, say; with more than a hundred hot keys a
+    larger ``spark.shuffle.maxAccurateSkewedBlockNumber`` too). A warning says so on a cluster
+    where it is off.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    context = spark.sparkContext
+    if not context.master.startswith("local") and float(context.getConf().get(ACCURATE_BLOCKS, "-1")) <= 0:
+        warnings.warn(f"{ACCURATE_BLOCKS} is off: hot join keys may stay unsplit", stacklevel=2)
     if largest is None:
         return
     size = input_bytes(largest)
-    split = min(MAX_SCAN_BYTES, math.ceil(size / MAX_SCAN_TASKS))
+    split = min(max_scan_bytes, math.ceil(size / max_scan_tasks))
     if split > parse_bytes(spark.conf.get(_SCAN_BYTES)):
         spark.conf.set(_SCAN_BYTES, str(split))
-    wanted = min(MAX_SHUFFLE_PARTITIONS, math.ceil(size / SHUFFLE_PARTITION_BYTES))
+    wanted = min(max_shuffle_partitions, math.ceil(size / SHUFFLE_PARTITION_BYTES))
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
     current = int(spark.conf.get(_INITIAL_PARTITIONS, str(floor)) or floor)
     if wanted > max(floor, current):
@@ -65,9 +85,8 @@ def tune(spark: SparkSession, largest: DataFrame | None = None) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``. Only a local
-    session, where the driver is also the executor, may fall back to a fresh
-    temporary folder.
+    A cluster names a shared folder in ``spark.checkpoint.dir``. Where that is unset, a
+    folder in the warehouse is taken, which all executors share as well.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -75,8 +94,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="run-checkpoint-")
+        configured = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
     context.setCheckpointDir(configured)
     return configured

@@ -12,7 +12,7 @@ from tallyshop.schema import SCHEMAS, RetailTables
 # Both sides of the order-to-line join are laid out by this key when bucketed.
 BUCKETED_BY_ORDER = ("orders", "order_items")
 # Lines of one order, in multiples of an average bucket.
-MAX_BUCKET_SKEW = 4
+BUCKET_SKEW = 4
 
 
 def read_table(spark: SparkSession, path: str, name: str, fmt: str = "csv") -> DataFrame:
@@ -56,7 +56,11 @@ def write_tables(
 
 
 def save_bucketed(
-    tables: RetailTables, database: str, buckets: int, root: str | None = None
+    tables: RetailTables,
+    database: str,
+    buckets: int,
+    root: str | None = None,
+    max_skew: float = BUCKET_SKEW,
 ) -> RetailTables:
     """Save orders and order lines as tables bucketed and sorted by ``order_id``.
 
@@ -65,13 +69,13 @@ def save_bucketed(
     a few hundred MB. Returns the same model reading from the saved tables.
 
     A bucket is read by one task and cannot be split. If a single order would
-    fill several buckets by itself, the tables are refused: the reports' own
+    fill ``max_skew`` buckets by itself, the tables are refused: the reports' own
     shuffles add up or split such an order, a bucketed scan would not.
     """
     spark = tables.spark
     per_order = tables.order_items.groupBy("order_id").agg(F.count("*").alias("n"))
     largest, total = per_order.agg(F.max("n"), F.sum("n")).first()
-    if total and largest * buckets > MAX_BUCKET_SKEW * total:
+    if total and largest * buckets > max_skew * total:
         raise ValueError(
             f"one order has {largest} of {total} lines: too many for one of {buckets} buckets"
         )

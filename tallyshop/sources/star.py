@@ -1,32 +1,20 @@
 """The retail model over a TPC-H-like star of Parquet files.
 
-The mapping is row-local, apart from lookups in dimensions whose size is fixed
-by the star (nations, regions, the ten suppliers that act as sales staff).
+The mapping is row-local, apart from lookups in dimensions (nations, regions, and the
+suppliers that act as sales staff).
 Columns the star does not have are derived from keys.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyshop.operators.lookup import lookup
+from tallyshop.operators.lookup import fits_broadcast, lookup
 from tallyshop.schema import SCHEMAS, RetailTables
 from tallyshop.session import tune
 
-# Orders are assigned to this many suppliers, by key.
-SELLERS = 10
-
-
-@lru_cache(maxsize=256)
-def _file_schema(spark: SparkSession, path: str) -> StructType:
-    # Reading a Parquet footer is a job of its own; do it once per file.
-    return spark.read.parquet(path).schema
-
-
 def _as(name: str, df: DataFrame, **columns: str) -> DataFrame:
     """The columns of table ``name`` in order and type, from SQL expressions
     over ``df``; those not given are null."""
@@ -41,9 +29,14 @@ def _as(name: str, df: DataFrame, **columns: str) -> DataFrame:
 def load_retail(spark: SparkSession, sf_dir: str) -> RetailTables:
     """The nine tables over the star in ``sf_dir``. Files are opened on first use."""
 
+    schemas: dict[str, StructType] = {}
+
     def raw(name: str) -> DataFrame:
+        # Reading a Parquet footer is a job of its own; do it once per file and call.
         path = f"{sf_dir}/{name}.parquet"
-        return spark.read.schema(_file_schema(spark, path)).parquet(path)
+        if name not in schemas:
+            schemas[name] = spark.read.parquet(path).schema
+        return spark.read.schema(schemas[name]).parquet(path)
 
     def geography() -> DataFrame:
         regions = raw("region").selectExpr("r_regionkey AS n_regionkey", "r_name")
@@ -126,12 +119,12 @@ def load_retail(spark: SparkSession, sf_dir: str) -> RetailTables:
         )
 
     def orders() -> DataFrame:
-        # At most one supplier per key from 0 to 9 is sent to the tasks, at any scale.
-        sellers = (
-            raw("supplier")
-            .where(f"s_suppkey BETWEEN 0 AND {SELLERS - 1}")
-            .selectExpr("s_suppkey AS seller", "s_nationkey")
-        )
+        # Orders are dealt to all suppliers by key; an order keeps its row even if no
+        # supplier has the key it is dealt to.
+        sellers = raw("supplier").selectExpr("s_suppkey AS seller", "s_nationkey")
+        number = raw("supplier").selectExpr("max(s_suppkey) + 1 AS n")
+        if fits_broadcast(sellers):
+            sellers = F.broadcast(sellers)
         placed = raw("orders").selectExpr(
             "o_orderkey",
             "o_custkey",
@@ -139,11 +132,10 @@ def load_retail(spark: SparkSession, sf_dir: str) -> RetailTables:
             "CASE WHEN o_orderkey % 20 = 0 THEN 3 WHEN o_orderstatus = 'P' THEN 1 "
             "WHEN o_orderstatus = 'O' THEN 2 WHEN o_orderstatus = 'F' THEN 4 END AS status",
             "to_date(o_orderdate) AS day",
-            f"o_orderkey % {SELLERS} AS seller",
-        )
+        ).withColumn("seller", F.col("o_orderkey") % number.scalar())
         return _as(
             "orders",
-            placed.join(F.broadcast(sellers), "seller"),
+            placed.join(sellers, "seller", "left"),
             order_id="o_orderkey",
             customer_id="o_custkey",
             order_status="status",

@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .appName("tallyshop-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.shuffle.accurateBlockSkewedFactor", "5.0")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")

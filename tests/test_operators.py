@@ -293,7 +293,7 @@ def test_tune_sizes_shuffles_from_the_input(spark, golden, monkeypatch):
         assert {k: spark.conf.get(k, None) for k in keys} == before
         monkeypatch.setattr(session, "input_bytes", lambda df: 100 * 10**12)
         tune(spark, golden.orders)
-        assert int(spark.conf.get(keys[0])) == session.MAX_SHUFFLE_PARTITIONS
+        assert int(spark.conf.get(keys[0])) == session.SHUFFLE_PARTITIONS
         assert int(spark.conf.get(keys[1])) == 500_000_000
     finally:
         for k, v in before.items():
@@ -318,14 +318,13 @@ def test_checkpoint_folder_comes_from_the_session(configured):
         sparkContext = Context
 
         class conf:
-            get = staticmethod(lambda key, default: configured)
-
-    if configured is None:
-        # A folder of one machine would be of no use to the others.
-        with pytest.raises(RuntimeError):
-            ensure_checkpoint_dir(Session)
-    else:
-        assert ensure_checkpoint_dir(Session) == configured == Context.chosen
+            @staticmethod
+            def get(key, default=None):
+                return "/shared/warehouse" if key == "spark.sql.warehouse.dir" else configured
+
+    # Without a setting, the warehouse is the folder that all executors share.
+    expected = configured or "/shared/warehouse/_checkpoints"
+    assert ensure_checkpoint_dir(Session) == expected == Context.chosen
 
 
 def test_a_local_session_has_a_checkpoint_folder(spark):

