@@ -12,8 +12,9 @@ One hash function orders all shingles; a document's sketch is its ``k`` smallest
 3. Each representative meets the first of each of its lists, then, where a list still spans
    several components, a seeded one: a list of ``n`` similar texts costs ``n`` pairs.
    Representatives of lists that span several components even then get lists of their full
-   sets in the same way, which leaves only those that share ``percent`` of their shingles
-   with others; there all members of different components meet, sizes and bitmaps permitting.
+   sets in the same way, of values that span components, which leaves only those that share
+   ``percent`` of their shingles with other components. There all members of different
+   components are compared by size and bitmap, in cells of at most two blocks of a list.
 4. The joint-sketch estimate filters the pairs, the full sets decide them. The sets are made
    again from the texts; a bitmap of the wanted ids, of fixed size, spares the other texts
    the shuffle (were it full, all sets would be shuffled, and the join decide).
@@ -155,10 +156,75 @@ def _possible(k: int, percent: int) -> Column:
     return sizes & (bits + F.least("loose_a", "loose_b") >= least.otherwise(shared_at_least(k, percent)))
 
 
-def _possible_sets(percent: int) -> Column:
-    """The same by bitmaps of the full sets: ``n`` shared of ``n_a + n_b - n`` are enough."""
-    bits = sum(F.bit_count(F.col(f"{c}_a").bitwiseAND(F.col(f"{c}_b"))) for c in _WHOLE_BITS[:-1])
-    return (100 + percent) * (bits + F.least("over_a", "over_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+#: Members of a list in one block, on average.
+BLOCK = 1024
+_STRIP = 1 << 15
+_CELL = ["v", "i", "j"]
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """Lists in blocks, and a cell ``(v, i, j)`` with the members of both blocks for each pair of
+    blocks; ``low`` marks those of block ``i``."""
+    blocks = members.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block, other = F.col("block"), F.col("other")
+    return (
+        members.join(blocks, "v")
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "v", F.least(block, other).alias("i"), F.greatest(block, other).alias("j"),
+            (block <= other).alias("low"), "id", "c", "n", *_WHOLE_BITS,
+        )
+    )
+
+
+def _compare(percent: int):
+    """Pairs of members of a cell, of different components, whose sizes and bitmaps allow the
+    similarity: ``n`` shared of ``n_a + n_b - n`` are enough. Cells come sorted."""
+
+    def pairs(cell: pa.RecordBatch):
+        col = {name: cell.column(name).to_numpy(zero_copy_only=False) for name in ("id", "c", "n", "over")}
+        bits = np.stack([cell.column(f).to_numpy() for f in _WHOLE_BITS[:-1]], axis=1).view(np.uint64)
+        low = cell.column("low").to_numpy(zero_copy_only=False)
+        within = cell.column("i")[0] == cell.column("j")[0]
+        x, y = np.flatnonzero(low), np.arange(len(low)) if within else np.flatnonzero(~low)
+        if len(y) == 0:
+            return
+        step = max(1, _STRIP // len(y))
+        for a in range(0, len(x), step):
+            some = x[a : a + step, None]
+            n, m = col["n"][some], col["n"][y]
+            fit = (col["c"][some] != col["c"][y]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            if within:
+                fit &= some < y
+            p, q = np.nonzero(fit)
+            p, q = some[p, 0], y[q]
+            shared = np.bitwise_count(bits[p] & bits[q]).sum(1, dtype=np.int64) + np.minimum(col["over"][p], col["over"][q])
+            near = (100 + percent) * shared >= percent * (col["n"][p] + col["n"][q])
+            one, two = col["id"][p[near]], col["id"][q[near]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"]
+            )
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            new = np.zeros(batch.num_rows - 1, bool)
+            for name in _CELL:
+                value = batch.column(name).to_numpy()
+                new |= value[1:] != value[:-1]
+            begin = [0, *(np.flatnonzero(new) + 1).tolist()]
+            for a, b in zip(begin[:-1], begin[1:], strict=True):
+                yield from pairs(batch.slice(a, b - a))
+            rest = batch.slice(begin[-1])
+        if rest is not None:
+            yield from pairs(rest)
+
+    return run
 
 
 def _alike(pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -180,10 +246,12 @@ def _named_columns(name: str, columns: list[str]) -> list[Column]:
 
 
 def _lists(held: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Inverted lists ``(v, id)`` of two members at least, in which any two sets meet that share
-    the ``needed`` number of values: the rarest ``size - needed + 1`` values of each set, among
-    which those of one set alone come first and need no list."""
-    often = held.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    """Inverted lists ``(v, id)`` of two members at least, in which any two sets of different
+    components ``c`` meet that share the ``needed`` number of values: the rarest ``size - needed
+    + 1`` values of each set, among which those of one component alone come first and need no
+    list."""
+    spread = F.count("*").alias("df"), F.min("c").alias("x"), F.max("c").alias("y")
+    often = held.groupBy("v").agg(*spread).where("x < y").select("v", "df")
     rarest = (
         held.join(often, "v")
         .groupBy("id")
@@ -250,7 +318,7 @@ def near_duplicates(
         F.col("n") * 100 <= k * percent, F.ceil(F.col("n") * percent / 100).cast("int")
     ).otherwise(F.least(F.lit(sure), size))
     lists = _lists(
-        reps.select("id", F.explode("sketch").alias("v")),
+        reps.select("id", F.col("id").alias("c"), F.explode("sketch").alias("v")),
         reps.select("id", size.alias("size"), needed.alias("needed")),
     )
     reps = saved(reps.join(lists.select("id").distinct(), "id", "left_semi"))
@@ -310,24 +378,21 @@ def near_duplicates(
     if not left.isEmpty():
         seeded = F.min_by(F.struct("id", "c"), F.xxhash64("v", "id"))
         edges = edges.union(confirmed(with_leader(left, seeded)))
-        open_ids = saved(open_lists(labelled(edges, lists)).select("id").distinct())
+        placed = saved(open_lists(labelled(edges, lists)).select("id", "c").distinct())
+        open_ids = placed.select("id")
         sizes = F.col("n").alias("size"), F.ceil(F.col("n") * percent / 100).cast("int").alias("needed")
-        sets = full_sets(open_ids)
+        sets = saved(full_sets(open_ids))
         whole = _lists(
-            sets.select("id", F.explode("shingles").alias("v")),
+            sets.join(placed, "id").select("id", "c", F.explode("shingles").alias("v")),
             reps.join(open_ids, "id", "left_semi").select("id", *sizes),
         )
-        left = open_lists(labelled(edges, whole))
-        own = left.groupBy("id").agg(F.collect_list("v").alias("lists"))
-        left = saved(
-            left.join(own, "id").join(reps.select("id", "n"), "id").join(sets.select("id", *_WHOLE_BITS), "id")
+        left = open_lists(whole.join(placed, "id"))
+        left = left.join(reps.select("id", "n"), "id").join(sets.select("id", *_WHOLE_BITS), "id")
+        rest = (
+            _cells(saved(left)).repartition(*_CELL).sortWithinPartitions(*_CELL)
+            .mapInArrow(_compare(percent), "a long, b long").distinct()
         )
-        x = left.select("v", F.col("c").alias("c_a"), *_named_columns("a", ["lists", *_WHOLE_BITS]))
-        y = left.select("v", F.col("c").alias("c_b"), *_named_columns("b", ["lists", *_WHOLE_BITS]))
-        rest = x.join(y, "v").where("a < b AND c_a <> c_b").where(_possible_sets(percent))
-        # of all lists that two sketches share, one gives the pair
-        once = rest.where(F.array_min(F.array_intersect("lists_a", "lists_b")) == F.col("v"))
-        edges = edges.union(confirmed(once.select("a", "b")))
+        edges = edges.union(confirmed(saved(rest)))
     edges = edges.distinct()
 
     degree = (
