@@ -31,6 +31,7 @@ MASK, ROUNDS, BATCH = 16, 2, 512
 _CLASSES = OWN + SHARED + 1  # one for words beyond the vocabulary
 _EDGE = VOCABULARY  # the vector of what lies beyond a text; further ones for rarer words
 _RARE = 64
+_STEPS = np.array([d for d in range(-SIDE, SIDE + 1) if d])
 _SHAPES = {
     "vectors": (VOCABULARY + 1 + _RARE, SIZE),
     "w1": (2 * SIDE * SIZE, HIDDEN),
@@ -78,9 +79,8 @@ def vocabulary(texts: DataFrame) -> Vocabulary:
     )
 
 
-def _numbered(found: W.Words, vocab: Vocabulary):
+def _numbered(hashes: np.ndarray, vocab: Vocabulary):
     """Per word: its vector, its class and the log-share in the class."""
-    hashes = found.hashes(W.ALNUM)
     vector = VOCABULARY + 1 + (hashes % np.uint64(_RARE)).astype(np.int64)
     classes = np.full(len(hashes), _CLASSES - 1)
     share = np.full(len(hashes), vocab.rare)
@@ -94,15 +94,12 @@ def _numbered(found: W.Words, vocab: Vocabulary):
     return vector, classes, share
 
 
-def _around(vector: np.ndarray, first: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The vectors' numbers on both sides of the words at ``places``."""
-    owner = np.searchsorted(first, places, side="right") - 1
-    out = np.empty((len(places), 2 * SIDE), np.int64)
-    for i, step in enumerate([d for d in range(-SIDE, SIDE + 1) if d]):
-        at = places + step
-        inside = (at >= first[owner]) & (at < first[owner + 1])
-        out[:, i] = np.where(inside, vector[np.clip(at, 0, len(vector) - 1)], _EDGE)
-    return out
+def _padded(vector: np.ndarray, found: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors' numbers with ``SIDE`` edges around each text, and where each word is in them."""
+    at = np.arange(len(vector)) + SIDE * (found.owner() + 1)
+    out = np.full(len(vector) + SIDE * (found.texts + 1), _EDGE)
+    out[at] = vector
+    return out, at
 
 
 def initial(seed: int = 23) -> dict[str, np.ndarray]:
@@ -116,8 +113,11 @@ def initial(seed: int = 23) -> dict[str, np.ndarray]:
 def _forward(net: dict, context: np.ndarray):
     x = net["vectors"][context].reshape(len(context), -1)
     h = np.tanh(x @ net["w1"] + net["b1"])
-    z = h @ net["w2"] + net["b2"]
-    z -= z.max(1, keepdims=True)
+    z = h @ net["w2"]
+    z += net["b2"]
+    # no logit is beyond this bound, so exp needs the maximum taken off only where it is large
+    if np.abs(net["w2"]).sum(0).max() + np.abs(net["b2"]).max() > 80:
+        z -= z.max(1, keepdims=True)
     return x, h, z
 
 
@@ -125,7 +125,7 @@ def _learn(net: dict, context: np.ndarray, target: np.ndarray, rate: float) -> N
     for a in range(0, len(target), BATCH):
         c, y = context[a : a + BATCH], target[a : a + BATCH]
         x, h, z = _forward(net, c)
-        p = np.exp(z)
+        p = np.exp(z, out=z)
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         p *= rate / len(y)
@@ -149,12 +149,14 @@ def _train_copies(round_: int):
                 found = W.find_words(data, offsets, W.ALNUM)
                 if len(found.starts) == 0:
                     continue
-                vector, classes, _ = _numbered(found, vocab)
+                hashes = found.hashes(W.ALNUM)
+                vector, classes, _ = _numbered(hashes, vocab)
                 inside = np.arange(len(vector)) - np.repeat(found.first[:-1], found.counts())
                 # which words are masked depends on the word and its place only; each text has one
-                draw = W.mix(found.hashes(W.ALNUM) + inside.astype(np.uint64), round_)
+                draw = W.mix(hashes + inside.astype(np.uint64), round_)
                 places = np.flatnonzero((draw % np.uint64(MASK) == 0) | (inside == 0))
-                _learn(net, _around(vector, found.first, places), classes[places], 0.5 / (1 + round_))
+                padded, at = _padded(vector, found)
+                _learn(net, padded[at[places, None] + _STEPS], classes[places], 0.5 / (1 + round_))
                 seen += len(places)
         if seen:
             flat = np.concatenate([net[k].ravel() for k in _SHAPES]).astype(np.float64)
@@ -191,12 +193,14 @@ def fit(docs: DataFrame, text_col: str = "text", seed: int = 23) -> tuple[Vocabu
 
 def word_scores(found: W.Words, vocab: Vocabulary, net: dict) -> np.ndarray:
     """The conditional log-probability of each word."""
-    vector, classes, share = _numbered(found, vocab)
-    out = np.empty(len(vector))
-    for a in range(0, len(vector), 1 << 13):
-        places = np.arange(a, min(a + (1 << 13), len(vector)))
-        _, _, z = _forward(net, _around(vector, found.first, places))
-        out[places] = z[np.arange(len(places)), classes[places]] - np.log(np.exp(z).sum(1))
+    vector, classes, share = _numbered(found.hashes(W.ALNUM), vocab)
+    padded, at = _padded(vector, found)
+    out, ones = np.empty(len(vector)), np.ones(_CLASSES, np.float32)
+    for a in range(0, len(vector), 1 << 11):
+        part = slice(a, a + (1 << 11))
+        _, _, z = _forward(net, padded[at[part, None] + _STEPS])
+        own = z[np.arange(len(z)), classes[part]]
+        out[part] = own - np.log(np.exp(z, out=z) @ ones)
     return out + share
 
 
