@@ -180,7 +180,7 @@ def contamination(
 
 def _short_lengths(tests: DataFrame, window: int) -> list[int]:
     """The word counts below ``window`` that occur among the items: fewer than ``window`` numbers."""
-    words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     counts = tests.select(words.alias("n")).where(f"n > 0 AND n < {int(window)}").distinct()
     return sorted(r.n for r in counts.collect())
 
