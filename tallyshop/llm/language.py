@@ -251,7 +251,7 @@ def _identify(model: Model, penalty: float, text_col: str):
                         votes = np.bincount(own, weights=worded, minlength=langs)
                         top = int(votes.argmax())
                         names[i] = model.langs[top]
-                        sums = score[a:b].sum(0)
+                        sums = score[a:b][own == top].sum(0)
                         rival = np.delete(sums, top).max() if langs > 1 else -np.inf
                         margin = np.clip(sums[top] - rival, -30, 30)
                         scores[i] = float(votes[top] / max(1.0, votes.sum()) / (1 + np.exp(-margin)))
@@ -294,7 +294,8 @@ def identify_rows(
 
     ``lang_pred`` is the language of most words, ``und`` (score 0, no spans) where the text is
     null, has no letter, or the model has no languages. ``lang_score`` is that language's share
-    of the words times its posterior against the runner-up. ``spans`` are runs of words of one
+    of the words times its posterior against the runner-up over the words of its own spans, so
+    other languages in the text lower it by their share only. ``spans`` are runs of words of one
     language. Ties go to the first language by name. Rows are taken one by one, so repeated
     ids, empty tables and other columns make no difference; long texts are read whole.
     """

@@ -1,10 +1,12 @@
 """Input that operators once did less than the whole job on."""
 
 import hashlib
+import random
 
 import pytest
 
-from tallyshop.llm import decontamination
+import corpus_pipeline as pipeline
+from tallyshop.llm import decontamination, language
 from tests.llm.test_exact_operators import hits_of
 
 
@@ -22,3 +24,25 @@ def test_short_items_with_capitals(spark, item):
         i: (a, b, c, hashlib.sha256(d.encode()).hexdigest()) for i, (a, b, c, d) in hits_of(texts, [(7, item)], 10).items()
     }
     assert got and any(r.contaminated for r in got)
+
+
+def test_mixed_languages_pass_the_stage(spark):
+    """Half and half, and 60 to 40 with a majority whose words the other language has too."""
+    rng = random.Random(8)
+    left, right = ["abra", "tabra", "kazam", "zaba"], ["olmen", "hulpe", "kinder", "ulmer"]
+
+    def prose(words, n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    rows = [(2 * i, prose(left, 60), "x") for i in range(40)]
+    rows += [(2 * i + 1, prose(right + left[:2], 60), "y") for i in range(40)]
+    mixed = [(1000 + i, n, m) for i in range(20) for n, m in [((50, 50), (60, 40), (40, 60))[i % 3]]]
+    rows += [(i, prose(left, n) + " " + prose(right, m), None) for i, n, m in mixed]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in pipeline.identify_languages(spark, docs, "").collect()}
+    assert {i for i, _, _ in mixed} <= set(got)
+    assert all(got[i] == ("x" if n > m else "y") for i, n, m in mixed if n != m)
+    model = language.fit(docs.where("doc_id < 1000"))
+    found = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    for i, n, m in mixed:
+        assert abs(found[i].score - max(n, m) / (n + m)) < 0.05
