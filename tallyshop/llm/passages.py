@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyshop.llm import words as W
 from tallyshop.llm.decontamination import winnow
+from tallyshop.llm.keys import keyed
 
 PHRASE = 8
 _DIGIT = 6  # words are numbered within a slice and written as characters of this many bits
@@ -106,6 +107,10 @@ def _suspects(window: int):
                 ids, start = all_ids[lo:hi][owner], places - found.first[owner]
                 order = np.lexsort((start, ids, value))
                 value, ids, start = value[order], ids[order], start[order]
+                # repeated rows have the same windows: each counts once
+                once = np.ones(len(value), bool)
+                once[1:] = (value[1:] != value[:-1]) | (ids[1:] != ids[:-1]) | (start[1:] != start[:-1])
+                value, ids, start = value[once], ids[once], start[once]
                 first = np.ones(len(value), bool)
                 first[1:] = value[1:] != value[:-1]
                 own, begin, end = _ranges(ids[~first], start[~first], window)
@@ -143,20 +148,28 @@ def _ranges(ids: np.ndarray, start: np.ndarray, window: int):
 
 
 def _later(batches):
-    """Of sorted suspects, all but the first of each window, and all that is known."""
+    """Of sorted suspects, all but the first of each window (and what equals it: a repeated
+    row's), and all that is known."""
     before = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        key, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "at"))
+        key, ids, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "at"))
         again = at < 0
         fresh = np.flatnonzero(~again)
         if len(fresh):
-            same = np.zeros(len(fresh), bool)
-            same[1:] = key[fresh][1:] == key[fresh][:-1]
-            same[0] = key[fresh[0]] == before
-            before = key[fresh[-1]]
-            again[fresh] = same
+            k, i, a = key[fresh], ids[fresh], at[fresh]
+            head = np.ones(len(fresh), bool)
+            head[1:] = k[1:] != k[:-1]
+            if before is not None and before[0] == k[0]:
+                head[0] = False
+            # the first of each window, from this batch or from the one before
+            group = np.cumsum(head)
+            first_id, first_at = np.append(0, i[head]), np.append(0, a[head])
+            if group[0] == 0:
+                first_id[0], first_at[0] = before[1:]
+            again[fresh] = (i != first_id[group]) | (a != first_at[group])
+            before = k[-1], first_id[group[-1]], first_at[group[-1]]
         yield batch.select(["id", "at"]).filter(pa.array(again))
 
 
@@ -184,7 +197,7 @@ def _cut(window: int):
                     texts.append(b" ".join([text[x:y] for x, y in zip((found.starts[kept] - base).tolist(), (found.ends[kept] - base).tolist(), strict=True)]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").slice(lo, hi - lo),
+                        batch.column("own").slice(lo, hi - lo),
                         pa.array(counts, pa.int64()),
                         pa.array(gone, pa.int64()),
                         pa.array(texts, pa.binary()).cast(pa.string()),
@@ -207,22 +220,25 @@ def remove_repeats(
     the same one) is removed; windows are judged on the input. ``kept_text`` joins the other
     words by one space, ``spans`` are the removed word ranges ``[from, to)``.
 
-    Null and empty texts have no words; fewer words than a window are never removed. Ids are
-    unique integers; a null id is left out. Empty tables give no rows; other columns are not
-    read. ``window`` is at least ``PHRASE`` words.
+    Null and empty texts have no words; fewer words than a window are never removed. Rows equal
+    in id and text are one document, which repeats nothing of itself: each of them has its
+    result. Documents with a null id, and different texts under one id, come after all others
+    (ids are below 2**62), in an order by hash. Empty tables give no rows; other columns are
+    not read. ``window`` is at least ``PHRASE`` words.
     """
     if window < PHRASE:
         raise ValueError(f"a window has {PHRASE} words at least")
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
-    ).where("id IS NOT NULL")
-    phrases = texts.mapInArrow(_phrase_rows(window), "phrase long, id long, n long")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("string").alias("text")
+    )
+    texts, _ = keyed(rows, "own", ["text"], "id")
+    phrases = texts.select("id", "text").mapInArrow(_phrase_rows(window), "phrase long, id long, n long")
     recurring = phrases.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
     listed = (
         phrases.select("phrase", "id").join(recurring, "phrase")
         .groupBy("id").agg(F.collect_list("phrase").alias("phrases"))
     )
-    suspects = texts.join(listed, "id").mapInArrow(_suspects(window), "key long, id long, at long")
+    suspects = texts.select("id", "text").join(listed, "id").mapInArrow(_suspects(window), "key long, id long, at long")
     removed = (
         suspects.repartition("key").sortWithinPartitions("key", "id", "at")
         .mapInArrow(_later, "id long, at long")

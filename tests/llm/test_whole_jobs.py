@@ -6,8 +6,8 @@ import random
 import pytest
 
 import corpus_pipeline as pipeline
-from tallyshop.llm import decontamination, language
-from tests.llm.test_exact_operators import hits_of
+from tallyshop.llm import decontamination, language, passages
+from tests.llm.test_exact_operators import hits_of, repeats_of
 
 
 @pytest.mark.parametrize(
@@ -46,3 +46,23 @@ def test_mixed_languages_pass_the_stage(spark):
     found = {r.doc_id: r for r in language.identify(docs, model).collect()}
     for i, n, m in mixed:
         assert abs(found[i].score - max(n, m) / (n + m)) < 0.05
+
+
+def test_passages_of_repeated_rows(docs, texts):
+    """Equal rows are one document, in one slice or in several."""
+    expected = sorted((i, *x[:3]) for i, x in repeats_of(texts, 20).items())
+    for twice in (docs.union(docs), docs.union(docs).coalesce(1), docs.union(docs).repartition(7)):
+        got = passages.remove_repeats(twice).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(expected * 2)
+
+
+def test_passages_of_null_and_shared_ids(spark):
+    rng = random.Random(5)
+    one, two, three = (" ".join(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(n)) for n in (60, 40, 50))
+    rows = [(1, one), (None, one), (2, two), (2, three + " " + two), (2, three + " " + two), (None, "few words")]
+    got = passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and sorted(r.n_removed for r in got if r.doc_id is None) == [0, 60]
+    assert [r.n_removed for r in got if r.doc_id == 1] == [0]
+    # one of the two texts under id 2 keeps the shared words, both rows of the longer one alike
+    removed = {(r.n_words, r.n_removed) for r in got if r.doc_id == 2}
+    assert removed in ({(40, 0), (90, 40)}, {(40, 40), (90, 0)})
