@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyshop.llm.keys import keyed
+
 # The wording of common license notices.
 TEMPLATES = {
     "apache": [
@@ -101,7 +103,7 @@ def _bigrams(text: str) -> Column:
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, paragraph, features)`` for every line with a word."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("paragraph", "line"))
-    return lines.where(F.col("line").rlike(_WORDS)).select("id", "paragraph", "line").withColumn("features", _bigrams("line"))
+    return lines.where(F.lower("line").rlike(_WORDS)).select("id", "paragraph", "line").withColumn("features", _bigrams("line"))
 
 
 @dataclass
@@ -201,13 +203,17 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ``notices`` lists the paragraphs (by line number from 0) recognised as a license notice,
     with family, probability and template match, in order of lines; ``families`` are their
     distinct families by name. Null and empty texts, and texts without a notice, have none.
-    Ids are unique; rows with a null id have no notices; empty tables give no rows; other
-    columns are not read.
+    Rows equal in id and text, rows with a null id, and different texts under one id each have
+    the notices of their own text; empty tables give no rows; other columns are not read.
     """
     n = len(model.families)
     table = F.broadcast(_table(docs.sparkSession, model))
+    rows, repeated = keyed(
+        docs.select(F.col(id_col).alias("own"), F.col(text_col).cast("string").alias("text")), "own", ["text"], "key"
+    )
+    texts = rows.select("key", "text")
     matched = (
-        paragraphs(docs, id_col, text_col)
+        paragraphs(texts.dropDuplicates(["key"]) if repeated else texts, "key", "text")
         .select("id", "paragraph", F.size("features").alias("n"), F.explode("features").alias("feature"))
         .join(table, "feature")
     )
@@ -235,9 +241,9 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         F.sort_array(F.collect_list(F.struct("paragraph", "family", "probability", "match"))).alias("notices")
     )
     return (
-        docs.select(F.col(id_col).alias("id")).join(listed, "id", "left")
+        rows.select("own", F.col("key").alias("id")).join(listed, "id", "left")
         .select(
-            F.col("id").alias(id_col),
+            F.col("own").alias(id_col),
             F.coalesce(F.size("notices"), F.lit(0)).cast("long").alias("n_notices"),
             F.coalesce(F.array_sort(F.array_distinct("notices.family")), F.array().cast("array<string>")).alias("families"),
             "notices",

@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline as pipeline
-from tallyshop.llm import decontamination, language, passages
+from tallyshop.llm import decontamination, language, licenses, passages
 from tests.llm.test_exact_operators import hits_of, repeats_of
 
 
@@ -66,3 +66,27 @@ def test_passages_of_null_and_shared_ids(spark):
     # one of the two texts under id 2 keeps the shared words, both rows of the longer one alike
     removed = {(r.n_words, r.n_removed) for r in got if r.doc_id == 2}
     assert removed in ({(40, 0), (90, 40)}, {(40, 40), (90, 0)})
+
+
+NOTICES = [
+    (1, "Some text here.\nLICENSED UNDER THE MIT LICENSE.\nMore prose.", ["mit"]),
+    (2, "ALL RIGHTS RESERVED.", ["proprietary"]),
+    (3, "Released under the MIT License.\nsome prose", ["mit"]),
+    (4, "THE LICENCE OF THE DRIVER WAS UNDER REVIEW", []),
+    (None, "Licensed under the Mozilla Public License, version 2.0.", ["mozilla"]),
+    (None, None, []),
+    (5, "All rights reserved.", ["proprietary"]),
+    (5, "Licensed under CC BY-SA 4.0.", ["creative_commons"]),
+]
+
+
+@pytest.mark.parametrize("copies", [1, 2, 5])
+def test_licenses_of_capitals_and_repeated_rows(spark, docs, copies):
+    # a third of its bigrams are the template's: no notice, however often the row is there
+    part = "Released under the MIT terms which nobody there had read to the end"
+    table = spark.createDataFrame([(i, t) for i, t, _ in NOTICES] * copies + [(9, part)] * copies, "doc_id long, text string")
+    got = licenses.scan(table, licenses.fit(docs)).collect()
+    assert sorted(str((r.doc_id, r.families)) for r in got) == sorted(
+        [str((i, f)) for i, _, f in NOTICES] * copies + [str((9, []))] * copies
+    )
+    assert all(n.match <= 1 and n.probability <= 1 for r in got for n in r.notices or [])
