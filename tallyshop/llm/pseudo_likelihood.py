@@ -6,10 +6,10 @@ their own, all others share hashed ones, within which a word has its share of th
 counts. The log-probabilities of all words of a text, each given its neighbours, sum to
 the text's score.
 
-The vocabulary counts every word of the corpus. Training covers every document: in each
-round, each task trains a copy of the network in numpy on masked words (one in ``MASK``) of
-all its texts; the copies are averaged, weighted by the words they saw, by a grouped sum. So what
-is gathered grows with the corpus, and what the driver gets is one network.
+The vocabulary counts every word of the corpus. Training covers every word: in each round, each task trains a copy of the network
+in numpy on masked words (one in ``ROUNDS``, others each round) of all its texts, so that each
+word is a target once; the copies are averaged, weighted by the words they saw, by a grouped
+sum. So what is gathered grows with the corpus, and what the driver gets is one network.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from tallyshop.llm.storage import saved
 VOCABULARY = 4_096
 OWN, SHARED = 127, 32
 SIDE, SIZE, HIDDEN = 2, 16, 32
-MASK, ROUNDS, BATCH = 16, 2, 512
+ROUNDS, BATCH = 2, 512
 _CLASSES = OWN + SHARED + 1  # one for words beyond the vocabulary
 _EDGE = VOCABULARY  # the vector of what lies beyond a text; further ones for rarer words
 _RARE = 64
@@ -140,6 +140,11 @@ def _learn(net: dict, context: np.ndarray, target: np.ndarray, rate: float) -> N
         net["vectors"][number] -= 8 * np.add.reduceat(pull[order], begin, axis=0)
 
 
+def _round_of(hashes: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The one round in which each word, at its place inside its text, is a target."""
+    return (W.mix(hashes + inside.astype(np.uint64)) % np.uint64(ROUNDS)).astype(np.int64)
+
+
 def _train_copies(round_: int):
     def run(state, batches):
         vocab, start = state
@@ -152,9 +157,10 @@ def _train_copies(round_: int):
                 hashes = found.hashes(W.ALNUM)
                 vector, classes, _ = _numbered(hashes, vocab)
                 inside = np.arange(len(vector)) - np.repeat(found.first[:-1], found.counts())
-                # which words are masked depends on the word and its place only; each text has one
-                draw = W.mix(hashes + inside.astype(np.uint64), round_)
-                places = np.flatnonzero((draw % np.uint64(MASK) == 0) | (inside == 0))
+                # the round in which a word is masked depends on the word and its place only
+                places = np.flatnonzero(_round_of(hashes, inside) == round_)
+                if len(places) == 0:
+                    continue
                 padded, at = _padded(vector, found)
                 _learn(net, padded[at[places, None] + _STEPS], classes[places], 0.5 / (1 + round_))
                 seen += len(places)

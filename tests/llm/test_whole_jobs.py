@@ -3,10 +3,12 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as pipeline
-from tallyshop.llm import decontamination, language, licenses, passages
+from tallyshop.llm import decontamination, language, licenses, passages, pseudo_likelihood
 from tests.llm.test_exact_operators import hits_of, repeats_of
 
 
@@ -90,3 +92,18 @@ def test_licenses_of_capitals_and_repeated_rows(spark, docs, copies):
         [str((i, f)) for i, _, f in NOTICES] * copies + [str((9, []))] * copies
     )
     assert all(n.match <= 1 and n.probability <= 1 for r in got for n in r.notices or [])
+
+
+def test_each_word_is_a_target_once(monkeypatch):
+    """Over the rounds, the targets are the words of the corpus, none left out or taken twice."""
+    texts = ["a b c d e f g h " * 40, "one", "", None, " ".join(f"w{i % 70}" for i in range(900))]
+    count = sum(len((t or "").split()) for t in texts)
+    vocab = pseudo_likelihood.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int), np.zeros(0), -1.0)
+    seen = []
+    monkeypatch.setattr(pseudo_likelihood, "_learn", lambda net, context, target, rate: seen.append(len(target)))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    for round_ in range(pseudo_likelihood.ROUNDS):
+        list(pseudo_likelihood._train_copies(round_)((vocab, pseudo_likelihood.initial()), [batch]))
+    assert sum(seen) == count
+    hashes, inside = np.arange(5000, dtype=np.uint64), np.arange(5000) % 97
+    assert set(pseudo_likelihood._round_of(hashes, inside)) == set(range(pseudo_likelihood.ROUNDS))
