@@ -6,7 +6,9 @@ their own, all others share hashed ones, within which a word has its share of th
 counts. The log-probabilities of all words of a text, each given its neighbours, sum to
 the text's score.
 
-The vocabulary counts every word of the corpus. Training covers every word: in each round, each task trains a copy of the network
+The vocabulary counts every word of the corpus. Words beyond the numbered ones have a class of
+their own together, and their counts, a table that grows with the corpus, are joined when texts
+are scored. Training covers every word: in each round, each task trains a copy of the network
 in numpy on masked words (one in ``ROUNDS``, others each round) of all its texts, so that each
 word is a target once; the copies are averaged, weighted by the words they saw, by a grouped
 sum. So what is gathered grows with the corpus, and what the driver gets is one network.
@@ -14,6 +16,7 @@ sum. So what is gathered grows with the corpus, and what the driver gets is one
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,7 +47,7 @@ _SHAPES = {
 @dataclass
 class Vocabulary:
     """Sorted hashes of the most frequent words, their numbers and classes, and the log-share
-    of each word in its class (``rare``: of a word beyond the vocabulary)."""
+    of each word in its class (``rare``: of a word beyond the vocabulary that occurs once)."""
 
     hashes: np.ndarray
     number: np.ndarray
@@ -61,11 +64,12 @@ def _word_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
 
-def vocabulary(texts: DataFrame) -> Vocabulary:
-    """Counts of all words of the corpus; the ``VOCABULARY`` most frequent are numbered."""
+def vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The ``VOCABULARY`` most frequent words, numbered, and ``(word, n)``: the counts of all
+    words of the corpus."""
     counts = texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = saved(counts)
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     word = np.array([r.word for r in top], np.int64).view(np.uint64)
     n = np.array([r.n for r in top], float)
@@ -75,8 +79,8 @@ def vocabulary(texts: DataFrame) -> Vocabulary:
     order = np.argsort(word)
     return Vocabulary(
         word[order], rank[order], classes, np.log(n / mass[classes]),
-        -float(np.log(max(1, (total.words or 0) - len(word)))),
-    )
+        -float(np.log(max(1, total - sum(r.n for r in top)))),
+    ), counts
 
 
 def _numbered(hashes: np.ndarray, vocab: Vocabulary):
@@ -174,10 +178,11 @@ def _train_copies(round_: int):
     return run
 
 
-def fit(docs: DataFrame, text_col: str = "text", seed: int = 23) -> tuple[Vocabulary, dict]:
-    """Vocabulary and network of a corpus. A corpus without words keeps the initial network."""
+def fit(docs: DataFrame, text_col: str = "text", seed: int = 23) -> tuple[Vocabulary, dict, DataFrame]:
+    """Vocabulary, network and word counts of a corpus. A corpus without words keeps the initial
+    network."""
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    vocab, net = vocabulary(texts), initial(seed)
+    (vocab, counts), net = vocabulary(texts), initial(seed)
     context = docs.sparkSession.sparkContext
     for round_ in range(ROUNDS):
         shared, train = context.broadcast((vocab, net)), _train_copies(round_)
@@ -194,11 +199,12 @@ def fit(docs: DataFrame, text_col: str = "text", seed: int = 23) -> tuple[Vocabu
             for k, shape in _SHAPES.items():
                 net[k] = flat[at : at + int(np.prod(shape))].reshape(shape)
                 at += int(np.prod(shape))
-    return vocab, net
+    return vocab, net, counts
 
 
 def word_scores(found: W.Words, vocab: Vocabulary, net: dict) -> np.ndarray:
-    """The conditional log-probability of each word."""
+    """The conditional log-probability of each word, one beyond the vocabulary as if it occurred
+    once."""
     vector, classes, share = _numbered(found.hashes(W.ALNUM), vocab)
     padded, at = _padded(vector, found)
     out, ones = np.empty(len(vector)), np.ones(_CLASSES, np.float32)
@@ -210,41 +216,102 @@ def word_scores(found: W.Words, vocab: Vocabulary, net: dict) -> np.ndarray:
     return out + share
 
 
+def _text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit hashes of whole texts, equal for equal texts."""
+    return np.array(
+        [
+            int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8).digest(), "little", signed=True)
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+        ],
+        np.int64,
+    )
+
+
 def _score(state, batches):
     vocab, net = state
     for batch in batches:
         for lo, hi, data, offsets in W.slices(batch.column("text")):
             found = W.find_words(data, offsets, W.ALNUM)
             total = np.concatenate([[0.0], np.cumsum(word_scores(found, vocab, net))])[found.first]
-            n = found.counts()
-            sums = np.diff(total)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").slice(lo, hi - lo),
-                    pa.array(n, pa.int64()),
-                    pa.array(sums),
-                    pa.array([s / k if k else None for s, k in zip(sums.tolist(), n.tolist(), strict=True)], pa.float64()),
+                    pa.array(_text_keys(data, offsets)),
+                    pa.array(found.counts(), pa.int64()),
+                    pa.array(np.diff(total)),
                 ],
-                ["id", "n_tokens", "pseudo_log_likelihood", "per_token"],
+                ["id", "key", "n_tokens", "base"],
             )
 
 
-def score(docs: DataFrame, fitted: tuple[Vocabulary, dict], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _beyond(vocab: Vocabulary, batches):
+    """``(key, word, times, copies)``: the words beyond the vocabulary of each text of a slice,
+    with ``times`` summed over its copies, and a row with the number of copies (``times`` 0)."""
+    for batch in batches:
+        for _, _, data, offsets in W.slices(batch.column("text")):
+            found = W.find_words(data, offsets, W.ALNUM)
+            hashes = found.hashes(W.ALNUM)
+            rare = np.ones(len(hashes), bool)
+            if len(vocab.hashes):
+                at = np.minimum(np.searchsorted(vocab.hashes, hashes), len(vocab.hashes) - 1)
+                rare = vocab.hashes[at] != hashes
+            owner = found.owner()[rare]
+            if len(owner) == 0:
+                continue
+            keys, word = _text_keys(data, offsets), hashes[rare].view(np.int64)
+            own = keys[owner]
+            order = np.lexsort((word, own))
+            own, word = own[order], word[order]
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (word[1:] != word[:-1])
+            times = np.diff(np.append(np.flatnonzero(new), len(own)))
+            texts, copies = np.unique(keys[np.unique(owner)], return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([own[new], texts])),
+                    pa.array(np.concatenate([word[new], texts])),
+                    pa.array(np.concatenate([times, np.zeros(len(texts), np.int64)])),
+                    pa.array(np.concatenate([np.zeros(len(times), np.int64), copies])),
+                ],
+                ["key", "word", "times", "copies"],
+            )
+
+
+def score(
+    docs: DataFrame, fitted: tuple[Vocabulary, dict, DataFrame], id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``(id, n_tokens, pseudo_log_likelihood, per_token)`` for every row.
 
     Tokens are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased.
-    A text without tokens, or null, scores 0 and has no value per token. Rows are taken one by one, so
-    repeated rows, null ids, empty tables and other columns make no difference; texts are
-    read whole.
+    A text without tokens, or null, scores 0 and has no value per token. The share of a word
+    beyond the vocabulary is its count over the counts of all such words; one that the fitted
+    corpus does not have counts as one that occurs once. Repeated rows, null ids, empty tables
+    and other columns make no difference: counts are joined by the text's hash, and equal
+    texts have equal scores. Texts are read whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+    vocab, net, counts = fitted
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, net))
 
     def run(batches):
         yield from _score(shared.value, batches)
 
+    def list_beyond(batches):
+        yield from _beyond(shared.value[0], batches)
+
     kind = docs.schema[id_col].dataType.simpleString()
-    return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(run, f"id {kind}, n_tokens long, pseudo_log_likelihood double, per_token double")
-        .withColumnRenamed("id", id_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    scored = texts.mapInArrow(run, f"id {kind}, key long, n_tokens long, base double")
+    often = counts.where("n > 1").select("word", F.log("n").alias("log_n"))
+    extra = (
+        texts.select("text").mapInArrow(list_beyond, "key long, word long, times long, copies long")
+        .join(often, "word", "left")
+        .groupBy("key")
+        .agg((F.sum(F.col("times") * F.coalesce("log_n", F.lit(0.0))) / F.sum("copies")).alias("extra"))
+    )
+    total = F.col("base") + F.coalesce("extra", F.lit(0.0))
+    return scored.join(extra, "key", "left").select(
+        F.col("id").alias(id_col),
+        "n_tokens",
+        total.alias("pseudo_log_likelihood"),
+        F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token"),
     )

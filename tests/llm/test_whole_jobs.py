@@ -107,3 +107,33 @@ def test_each_word_is_a_target_once(monkeypatch):
     assert sum(seen) == count
     hashes, inside = np.arange(5000, dtype=np.uint64), np.arange(5000) % 97
     assert set(pseudo_likelihood._round_of(hashes, inside)) == set(range(pseudo_likelihood.ROUNDS))
+
+
+def test_rare_words_have_the_shares_of_their_counts(spark, monkeypatch):
+    """Among the words beyond the vocabulary, the shares are counts over the sum of counts."""
+    monkeypatch.setattr(pseudo_likelihood, "VOCABULARY", 4)
+    often = {"alpha": 500, "beta": 400, "gamma": 300, "delta": 200}
+    rare = {"seven": 7, "three": 3, "single": 1, "other": 1}
+    text = " ".join(" ".join([w] * n) for w, n in (often | rare).items())
+    vocab, counts = pseudo_likelihood.vocabulary(spark.createDataFrame([(text,)], "text string"))
+    monkeypatch.undo()
+    assert vocab.rare == pytest.approx(-np.log(12)) and len(vocab.hashes) == 4
+    words = ["seven", "three", "single", "unseen", "alpha", "seven seven three", "", None]
+    rows = list(enumerate(words)) + [(0, "seven"), (None, "seven"), (50, "seven seven three")]
+    net = {k: np.zeros_like(v) for k, v in pseudo_likelihood.initial().items()}
+    got = pseudo_likelihood.score(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3), (vocab, net, counts)
+    ).collect()
+    classes = float(np.log(pseudo_likelihood._CLASSES))
+    share = {w: np.log(n / 12) for w, n in rare.items()} | {"unseen": np.log(1 / 12), "alpha": 0.0}
+    expected = [sum(share[w] - classes for w in (t or "").split()) for _, t in rows]
+    assert len(got) == len(rows)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for r, (i, x) in zip(
+        sorted(((r.doc_id, r.pseudo_log_likelihood) for r in got), key=key),
+        sorted(zip([i for i, _ in rows], expected, strict=True), key=key),
+        strict=True,
+    ):
+        assert r[0] == i and r[1] == pytest.approx(x, abs=1e-4)
+    for r in got:
+        assert (r.per_token is None) == (r.n_tokens == 0)
