@@ -1,4 +1,9 @@
-"""A corpus from raw documents: one operator after the other, each over all that is left."""
+"""A corpus from raw documents: one operator after the other, each over all that is left.
+
+The stages after the first work by an internal key of each row (``keyed``), so documents with a
+null id, and different documents under one id, are checked, kept or dropped as any other;
+they come after those with an id of their own. Rows equal in all columns are one document.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyshop.llm import decontamination, language, mixing, near_duplicates, passages
+from tallyshop.llm.keys import keyed
 from tallyshop.llm.storage import shared_folder
 
+KEY = "_key"
+
 #: Below this score a language is a guess between the runner-ups.
 LEAST_LANGUAGE_SCORE = 0.05
 
@@ -25,20 +33,33 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
+def with_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows with their key, and one row of ``(key, text)`` per key."""
+    rows, repeated = keyed(docs, "doc_id", [c for c in docs.columns if c != "doc_id"], KEY)
+    once = rows.select(KEY, "text")
+    return rows, once.dropDuplicates([KEY]) if repeated else once
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group of near duplicates; documents without a
-    word are no duplicates and stay."""
-    gone = near_duplicates.near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document (the smallest id, null ids last) of each group of near duplicates, in one
+    row; documents without a word are no duplicates and stay, in all their rows."""
+    rows, repeated = keyed(docs, "doc_id", [c for c in docs.columns if c != "doc_id"], KEY)
+    gone = near_duplicates.near_duplicates(rows, id_col=KEY).where("NOT kept").select(KEY)
+    left = rows.join(gone, KEY, "left_anti").select(docs.columns)
+    if repeated:
+        worded = F.coalesce(F.col("text").rlike(mixing.WORDS), F.lit(False))
+        left = left.where(worded).dropDuplicates().union(left.where(~worded))
+    return left
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; in those that repeat a passage of another one, the remaining words,
     joined by spaces."""
-    found = passages.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept_text")
+    rows, once = with_keys(docs)
+    found = passages.remove_repeats(once, id_col=KEY).where("n_removed > 0").select(KEY, "kept_text")
     changed = F.col("kept_text").isNotNull()
     return (
-        docs.join(found, "doc_id", "left")
+        rows.join(found, KEY, "left")
         .withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
         .withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
         .select(docs.columns)
@@ -48,15 +69,21 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontamination.contamination(docs, items).where("n_hit > 0").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    rows, once = with_keys(docs)
+    hit = decontamination.contamination(once, items, id_col=KEY).where("n_hit > 0").select(KEY)
+    return rows.join(hit, KEY, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with ``copies``, the times each is used."""
-    mixed = mixing.mix(docs, F.array("source"), (5, 2, 1)).where("taken > 0")
-    taken = mixed.select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    return docs.join(taken, "doc_id").select(*docs.columns, "copies")
+    """Documents that the mix takes, with ``copies``, the times each is used. Rows equal in all
+    columns are mixed each, and those taken are one row with their copies added up."""
+    rows, repeated = keyed(docs, "doc_id", [c for c in docs.columns if c != "doc_id"], KEY)
+    mixed = mixing.mix(rows, F.array("source"), (5, 2, 1), id_col=KEY).where("taken > 0")
+    taken = mixed.select(KEY, (F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    if repeated:
+        taken = taken.groupBy(KEY).agg(F.sum("copies").cast("int").alias("copies"))
+        rows = rows.dropDuplicates()
+    return rows.join(taken, KEY).select(*docs.columns, "copies")
 
 
 STAGES = [

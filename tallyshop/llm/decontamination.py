@@ -119,7 +119,7 @@ def _extend(window: int):
                     spans.append(edges.reshape(-1, 2).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").slice(lo, hi - lo),
+                        batch.column("own").slice(lo, hi - lo),
                         pa.array(found.counts(), pa.int64()),
                         pa.array(hits, pa.int64()),
                         pa.array(items, pa.list_(pa.int64())),
@@ -149,20 +149,20 @@ def contamination(
     ``spans`` are their word ranges ``[from, to)``, ``items`` the ids of the items with an
     occurrence, sorted as strings.
 
-    Null and empty texts have no words; null ids are kept as they are and matched with nothing
-    but themselves; repeated items count once; empty tables give no hits or no rows. Ids of documents
-    are unique. Other columns are not read.
+    Null and empty texts have no words; documents with a null id are checked as others, items
+    with one are left out; repeated items count once; empty tables give no hits or no rows. Each
+    row is judged by its own text, also where ids repeat. Other columns are not read.
     """
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
-    )
+    # where ids are null, texts find their candidates by a hash; each text is then looked through
+    own, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    texts = docs.select(own.alias("own"), F.coalesce(own, F.xxhash64(text)).alias("id"), text.alias("text"))
     tests = items.select(
         F.col(item_id_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")
     ).where("id IS NOT NULL")
     item_prints = tests.mapInArrow(_fingerprint_rows(window, k, None), "fp long, id long")
     lengths = _short_lengths(tests, window)
     pairs = (
-        texts.where("id IS NOT NULL").mapInArrow(_fingerprint_rows(window, k, lengths), "fp long, id long")
+        texts.select("id", "text").mapInArrow(_fingerprint_rows(window, k, lengths), "fp long, id long")
         .join(item_prints.select("fp", F.col("id").alias("item_id")).distinct(), "fp")
         .select("id", "item_id")
         .distinct()

@@ -137,3 +137,87 @@ def test_rare_words_have_the_shares_of_their_counts(spark, monkeypatch):
         assert r[0] == i and r[1] == pytest.approx(x, abs=1e-4)
     for r in got:
         assert (r.per_token is None) == (r.n_tokens == 0)
+
+
+def prose_of(rng, n):
+    return " ".join(rng.choice("bcdfgklmnp") + rng.choice("aeiou") + str(rng.randrange(99)) for _ in range(n))
+
+
+def test_contamination_of_null_ids(spark):
+    rng = random.Random(3)
+    item, clean = prose_of(rng, 30), prose_of(rng, 30)
+    docs = spark.createDataFrame([(None, item), (None, clean), (None, None), (1, item), (1, clean)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontamination.contamination(docs, items).collect()
+    assert sorted((r.doc_id is None, r.n_words, r.n_hit) for r in got) == [
+        (False, 30, 0), (False, 30, 30), (True, 0, 0), (True, 30, 0), (True, 30, 30)
+    ]
+
+
+@pytest.fixture(scope="module")
+def stages_dir(spark, tmp_path_factory):
+    """Null ids, two documents under one id, repeated rows, a benchmark copy without an id."""
+    rng = random.Random(12)
+    item, shared = prose_of(rng, 30), prose_of(rng, 40)
+    rows = [(i, prose_of(rng, 60)) for i in range(12)]
+    rows += [(None, prose_of(rng, 60)), (None, prose_of(rng, 60)), (3, prose_of(rng, 60))]
+    rows += [(None, rows[5][1]), (None, item + " " + prose_of(rng, 30))]
+    rows += [(20, prose_of(rng, 50) + " " + shared), (None, shared + " " + prose_of(rng, 50))]
+    rows += [(21, "under twenty words but a few"), (None, None), (22, " ")]
+    folder = str(tmp_path_factory.mktemp("stages"))
+    table = [(i, t, "en", "src0", len(t or "")) for i, t in rows]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, table
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_stages_of_null_and_repeated_ids(spark, stages_dir, copies):
+    folder, table = stages_dir
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.union(docs) if copies == 2 else docs
+    stages = dict(pipeline.STAGES)
+
+    def rows_of(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    def plain(rows, times=1):
+        return sorted([(r[0], r[1]) for r in rows] * times, key=str)
+
+    # one row of each document is left; the copy of document 5 without an id goes
+    worded = [r for r in table if r[1] and r[1].strip()]
+    kept = [r for r in worded if not (r[0] is None and r[1] == table[5][1])]
+    blank = [r for r in table if r not in worded]
+    near = stages["near_duplicates"](spark, docs, folder)
+    assert rows_of(near) == sorted(plain(kept) + plain(blank, copies), key=str)
+
+    # each row stays; the shared passage goes from the one without an id, as does document 5's copy
+    cut = {}
+    for r in stages["substrings"](spark, docs, folder).collect():
+        cut.setdefault((r.doc_id, r.source, len((r.text or "").split())), []).append(r)
+    assert sum(map(len, cut.values())) == copies * len(table)
+    assert len(cut[None, "src0", 50]) == copies and len(cut[20, "src0", 90]) == copies
+    clean = [r for r in table if not (r[0] is None and r[1] and len(r[1].split()) == 60 and r[1].startswith(item_of(spark, folder)))]
+    assert rows_of(stages["decontamination"](spark, docs, folder)) == plain(clean, copies)
+
+    # what is mixed is used one and a half times, null ids with it
+    mixed = stages["mixing"](spark, docs, folder).collect()
+    used, total = sum(r.copies * len(r.text.split()) for r in mixed), copies * sum(len((r[1] or "").split()) for r in table)
+    assert abs(used - 1.5 * total) <= 100
+    assert sorted(((r.doc_id, r.text) for r in mixed), key=str) == plain(worded)
+
+
+def item_of(spark, folder):
+    return spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+
+
+def test_pipeline_of_repeated_rows(spark, stages_dir, tmp_path):
+    folder, _ = stages_dir
+    for name, copies in (("once", 1), ("twice", 2)):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        (docs.union(docs) if copies == 2 else docs).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    # the model of the first stage sees other counts, so the texts are compared
+    once, twice = (pipeline.run(spark, f"{tmp_path}/{n}").collect() for n in ("once", "twice"))
+    assert {(r.doc_id, r.text) for r in once} == {(r.doc_id, r.text) for r in twice} and len(once) == len(twice)
+    assert any(r.doc_id is None for r in once)
