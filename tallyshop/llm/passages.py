@@ -1,15 +1,15 @@
-"""Substring deduplication with repeated-phrase automata.
+"""Substring deduplication with repeated phrases.
 
 1. Phrases: of each window of words, the phrase (``PHRASE`` words) with the smallest hash
    represents it, so equal windows have the same phrase at the same place. Phrases that
    occur once in the corpus cannot lie in a repeated window and drop out.
-2. Automata: documents are dealt into shards by id. A shard compiles the recurring phrases
-   of its own documents into Aho-Corasick automata and streams the documents through them,
-   which locates every occurrence. An automaton thus grows with its shard, not with the
-   corpus, and a document meets only phrases it can hold.
-3. Windows around located phrases are confirmed: per slice of a shard only the first of equal
-   windows goes on, the others are known repeats already. The firsts are sorted by window
-   and read in that order; all but the earliest are repeats.
+2. Suspects: a window whose own phrase recurs may repeat, and no other one can. That alone
+   locates every repeated window. Per slice of documents, an Aho-Corasick automaton of the
+   recurring phrases of that slice marks further places where they stand; it only adds
+   windows that the next step dismisses, and the results are the same without it.
+3. Suspects are confirmed: per slice only the first of equal windows goes on, the others are
+   known repeats already. The firsts are sorted by window and read in that order; all but the
+   earliest are repeats.
 
 Words are compared by 64-bit hashes, windows by a 64-bit hash of their words.
 """
