@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tallyshop.llm import (
     decontamination,
+    filter_audit,
     language,
     licenses,
     mixing,
     near_duplicates,
+    oracles,
     passages,
     pseudo_likelihood,
     quality_rules,
@@ -103,6 +105,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, licenses.fit(docs))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders over all documents, counted per language."""
+    docs, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return filter_audit.audit(filter_audit.patterns(docs, labels))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_language": op2_language,
@@ -114,5 +122,6 @@ QUERIES = {
     "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_decontamination": op9_decontamination,
     "op10_licenses": op10_licenses,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_filter_audit": oracles.AUDIT}
