@@ -59,3 +59,60 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
   (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
 FROM result
 """
+
+
+def _leaf(text: str) -> str:
+    values = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    parts = (f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')" for v in values)
+    return f"sha256({' || '.join(parts)})"
+
+
+# A tree over runs of 16: nodes by tree and level, then, from the leaf up, the digests before
+# and after the own one in its run. ``only`` is the number of nodes of a tree in the level before.
+MERKLE = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, {_leaf('text')} AS leaf,
+    CASE WHEN {_CRC32.format(text='doc_id::VARCHAR')} % 5 = 0
+      THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+      ELSE {_leaf('text')} END AS found,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos
+  FROM documents
+), lower_nodes(tree, level, pos, digest, n) AS (
+  SELECT tree, 0, pos, leaf, count(*) OVER (PARTITION BY tree) FROM docs
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16
+  FROM lower_nodes WHERE n > 1 GROUP BY tree, level, pos // 16
+), subroots AS (
+  SELECT tree, digest FROM lower_nodes WHERE n = 1
+), upper_nodes(level, pos, digest, n) AS (
+  SELECT 0, tree, digest, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16
+  FROM upper_nodes WHERE n > 1 GROUP BY level, pos // 16
+), steps AS (
+  SELECT tree, level, pos,
+    coalesce(string_agg(digest, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM (
+    SELECT * FROM lower_nodes UNION ALL SELECT -1 AS tree, level, pos, digest, n FROM upper_nodes
+  ) WHERE n > 1 WINDOW r AS (PARTITION BY tree, level, pos // 16 ORDER BY pos)
+), walk(doc_id, tree, level, pos, home, proof, folded) AS (
+  SELECT doc_id, tree, 0, pos, tree, '', found FROM docs
+  UNION ALL
+  SELECT w.doc_id, if(s.tree IS NULL, -1, w.tree), if(s.tree IS NULL, 0, w.level + 1),
+    if(s.tree IS NULL, w.home, w.pos // 16), w.home,
+    w.proof || coalesce(s.before || s.after, ''),
+    if(s.tree IS NULL, w.folded, sha256(s.before || w.folded || s.after))
+  FROM walk w LEFT JOIN steps s ON w.tree = s.tree AND w.level = s.level AND w.pos = s.pos
+  WHERE s.tree IS NOT NULL OR w.tree >= 0
+), ends AS (
+  SELECT doc_id, arg_max(proof, level) AS proof, arg_max(folded, level) AS folded
+  FROM walk WHERE tree = -1 GROUP BY doc_id
+), top AS (
+  SELECT digest AS root FROM upper_nodes WHERE n = 1
+)
+SELECT d.doc_id, d.leaf, s.digest AS subroot, t.root, sha256(e.proof) AS proof_sha256,
+  e.folded AS folded_root, e.folded = t.root AS verified
+FROM docs d JOIN subroots s ON d.tree = s.tree JOIN ends e ON d.doc_id = e.doc_id CROSS JOIN top t
+"""

@@ -10,6 +10,7 @@ from tallyshop.llm import (
     filter_audit,
     language,
     licenses,
+    merkle,
     mixing,
     near_duplicates,
     oracles,
@@ -105,6 +106,30 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, licenses.fit(docs))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest, and whether the document as it is found, with
+    one in five tampered with, still gives the root."""
+    docs = _table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars"]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaf, changed = (
+        merkle.digest_of([*map(F.col, columns), text])
+        for text in (F.col("text"), merkle.ascii_lower(F.col("text")))
+    )
+    rows = docs.select(
+        "doc_id", "source", leaf.alias("leaf"), F.when(tampered, changed).alias("changed")
+    )
+    found = merkle.manifest(rows).withColumn("found", F.coalesce("changed", "leaf"))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.siblings_digest("path").alias("proof_sha256"),
+        merkle.fold("path", "found").alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters in all 120 orders over all documents, counted per language."""
     docs, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
@@ -122,6 +147,7 @@ QUERIES = {
     "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_decontamination": op9_decontamination,
     "op10_licenses": op10_licenses,
+    "op11_merkle": op11_merkle,
     "op13_filter_audit": op13_filter_audit,
 }
-ORACLES: dict[str, str] = {"op13_filter_audit": oracles.AUDIT}
+ORACLES: dict[str, str] = {"op11_merkle": oracles.MERKLE, "op13_filter_audit": oracles.AUDIT}
