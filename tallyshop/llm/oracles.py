@@ -116,3 +116,35 @@ SELECT d.doc_id, d.leaf, s.digest AS subroot, t.root, sha256(e.proof) AS proof_s
   e.folded AS folded_root, e.folded = t.root AS verified
 FROM docs d JOIN subroots s ON d.tree = s.tree JOIN ends e ON d.doc_id = e.doc_id CROSS JOIN top t
 """
+
+# Two sets of similarity 0.85 differ by less than a factor in size and share a shingle.
+NGRAM_JOIN = rf"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 OR w IS NULL THEN [] WHEN len(w) < 4 THEN [list_aggregate(w, 'string_agg', ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)])
+    END AS shingles
+  FROM cut
+), classes AS (
+  SELECT min(doc_id) AS c, any_value(len(shingles)) AS n, list_sort(shingles) AS shingles
+  FROM sets WHERE len(shingles) > 0 GROUP BY list_sort(shingles)
+), items AS (
+  SELECT c, n, unnest(shingles) AS x FROM classes
+), links AS (
+  SELECT a.c AS a, b.c AS b FROM items a JOIN items b ON a.x = b.x AND a.c <> b.c
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 185 * count(*) >= 85 * (a.n + b.n)
+), reached(c, r) AS (
+  SELECT c, c FROM classes
+  UNION
+  SELECT l.a, x.r FROM reached x JOIN links l ON x.c = l.b
+), named AS (
+  SELECT c, min(r) AS component_id FROM reached GROUP BY c
+)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id
+FROM sets s LEFT JOIN classes k ON len(s.shingles) > 0 AND list_sort(s.shingles) = k.shingles
+  LEFT JOIN named m ON k.c = m.c
+"""

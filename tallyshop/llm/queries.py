@@ -13,6 +13,7 @@ from tallyshop.llm import (
     merkle,
     mixing,
     near_duplicates,
+    ngram_join,
     oracles,
     passages,
     pseudo_likelihood,
@@ -130,6 +131,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85% of their distinct 4-word shingles."""
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters in all 120 orders over all documents, counted per language."""
     docs, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
@@ -148,6 +154,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_licenses": op10_licenses,
     "op11_merkle": op11_merkle,
+    "op12_ngram_join": op12_ngram_join,
     "op13_filter_audit": op13_filter_audit,
 }
-ORACLES: dict[str, str] = {"op11_merkle": oracles.MERKLE, "op13_filter_audit": oracles.AUDIT}
+ORACLES: dict[str, str] = {"op11_merkle": oracles.MERKLE, "op12_ngram_join": oracles.NGRAM_JOIN, "op13_filter_audit": oracles.AUDIT}
