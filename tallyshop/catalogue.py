@@ -45,6 +45,13 @@ def _orders_outside_active_staff(t: RetailTables) -> DataFrame:
     )
 
 
+def _validate_current(t: RetailTables) -> DataFrame:
+    """The constraints, had inactive staff and the oldest products been deleted."""
+    return ops.validate(
+        t.replace(staffs=t.staffs.where("active = 1"), products=t.products.where("model_year > 2016"))
+    )
+
+
 def _customer_value_deciles(t: RetailTables) -> DataFrame:
     value = customer.clv(t).select("customer_id", "lifetime_value")
     order = [F.col("lifetime_value").desc(), F.col("customer_id").asc()]
@@ -78,6 +85,7 @@ def _by_store_month() -> list:
 OPERATORS: dict[str, Callable[[RetailTables], DataFrame]] = {
     **{f"table_{name}": _table(name) for name in SCHEMAS},
     "validate": ops.validate,
+    "validate_current": _validate_current,
     "duplicate_order_lines": lambda t: ops.pk_violations(t.order_items, ["order_id", "item_id"]),
     "missing_order_values": lambda t: ops.null_violations(
         t.orders, ["customer_id", "shipped_date"]

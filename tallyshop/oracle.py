@@ -516,7 +516,13 @@ def _check(table: str, constraint: str, counted: str) -> str:
     )
 
 
-def _validate_sql() -> str:
+def _validate_sql(**kept: str) -> str:
+    """All constraints; ``kept`` leaves only some rows of a table."""
+
+    def rows(name: str) -> str:
+        table = _table_name(name)
+        return f"(SELECT * FROM {table} WHERE {kept[name]})" if name in kept else table
+
     checks = []
     for name, keys in PRIMARY_KEYS.items():
         key, nulls = ", ".join(keys), " OR ".join(f"{k} IS NULL" for k in keys)
@@ -524,27 +530,22 @@ def _validate_sql() -> str:
             _check(
                 name,
                 f"primary key ({key})",
-                f"SELECT count(*) FROM (SELECT {key} FROM {_table_name(name)} GROUP BY {key} "
+                f"SELECT count(*) FROM (SELECT {key} FROM {rows(name)} GROUP BY {key} "
                 f"HAVING count(*) > 1 OR {nulls})",
             )
         )
     for name, cols in REQUIRED.items():
         for c in cols:
             checks.append(
-                _check(
-                    name,
-                    f"not null ({c})",
-                    f"SELECT count(*) FROM {_table_name(name)} WHERE {c} IS NULL",
-                )
+                _check(name, f"not null ({c})", f"SELECT count(*) FROM {rows(name)} WHERE {c} IS NULL")
             )
     for r in REFERENCES:
         checks.append(
             _check(
                 r.child,
                 f"foreign key ({r.column})",
-                f"SELECT count(*) FROM {_table_name(r.child)} x WHERE x.{r.column} IS NOT NULL "
-                f"AND NOT EXISTS (SELECT 1 FROM {_table_name(r.parent)} y "
-                f"WHERE y.{r.key} = x.{r.column})",
+                f"SELECT count(*) FROM {rows(r.child)} x WHERE x.{r.column} IS NOT NULL "
+                f"AND NOT EXISTS (SELECT 1 FROM {rows(r.parent)} y WHERE y.{r.key} = x.{r.column})",
             )
         )
     return "\nUNION ALL\n".join(checks)
@@ -553,6 +554,7 @@ def _validate_sql() -> str:
 OPERATOR_SQL: dict[str, str] = {
     **{f"table_{name}": _table_sql(name) for name in SCHEMAS},
     "validate": _validate_sql(),
+    "validate_current": _validate_sql(staffs="active = 1", products="model_year > 2016"),
     "duplicate_order_lines": """
 SELECT order_id, item_id, count(*) AS n_rows FROM m_items GROUP BY order_id, item_id
 HAVING count(*) > 1 OR order_id IS NULL OR item_id IS NULL""",

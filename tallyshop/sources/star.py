@@ -7,7 +7,7 @@ Columns the star does not have are derived from keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -42,19 +42,19 @@ def load_retail(spark: SparkSession, sf_dir: str) -> RetailTables:
         regions = raw("region").selectExpr("r_regionkey AS n_regionkey", "r_name")
         return lookup(raw("nation"), regions, "n_regionkey")
 
-    def vocabulary(column: str) -> DataFrame:
-        # One row: the sorted list of the few texts the star uses in this column.
-        return raw("part").selectExpr(f"sort_array(collect_set({column})) AS texts")
+    def kinds() -> DataFrame:
+        # The few texts of product types, numbered in their order.
+        number = F.row_number().over(Window.orderBy("p_type"))
+        return raw("part").select("p_type").distinct().withColumn("kind", number)
 
     brand_id = "substring(p_brand, 7)"
 
     def brands() -> DataFrame:
-        names = vocabulary("p_brand").selectExpr("explode(texts) AS p_brand")
+        names = raw("part").select("p_brand").distinct()
         return _as("brands", names, brand_id=brand_id, brand_name="p_brand")
 
     def categories() -> DataFrame:
-        types = vocabulary("p_type").selectExpr("posexplode(texts) AS (pos, p_type)")
-        return _as("categories", types, category_id="pos + 1", category_name="p_type")
+        return _as("categories", kinds(), category_id="kind", category_name="p_type")
 
     def stores() -> DataFrame:
         return _as(
@@ -91,14 +91,13 @@ def load_retail(spark: SparkSession, sf_dir: str) -> RetailTables:
         )
 
     def products() -> DataFrame:
-        position = F.array_position(vocabulary("p_type").scalar(), F.col("p_type"))
         return _as(
             "products",
-            raw("part").withColumn("category", position),
+            lookup(raw("part"), kinds(), "p_type", "left"),
             product_id="p_partkey",
             product_name="p_name",
             brand_id=brand_id,
-            category_id="category",
+            category_id="kind",
             model_year="2016 + p_size % 4",
             list_price="CAST(p_retailprice AS DECIMAL(12,2)) * p_size * 0.1",
         )
@@ -120,8 +119,10 @@ def load_retail(spark: SparkSession, sf_dir: str) -> RetailTables:
 
     def orders() -> DataFrame:
         # Orders are dealt to all suppliers by key; an order keeps its row even if no
-        # supplier has the key it is dealt to.
-        sellers = raw("supplier").selectExpr("s_suppkey AS seller", "s_nationkey")
+        # supplier has the key it is dealt to. One row per key, said by an aggregate, lets
+        # Catalyst leave the join out where neither store nor seller is wanted.
+        seller = F.col("s_suppkey").alias("seller")
+        sellers = raw("supplier").groupBy(seller).agg(F.max("s_nationkey").alias("s_nationkey"))
         number = raw("supplier").selectExpr("max(s_suppkey) + 1 AS n")
         if fits_broadcast(sellers):
             sellers = F.broadcast(sellers)
