@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,34 +19,40 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, tie: Sequence[str]) ->
     return df.orderBy(*order, *tie).limit(n)
 
 
-def place(df: DataFrame, order: Sequence[Column], weight: str | None = None) -> DataFrame:
-    """``df`` in range partitions of the global order, with ``_part``, the
-    partition, ``_end``, the running sum of ``weight`` over the global order (by
-    default the position from 1), and ``_total``, the sum over all rows.
-
-    A window without partitions would sort all rows in one task. Here the rows
-    are range-partitioned and sorted, and a row's running sum is that inside its
-    partition plus the sums of the partitions before it. ``order`` must be
-    unique for the result to be repeatable.
+def _sorted_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` in range partitions of the global order, with ``_part``, the partition, and
+    ``_at``, the position in it, from 1.
 
     The sorted rows are checkpointed: they are read twice, and both reads must
     see the same partitions even if executors are lost in between.
     """
     ensure_checkpoint_dir(df.sparkSession)
     ranged = df.orderBy(*order).checkpoint()
-    keyed = ranged.withColumn("_id", F.monotonically_increasing_id()).withColumn(
-        "_part", F.shiftright("_id", _ROW_BITS)
+    row = F.monotonically_increasing_id()
+    return ranged.withColumns(
+        {
+            "_part": F.shiftright(row, _ROW_BITS),
+            "_at": row.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1,
+        }
     )
-    if weight is None:
-        size, inside = F.count("*"), F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1
-    else:
-        size = F.sum(weight)
-        inside = F.sum(weight).over(Window.partitionBy("_part").orderBy("_id"))
+
+
+def place(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` in range partitions of the global order, with ``_part``, the
+    partition, ``_end``, the position in the global order from 1, and ``_total``, the
+    number of rows.
+
+    A window without partitions would sort all rows in one task. Here the rows
+    are range-partitioned and sorted, and a row's position is that inside its
+    partition plus the sizes of the partitions before it. ``order`` must be
+    unique for the result to be repeatable.
+    """
+    placed = _sorted_rows(df, order)
     # One row per partition from here to the join.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        keyed.groupBy("_part")
-        .agg(size.alias("_size"))
+        placed.groupBy("_part")
+        .agg(F.count("*").alias("_size"))
         .select(
             "_part",
             F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
@@ -55,44 +60,9 @@ def place(df: DataFrame, order: Sequence[Column], weight: str | None = None) ->
         )
     )
     return (
-        keyed.withColumn("_end", inside)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn("_end", F.col("_offset") + F.col("_end"))
-        .drop("_id", "_offset")
-    )
-
-
-def over_neighbours(
-    placed: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    combine: Callable[[str], Column],
-    out: str,
-) -> DataFrame:
-    """``combine`` (``F.min`` or ``F.max``) of ``value`` over the rows of a placed
-    frame with the same ``keys``, which are a prefix of its order.
-
-    Such rows are neighbours. If they lie in one partition, a window inside the
-    partition sees them all. Those that cross into another partition are looked
-    up; there are fewer of these than partitions, so they are broadcast.
-    """
-    inside = combine(value).over(Window.partitionBy("_part", *keys))
-    crossing = (
-        placed.groupBy(*keys)
-        .agg(
-            combine(value).alias("_whole"),
-            F.min("_part").alias("_from"),
-            F.max("_part").alias("_to"),
-        )
-        .where(F.col("_from") < F.col("_to"))
-        .select(*(F.col(k).alias(f"_c_{k}") for k in keys), "_whole")
-    )
-    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys))
-    return (
-        placed.withColumn("_inside", inside)
-        .join(F.broadcast(crossing), same, "left")
-        .withColumn(out, F.coalesce("_whole", "_inside"))
-        .drop("_inside", "_whole", *(f"_c_{k}" for k in keys))
+        placed.join(F.broadcast(offsets), "_part")
+        .withColumn("_end", F.col("_offset") + F.col("_at"))
+        .drop("_at", "_offset")
     )
 
 
@@ -121,15 +91,82 @@ def ntile_global(
     )
 
 
+def _boundaries(placed: DataFrame) -> DataFrame:
+    """One row per range partition but the first: the group and value of the last row before
+    it, ``_before``, and how many rows of that group (``_rows``) and how many of them ahead of
+    that value (``_ahead``) lie in the partitions before it.
+
+    ``placed`` has ``_part``, ``_at``, ``_key`` (group and value), and the window's ``_rank`` and
+    ``_row`` in the group, inside the partition.
+    """
+    ends = placed.groupBy("_part").agg(
+        F.count("*").alias("n"),
+        F.min_by("_key", "_at").alias("first"),
+        F.max_by(F.struct("_key", "_rank", "_row"), "_at").alias("last"),
+    )
+    # What a partition ends with may have begun in an earlier one, if all of it is of that
+    # group, or of that group and value. Its size up to here is then that of the last
+    # partition where it did not, and all rows since.
+    order = Window.orderBy("_part")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    previous = F.lag("last._key").over(order)
+    rows = F.sum("n").over(so_far)
+    group_began = ~(
+        F.col("first.group").eqNullSafe(F.col("last._key.group"))
+        & F.coalesce(previous["group"].eqNullSafe(F.col("first.group")), F.lit(False))
+    )
+    value_began = group_began | ~(
+        F.col("first").eqNullSafe(F.col("last._key")) & F.coalesce(previous.eqNullSafe(F.col("first")), F.lit(False))
+    )
+    started = ends.select(
+        "_part",
+        "last._key",
+        rows.alias("rows"),
+        # rows of the whole table before the last row's group, and before its value
+        F.when(group_began, rows - F.col("last._row")).alias("group_at"),
+        F.when(value_began, rows - F.col("last._row") + F.col("last._rank") - 1).alias("value_at"),
+    )
+    known = started.withColumns(
+        {c: F.last(c, ignorenulls=True).over(so_far) for c in ("group_at", "value_at")}
+    )
+    return known.select(
+        F.lead("_part").over(order).alias("_part"),
+        F.col("_key").alias("_before"),
+        (F.col("rows") - F.col("group_at")).alias("_rows"),
+        (F.col("value_at") - F.col("group_at")).alias("_ahead"),
+    ).where("_part IS NOT NULL")
+
+
 def rank_within(
     df: DataFrame, part: Sequence[str], by: str, tie: Sequence[str], out: str = "rank"
 ) -> DataFrame:
     """``RANK() OVER (PARTITION BY part ORDER BY by DESC)``, without gathering a
-    group in one task. ``tie`` makes rows unique; it does not affect the rank."""
+    group in one task. ``tie`` makes rows unique; it does not affect the rank.
+
+    Rows are range-partitioned by group and value. A window ranks them inside their
+    partition; one row per partition says which group and value the partitions before it end
+    with and how many rows of these they hold, which is added where a group reaches across.
+    """
     part, tie = list(part), list(tie)
-    placed = place(df, [*map(F.col, part), F.col(by).desc(), *map(F.col, tie)])
-    started = over_neighbours(placed, part, "_end", F.min, "_start")
-    ranked = over_neighbours(started, [*part, by], "_end", F.min, "_equal")
-    return ranked.withColumn(out, F.col("_equal") - F.col("_start") + 1).drop(
-        "_part", "_total", "_end", "_start", "_equal"
+    key = F.struct(F.struct(*part).alias("group"), F.col(by).alias("value"))
+    inside = Window.partitionBy("_part", *part).orderBy(F.col(by).desc())
+    # up to and with all equal values: at the end of a partition, all rows of its group
+    so_far = inside.rangeBetween(Window.unboundedPreceding, 0)
+    placed = _sorted_rows(df, [*map(F.col, part), F.col(by).desc(), *map(F.col, tie)]).withColumns(
+        {
+            "_key": key,
+            "_rank": F.rank().over(inside),
+            "_row": F.count("*").over(so_far),
+        }
+    )
+    crossing = placed.join(F.broadcast(_boundaries(placed)), "_part", "left")
+    same_group = F.col("_key.group").eqNullSafe(F.col("_before.group"))
+    across = F.coalesce(F.col("_before").isNotNull() & same_group, F.lit(False))
+    rank = (
+        F.when(across & F.col("_key.value").eqNullSafe(F.col("_before.value")), F.col("_ahead") + 1)
+        .when(across, F.col("_rows") + F.col("_rank"))
+        .otherwise(F.col("_rank"))
+    )
+    return crossing.withColumn(out, rank.cast("bigint")).drop(
+        "_part", "_at", "_key", "_rank", "_row", "_before", "_rows", "_ahead"
     )

@@ -61,7 +61,8 @@ def fk_violations(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> Data
         .join(F.broadcast(marks), "_bucket")
         .where(_marked(F.col("_place"), F.col("_marks")))
     )
-    return picked.join(unknown, fk, "left_semi").select(child.columns)
+    # unknown references are distinct, and an inner join, unlike a semi join, stays above the filter
+    return picked.join(unknown, fk).select(child.columns)
 
 
 def _key_type(t: Mapping[str, DataFrame], domains: Sequence[tuple[str, tuple[str, ...]]]) -> str:
@@ -94,27 +95,27 @@ def validate(
     missing = [f"missing{i}" for i in range(max((len(c) for c in required.values()), default=0))]
     strays = [f"stray{i}" for i in range(max(map(len, referring.values())))]
 
-    def tag(domain, columns, side: int, nulls: Sequence[str] = ()) -> Column:
+    def tag(domain, columns, side: Column, nulls: Sequence[str] = ()) -> Column:
         parts = [F.col(c).cast(kind) for c in columns]
         parts += [F.lit(None).cast(kind)] * (width - len(parts))
         flags = [F.col(c).isNull().cast("int") for c in nulls]
         flags += [F.lit(0)] * (len(missing) - len(flags))
         return F.struct(
             F.lit(number[domain]).alias("domain"),
-            F.lit(side).alias("side"),
+            side.alias("side"),
             *(x.alias(name) for x, name in zip([*parts, *flags], [*keys, *missing])),
         )
 
     def tagged(table: str) -> DataFrame:
         own = [d for d in domains if d[0] == table]
         primary = (table, tuple(primary_keys.get(table, ())))
-        tags = [tag(d, d[1], 0, required.get(table, ()) if d == primary else ()) for d in own]
+        tags = [tag(d, d[1], F.lit(0), required.get(table, ()) if d == primary else ()) for d in own]
         for domain, refs in referring.items():
             for side, r in enumerate(refs, 1):
                 if r.child == table:
-                    tags.append(F.when(F.col(r.column).isNotNull(), tag(domain, [r.column], side)))
-        rows = F.explode(F.array_compact(F.array(*tags)))
-        return t[table].select(rows.alias("tag")).select("tag.*")
+                    held = F.when(F.col(r.column).isNotNull(), side)
+                    tags.append(tag(domain, [r.column], held))
+        return t[table].select(F.inline(F.array(*tags))).where("side IS NOT NULL")
 
     incomplete = reduce(
         Column.__or__,

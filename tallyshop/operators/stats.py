@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyshop.functions import count_if, mean, rate_pct, rounded, share_pct
 from tallyshop.operators.facts import is_shipped
-from tallyshop.operators.ordering import over_neighbours, place
 
 # Order status codes and the columns of the status pivot.
 STATUS_COLUMNS = {"pending": 1, "processing": 2, "rejected": 3, "completed": 4}
@@ -36,40 +35,68 @@ def pct_of_total(
     return df.withColumn(out, share_pct(F.col(num), whole))
 
 
+# Ranges of values between one power of two and the next, in the first pass of a median.
+_RANGES = 64
+# The range of nulls, below all others.
+_NULLS = -1.0e6
+
+
+def _value_range(v: Column, ranges: int = _RANGES) -> Column:
+    """Number of the range that holds ``v``: it never falls as ``v`` grows. Powers of two are
+    cut into ``ranges`` parts, so a group has a few hundred ranges whatever its rows."""
+    size = F.abs(v.cast("double")) + 1
+    power = F.floor(F.log2(size))
+    part = F.floor((size / F.pow(F.lit(2.0), power) - 1) * ranges)
+    return F.coalesce(F.signum(v.cast("double")) * (power * ranges + part), F.lit(_NULLS))
+
+
 def group_median(
-    df: DataFrame, keys: Sequence[str], col: str, out: str = "median"
+    df: DataFrame,
+    keys: Sequence[str],
+    col: str,
+    out: str = "median",
+    weight: str | None = None,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
-    """Exact median per group: the mean of the one or two middle rows.
-
-    Nulls take part in the ordering, first, and are left out of the mean. Rows
-    are first counted per distinct value, before the shuffle. The counts are then
-    added up over the global order of groups and values, so that not even the
-    distinct values of a group meet in one task.
+    """Exact median per group: the mean of the one or two middle rows. ``weight`` says how
+    often a row counts, for a frame that is already counted by value. ``also`` are named
+    aggregates of the same groups, worked out on the way.
+
+    Nulls take part in the ordering, first, and are left out of the mean.
+
+    The middle is found by narrowing, in two passes that add up before their only shuffle, on
+    the group: the first counts rows per range of values, and only ranges, so it holds a few
+    hundred counts per group. The second keeps exact values inside the middle's range; all below
+    and all above count as one value each, which leaves the middle where it is. If the two
+    middle rows lie in different ranges, no row is between them: they are the largest value
+    below and the smallest above. No group's rows, nor all its values, meet in one task.
     """
     keys = list(keys)
-    counted = df.groupBy(*keys, F.col(col).alias("_v")).agg(F.count("*").alias("_c"))
-    placed = place(counted, [*map(F.col, keys), F.col("_v").asc_nulls_first()], "_c")
-    first = placed.withColumn("_begin", F.col("_end") - F.col("_c"))
-    grouped = over_neighbours(
-        over_neighbours(first, keys, "_begin", F.min, "_start"), keys, "_end", F.max, "_stop"
-    ).withColumn("_n", F.col("_stop") - F.col("_start"))
-
-    def covers(position: str) -> Column:
-        row = F.col("_start") + F.col(position)
-        return (row > F.col("_begin")) & (row <= F.col("_end"))
-
-    weight = F.when(covers("_lo"), 1).otherwise(0) + F.when(
-        covers("_hi") & (F.col("_hi") != F.col("_lo")), 1
-    ).otherwise(0)
-    middle = (
-        grouped.withColumns({"_lo": F.expr("(_n + 1) div 2"), "_hi": F.expr("(_n + 2) div 2")})
-        .withColumn("_w", weight)
-        .where(F.col("_w") > 0)
-    )
-    value_n = F.sum(F.when(F.col("_v").isNotNull(), F.col("_w")))
-    return middle.groupBy(*keys).agg(
-        (F.sum(F.col("_v") * F.col("_w")).cast("double") / value_n).alias(out)
+    value, n = F.col(col), F.col(weight) if weight else F.lit(1)
+    ranged = df.withColumn("_range", _value_range(value))
+    # null keys are groups too, so they are compared as structs
+    grouped = ranged.withColumn("_group", F.struct(*keys)) if keys else ranged.withColumn("_group", F.lit(0))
+    middle = grouped.groupBy("_group").agg(F.percentile("_range", 0.5, n).alias("_middle"))
+    at, mid = F.col("_range"), F.col("_middle")
+    narrowed = F.when(at < mid, float("-inf")).when(at > mid, float("inf")).otherwise(value.cast("double"))
+    below = F.max(F.when((at < mid) & (at > _NULLS), value)).cast("double")
+    above = F.min(F.when(at > mid, value)).cast("double")
+    found = (
+        grouped.join(middle, "_group")
+        .groupBy("_group")
+        .agg(
+            F.max(at == mid).alias("_inside"),
+            F.percentile(narrowed, 0.5, n).alias("_value"),
+            F.max(F.when(mid > _NULLS, True)).alias("_valued"),
+            below.alias("_below"),
+            above.alias("_above"),
+            *also,
+        )
     )
+    between = F.coalesce((F.col("_below") + F.col("_above")) / 2, "_below", "_above")
+    median = F.when(F.col("_inside"), F.when(F.col("_valued"), F.col("_value"))).otherwise(between)
+    own = [c for c in found.columns if not c.startswith("_")]
+    return found.select(*(F.col(f"_group.{k}").alias(k) for k in keys), *own, median.alias(out))
 
 
 def segment_by_count(

@@ -157,22 +157,33 @@ def overstock_ratio(
 
 
 def price_stats_category(t: RetailTables) -> DataFrame:
-    """Count, range, mean and median list price per category."""
-    stats = t.products.groupBy("category_id").agg(
-        F.count("product_id").alias("n"),
-        F.min("list_price").alias("lo"),
-        F.max("list_price").alias("hi"),
-        F.sum("list_price").alias("total"),
-        F.count("list_price").alias("priced"),
+    """Count, range, mean and median list price per category, all from the products counted
+    by category and price."""
+    # the join with categories leaves out the others in any case; said here, both passes of the
+    # median read the same counts
+    known = t.products.where(F.col("category_id").isNotNull())
+    counted = known.groupBy("category_id", "list_price").agg(F.count("*").alias("n"))
+    price, n = F.col("list_price"), F.col("n")
+    stats = group_median(
+        counted,
+        ["category_id"],
+        "list_price",
+        "median",
+        weight="n",
+        also=[
+            F.sum(n).alias("num"),
+            F.min(price).alias("lo"),
+            F.max(price).alias("hi"),
+            F.sum(price * n).alias("total"),
+            F.sum(F.when(price.isNotNull(), n)).alias("priced"),
+        ],
     )
-    medians = group_median(t.products, ["category_id"], "list_price", "median")
     # Categories that share a name and a median are one row.
     return (
-        stats.join(medians, "category_id")
-        .join(t.categories, "category_id")
+        stats.join(t.categories, "category_id")
         .groupBy("category_name", "median")
         .agg(
-            F.sum("n").alias("num_products"),
+            F.sum("num").alias("num_products"),
             rounded(F.min("lo")).alias("min_price"),
             rounded(F.max("hi")).alias("max_price"),
             ratio(F.sum("total"), F.sum("priced")).alias("avg_price"),

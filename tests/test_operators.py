@@ -196,6 +196,26 @@ def test_rank_within_is_rank(spark, unmerged, seed):
     assert ours.exceptAll(plain).isEmpty() and ours.count() == 400
 
 
+@pytest.mark.parametrize("values", [1, 2, 9, 5000])
+def test_groups_and_ties_over_many_partitions(spark, unmerged, values):
+    # Three groups over 24 range partitions: runs of one group, and of one value, fill several.
+    rng = random.Random(values)
+    rows = [(rng.choice("aaaaab") if i % 50 else None, rng.randrange(values), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        ours = ops.rank_within(df, ["g"], "v", ["id"], "r").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    groups = {}
+    for g, v, i in rows:
+        groups.setdefault(g, []).append(v)
+    ordered = {g: sorted(vs, reverse=True) for g, vs in groups.items()}
+    assert len(ours) == 3000
+    assert all(r.r == ordered[r.g].index(r.v) + 1 for r in ours)
+
+
 def test_top_n_breaks_ties(spark):
     df = spark.createDataFrame([(i, i // 3) for i in range(9)], "id int, v int")
     got = ops.top_n(df, [F.col("v").desc()], 4, ["id"]).collect()
@@ -329,3 +349,36 @@ def test_checkpoint_folder_comes_from_the_session(configured):
 
 def test_a_local_session_has_a_checkpoint_folder(spark):
     assert ensure_checkpoint_dir(spark)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_group_median_over_wide_values(spark, seed):
+    # Both signs, powers of two and their neighbours, fractions, equal values, nulls and weights.
+    import statistics
+
+    rng = random.Random(seed)
+    pool = [s * (2.0**e + d) for e in range(0, 40, 3) for d in (-0.01, 0, 0.01) for s in (1, -1)]
+    pool += [0.0, 0.25, -0.25, None]
+    rows = [
+        (rng.choice(["a", "b", None]), rng.choice(pool if seed % 2 else pool[:9]), rng.randint(1, 4))
+        for _ in range(rng.randint(3, 90))
+    ]
+    df = spark.createDataFrame(rows, "g string, v double, n int")
+    expected = {}
+    for g in {r[0] for r in rows}:
+        values = sorted(
+            (v for k, v, n in rows if k == g for _ in range(n)), key=lambda v: (v is not None, v or 0)
+        )
+        middle = [v for v in (values[(len(values) - 1) // 2], values[len(values) // 2]) if v is not None]
+        expected[g] = statistics.fmean(middle) if middle else None
+    found = {r.g: r.m for r in ops.group_median(df, ["g"], "v", "m", weight="n").collect()}
+    assert found == expected
+
+
+def test_ranges_never_fall(spark):
+    from tallyshop.operators.stats import _value_range
+
+    values = sorted({s * (2.0**e + d / 64) for e in range(-2, 50) for d in range(-3, 4) for s in (1, -1)})
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ranges = [r[1] for r in sorted(df.select("v", _value_range(F.col("v"))).collect())]
+    assert ranges == sorted(ranges) and min(ranges) > -1e6
