@@ -1,4 +1,5 @@
 from tallyshop.operators.facts import (
+    class_totals,
     item_totals,
     order_totals,
     product_totals,
@@ -19,6 +20,7 @@ from tallyshop.operators.stats import (
 )
 
 __all__ = [
+    "class_totals",
     "count_lookup",
     "fits_broadcast",
     "fk_violations",

@@ -8,6 +8,8 @@ costs one row per task, and both sides of the join hold one row per order.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,38 @@ def valid_lines(t: RetailTables, lines: DataFrame | None = None) -> DataFrame:
     return lines.join(t.orders.where(is_valid()), "order_id")
 
 
+def class_totals(
+    t: RetailTables, label: Column, labels: Sequence[str], out: str, **sums: Column
+) -> DataFrame:
+    """``sums`` over the lines of valid orders per class of lines: ``out``, the ``label`` of a
+    line, and one column per sum. ``labels`` are all that occur; those without a line are left out.
+
+    The sums of all classes are added up per order, side by side, before the lines are joined:
+    the join has one row per order on both sides, and what follows is one row in all.
+    """
+    places = [(name, i) for i in range(len(labels)) for name in ("_lines", *sums)]
+    values = {"_lines": F.lit(1), **sums}
+    per_order = (
+        t.order_items.withColumn("_label", label)
+        .groupBy("order_id")
+        .agg(
+            *(
+                F.sum(F.when(F.col("_label") == labels[i], values[name])).alias(f"{name}{i}")
+                for name, i in places
+            )
+        )
+    )
+    known = t.orders.where(is_valid()).select("order_id")
+    whole = per_order.join(known, "order_id").agg(
+        *(F.sum(f"{name}{i}").alias(f"{name}{i}") for name, i in places)
+    )
+    classes = [
+        F.struct(F.lit(text).alias(out), *(F.col(f"{name}{i}").alias(name) for name in values))
+        for i, text in enumerate(labels)
+    ]
+    return whole.select(F.inline(F.array(*classes))).where("_lines > 0").drop("_lines")
+
+
 def product_totals(t: RetailTables, valid_only: bool = False) -> DataFrame:
     """One row per product on any line, whatever the order's status, or on lines
     of valid orders only."""

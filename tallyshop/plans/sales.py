@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyshop.functions import mean, period, ratio, rounded, tier_le, tier_lt
-from tallyshop.operators.facts import line_revenue, order_totals, valid_lines
+from tallyshop.operators.facts import class_totals, line_revenue, order_totals, valid_lines
 from tallyshop.operators.lookup import lookup
 from tallyshop.operators.ordering import top_n
 from tallyshop.operators.periods import growth_pct, running_total
@@ -178,11 +178,15 @@ def revenue_by_brand(t: RetailTables) -> DataFrame:
 
 
 def store_category(t: RetailTables) -> DataFrame:
-    """Units and revenue per store and category."""
+    """Units and revenue per store and category. Lines are added up per store and product
+    first, so the catalogue is joined to one row of each."""
     sold = (
-        _valid_lines_with(t, t.products.select("product_id", "category_id"))
-        .groupBy("store_id", "category_id")
+        valid_lines(t)
+        .groupBy("store_id", "product_id")
         .agg(F.sum("quantity").alias("units"), F.sum(line_revenue()).alias("revenue"))
+        .join(t.products.select("product_id", "category_id"), "product_id")
+        .groupBy("store_id", "category_id")
+        .agg(F.sum("units").alias("units"), F.sum("revenue").alias("revenue"))
     )
     return (
         sold.join(t.stores.select("store_id", "store_name"), "store_id")
@@ -200,17 +204,23 @@ def discount_tiers(
     t: RetailTables, bounds=DISCOUNT_BOUNDS, labels=DISCOUNT_TIERS
 ) -> DataFrame:
     """Lines, quantity and revenue per discount tier."""
-    return (
-        valid_lines(t)
-        .groupBy(tier_le("discount", bounds, labels).alias("discount_tier"))
-        .agg(
-            F.count("*").alias("num_line_items"),
-            rounded(mean("quantity")).alias("avg_quantity_per_line_item"),
-            F.sum("quantity").alias("total_units_sold"),
-            rounded(F.sum(line_revenue())).alias("net_revenue"),
-        )
-        .orderBy("discount_tier")
+    totals = class_totals(
+        t,
+        tier_le("discount", bounds, labels),
+        labels,
+        "discount_tier",
+        lines=F.lit(1),
+        units=F.col("quantity"),
+        counted=F.col("quantity").isNotNull().cast("int"),
+        revenue=line_revenue(),
     )
+    return totals.select(
+        "discount_tier",
+        F.col("lines").alias("num_line_items"),
+        ratio("units", "counted").alias("avg_quantity_per_line_item"),
+        F.col("units").alias("total_units_sold"),
+        rounded("revenue").alias("net_revenue"),
+    ).orderBy("discount_tier")
 
 
 def discount_vs_quantity(t: RetailTables, min_lines: int = 5) -> DataFrame:
@@ -242,25 +252,35 @@ def discount_vs_quantity(t: RetailTables, min_lines: int = 5) -> DataFrame:
 
 def discounted_flag(t: RetailTables) -> DataFrame:
     """Lines with a discount against those without."""
-    flag = F.when(F.col("discount") == 0, NOT_DISCOUNTED).otherwise(DISCOUNTED)
-    return (
-        valid_lines(t)
-        .groupBy(flag.alias("discount_flag"))
-        .agg(
-            F.count("*").alias("num_line_items"),
-            F.sum("quantity").alias("total_units_sold"),
-            rounded(mean("quantity")).alias("avg_quantity_per_line_item"),
-            rounded(mean("discount") * 100).alias("avg_discount_pct"),
-        )
+    totals = class_totals(
+        t,
+        F.when(F.col("discount") == 0, NOT_DISCOUNTED).otherwise(DISCOUNTED),
+        (NOT_DISCOUNTED, DISCOUNTED),
+        "discount_flag",
+        lines=F.lit(1),
+        units=F.col("quantity"),
+        counted=F.col("quantity").isNotNull().cast("int"),
+        given=F.col("discount"),
+        discounts=F.col("discount").isNotNull().cast("int"),
+    )
+    average = F.col("given").cast("double") / F.nullif(F.col("discounts").cast("double"), F.lit(0.0))
+    return totals.select(
+        "discount_flag",
+        F.col("lines").alias("num_line_items"),
+        F.col("units").alias("total_units_sold"),
+        ratio("units", "counted").alias("avg_quantity_per_line_item"),
+        rounded(average * 100).alias("avg_discount_pct"),
     )
 
 
 def discount_tiers_category(
     t: RetailTables, bounds=WIDE_DISCOUNT_BOUNDS, labels=WIDE_DISCOUNT_TIERS
 ) -> DataFrame:
-    per_category = (
-        _valid_lines_with(t, t.products.select("product_id", "category_id"))
-        .groupBy("category_id", tier_le("discount", bounds, labels).alias("discount_tier"))
+    """Lines and quantity per category and discount tier. Lines are added up per product and
+    tier first, so the catalogue is joined to one row of each."""
+    per_product = (
+        valid_lines(t)
+        .groupBy("product_id", tier_le("discount", bounds, labels).alias("discount_tier"))
         .agg(
             F.count("*").alias("n_lines"),
             F.sum("quantity").alias("units"),
@@ -268,7 +288,7 @@ def discount_tiers_category(
         )
     )
     return (
-        per_category.join(t.categories, "category_id")
+        per_product.join(product_category(t), "product_id")
         .groupBy("category_name", "discount_tier")
         .agg(
             F.sum("n_lines").alias("num_line_items"),

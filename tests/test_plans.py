@@ -148,10 +148,10 @@ def test_distinct_orders_per_category_use_the_partitioning_by_order(golden, conf
 
 
 def test_line_level_lookup_is_broadcast_only_within_the_limit(golden, conf):
-    small = executed(REPORTS["store_category"](golden))
+    small = executed(REPORTS["revenue_by_category"](golden))
     assert "BroadcastHashJoin [product_id]" in small
     conf(AS_IF_LARGE)
-    assert "SortMergeJoin [product_id]" in executed(REPORTS["store_category"](golden))
+    assert "SortMergeJoin [product_id]" in executed(REPORTS["revenue_by_category"](golden))
 
 
 def test_filters_and_columns_reach_the_scan(golden):
@@ -255,6 +255,26 @@ def test_sellers_are_joined_only_where_they_are_wanted(spark, star_dir, name):
     assert scans(plan, "o_") == 1 and scans(plan, "s_") == 0
 
 
+@pytest.mark.parametrize("name", ["discount_tiers", "discounted_flag"])
+def test_discount_classes_shuffle_one_row_per_order(golden, conf, name):
+    conf(AS_IF_LARGE)
+    plan = executed(REPORTS[name](golden))
+    assert scans(plan, "order_id,quantity") == 1
+    assert count(r"Exchange hashpartitioning\(order_id", plan) == 2
+    above = above_scan(plan, "discount")
+    met = [x for x in above if "Exchange" in x or "HashAggregate(keys=[order_id]" in x]
+    assert "functions=[partial_sum" in met[0]
+
+
+@pytest.mark.parametrize("name", ["store_category", "discount_tiers_category"])
+def test_the_catalogue_is_joined_to_sums_of_products(golden, conf, name):
+    conf(AS_IF_LARGE)
+    plan = executed(REPORTS[name](golden))
+    above = above_scan(plan, "discount")
+    met = [x for x in above if "Join [product_id]" in x or "product_id" in x and "functions=[partial" in x]
+    assert "HashAggregate" in met[0] and any("Join [product_id]" in x for x in met)
+
+
 def test_hot_partitions_of_line_joins_are_split(spark, conf, tmp_path):
     # Half of all lines belong to one order.
     from tests.fixtures import _save, random_tables
@@ -276,7 +296,7 @@ def test_hot_partitions_of_line_joins_are_split(spark, conf, tmp_path):
             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
         }
     )
-    for name in ("revenue_by_category", "discount_tiers"):
+    for name in ("revenue_by_category", "store_category"):
         df = REPORTS[name](t)
         plan = executed(df)
         assert "SortMergeJoin(skew=true) [order_id]" in plan
