@@ -3,9 +3,11 @@
 from tallyshop.schema import SCHEMAS, RetailTables
 from tallyshop.sources import (
     load_retail,
+    read_by_year,
     read_table,
     read_tables,
     save_bucketed,
+    write_by_year,
     write_tables,
 )
 
@@ -13,8 +15,10 @@ __all__ = [
     "SCHEMAS",
     "RetailTables",
     "load_retail",
+    "read_by_year",
     "read_table",
     "read_tables",
     "save_bucketed",
+    "write_by_year",
     "write_tables",
 ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tallyshop import operators as ops
 from tallyshop.functions import period, rounded
-from tallyshop.oracle import RECENT, table_columns
+from tallyshop.oracle import LAID_OUT_YEAR, RECENT, table_columns
 from tallyshop.plans import REPORTS, customer, product, staff
 from tallyshop.schema import SCHEMAS, RetailTables
-from tallyshop.sources import load_retail
+from tallyshop.session import ensure_checkpoint_dir
+from tallyshop.sources import load_retail, read_by_year, read_table, write_by_year
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +80,33 @@ def _cumulative_revenue_by_store(t: RetailTables) -> DataFrame:
     ).select("store_id", "order_month", rounded("running").alias("cumulative_revenue"))
 
 
+def _store_share_of_revenue(t: RetailTables) -> DataFrame:
+    totals = ops.order_totals(t)
+    per_store = totals.groupBy("store_id").agg(F.sum("revenue").alias("revenue"))
+    whole = totals.agg(F.sum("revenue"))
+    return ops.pct_of_total(
+        per_store, "revenue", "pct_of_total_revenue", total_df=whole
+    ).select("store_id", rounded("revenue").alias("net_revenue"), "pct_of_total_revenue")
+
+
+def _scratch(t: RetailTables) -> str:
+    return f"{ensure_checkpoint_dir(t.spark)}/{uuid.uuid4().hex}"
+
+
+def _customers_from_csv(t: RetailTables) -> DataFrame:
+    """Customers written as CSV files and read again."""
+    path = f"{_scratch(t)}/customers.csv"
+    t.customers.write.csv(path, header=True, nullValue="NULL", escape='"')
+    return read_table(t.spark, path, "customers").select(*table_columns("customers"))
+
+
+def _orders_of_a_year(t: RetailTables) -> DataFrame:
+    """Orders of one year from the layout by year, written for it."""
+    root = _scratch(t)
+    write_by_year(t, root)
+    return read_by_year(t.spark, root, LAID_OUT_YEAR, LAID_OUT_YEAR).orders
+
+
 def _by_store_month() -> list:
     return ["store_id", period("order_date", "month").alias("order_month")]
 
@@ -94,6 +123,9 @@ OPERATORS: dict[str, Callable[[RetailTables], DataFrame]] = {
     "customer_value_deciles": _customer_value_deciles,
     "median_order_units_by_store": _median_order_units_by_store,
     "cumulative_revenue_by_store": _cumulative_revenue_by_store,
+    "store_share_of_revenue": _store_share_of_revenue,
+    "table_customers_from_csv": _customers_from_csv,
+    "table_orders_of_a_year": _orders_of_a_year,
     "store_month_status": lambda t: ops.status_pivot(t.orders, _by_store_month()),
     "fulfilment_by_store_month": lambda t: ops.fulfilment(t.orders, _by_store_month()),
 }

@@ -551,6 +551,9 @@ def _validate_sql(**kept: str) -> str:
     return "\nUNION ALL\n".join(checks)
 
 
+#: The year that is read back from the layout by year.
+LAID_OUT_YEAR = 1996
+
 OPERATOR_SQL: dict[str, str] = {
     **{f"table_{name}": _table_sql(name) for name in SCHEMAS},
     "validate": _validate_sql(),
@@ -580,6 +583,11 @@ SELECT store_id, order_month, {_r2(
     "sum(v) OVER (PARTITION BY store_id ORDER BY order_month NULLS FIRST)"
 )} AS cumulative_revenue
 FROM (SELECT store_id, {_MONTH}, sum(nr) AS v FROM sold GROUP BY ALL)""",
+    "store_share_of_revenue": f"""
+SELECT store_id, {_NET}, {_pct("sum(nr)", "(SELECT sum(nr) FROM sold)")} AS pct_of_total_revenue
+FROM sold GROUP BY store_id""",
+    "table_customers_from_csv": _table_sql("customers"),
+    "table_orders_of_a_year": _table_sql("orders") + f" WHERE year(order_date) = {LAID_OUT_YEAR}",
     "store_month_status": f"""
 SELECT store_id, {_MONTH}, {_PIVOT}, count(*) AS total_orders, {_REJECTION}
 FROM m_orders GROUP BY store_id, order_month""",

@@ -70,6 +70,9 @@ SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
+#: The tables that grow with the business; all others are dimensions of these.
+FACTS = ("orders", "order_items")
+
 PRIMARY_KEYS: dict[str, tuple[str, ...]] = {
     "brands": ("brand_id",),
     "categories": ("category_id",),

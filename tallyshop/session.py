@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import warnings
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,6 +83,24 @@ def tune(
         spark.conf.set(_INITIAL_PARTITIONS, str(wanted))
 
 
+def tuned(
+    openers: Mapping[str, Callable[[], DataFrame]], facts: Iterable[str]
+) -> dict[str, Callable[[], DataFrame]]:
+    """Openers of tables that prepare the session (``tune``) when one of the ``facts`` is first
+    opened, so that a report on dimensions opens no fact table for it."""
+
+    def with_tune(opener: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        def opened() -> DataFrame:
+            df = opener()
+            tune(df.sparkSession, df)
+            return df
+
+        return opened
+
+    large = set(facts)
+    return {name: with_tune(x) if name in large else x for name, x in openers.items()}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 

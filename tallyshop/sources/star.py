@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyshop.operators.lookup import fits_broadcast, lookup
-from tallyshop.schema import SCHEMAS, RetailTables
-from tallyshop.session import tune
+from tallyshop.schema import FACTS, SCHEMAS, RetailTables
+from tallyshop.session import tuned
+
 
 def _as(name: str, df: DataFrame, **columns: str) -> DataFrame:
     """The columns of table ``name`` in order and type, from SQL expressions
@@ -173,5 +174,4 @@ def load_retail(spark: SparkSession, sf_dir: str) -> RetailTables:
         "orders": orders,
         "order_items": order_items,
     }
-    tune(spark, raw("lineitem"))
-    return RetailTables(spark, openers)
+    return RetailTables(spark, tuned(openers, FACTS))

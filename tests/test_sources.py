@@ -3,7 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyshop import read_table, read_tables, save_bucketed, write_tables
+from tallyshop import (
+    read_by_year,
+    read_table,
+    read_tables,
+    save_bucketed,
+    write_by_year,
+    write_tables,
+)
 from tallyshop.operators import save_item_totals
 from tallyshop.plans import REPORTS, run
 from tallyshop.schema import SCHEMAS, RetailTables
@@ -119,3 +126,74 @@ def test_saved_item_totals_replace_the_lines(spark, golden, tmp_path):
     # New lines make the saved totals stale.
     fewer = saved.replace(order_items=golden.order_items.where(F.col("order_id") < 5))
     assert fewer.item_totals is None
+
+
+def test_a_write_that_fails_leaves_the_old_table(spark, golden, tmp_path):
+    write_tables(golden, str(tmp_path), ["orders", "brands"])
+    before = sorted(p.name for p in tmp_path.iterdir())
+    # all rows but one can be written
+    checked = F.when(F.col("order_id") == 9, F.raise_error(F.lit("no such order")).cast("bigint"))
+    broken = golden.orders.repartition(3).withColumn("order_id", F.coalesce(checked, "order_id"))
+    with pytest.raises(Exception, match="no such order"):
+        write_tables(golden.replace(orders=broken), str(tmp_path), ["orders"])
+    assert read_tables(spark, str(tmp_path)).orders.exceptAll(golden.orders).isEmpty()
+    assert read_tables(spark, str(tmp_path)).orders.count() == golden.orders.count()
+    assert sorted(p.name for p in tmp_path.iterdir()) == before
+
+
+def test_a_table_may_be_replaced_by_what_is_read_from_it(spark, golden, tmp_path):
+    write_tables(golden, str(tmp_path), ["brands"])
+    stored = read_table(spark, f"{tmp_path}/brands", "brands", "parquet")
+    write_tables(golden.replace(brands=stored.where("brand_id > 1")), str(tmp_path), ["brands"])
+    left = read_table(spark, f"{tmp_path}/brands", "brands", "parquet")
+    assert sorted(r.brand_id for r in left.collect()) == [2, 3]
+    write_tables(golden, str(tmp_path), ["brands"], mode="append")
+    assert read_table(spark, f"{tmp_path}/brands", "brands", "parquet").count() == 5
+
+
+def test_one_year_reads_one_folder(spark, random_dir, tmp_path):
+    t, root = read_tables(spark, random_dir), str(tmp_path)
+    write_by_year(t, root)
+    whole = read_by_year(spark, root)
+    for name in SCHEMAS:
+        assert whole[name].schema == t[name].schema
+        assert whole[name].exceptAll(t[name]).isEmpty() and whole[name].count() == t[name].count()
+    # files of other years cannot even be read
+    for table in ("orders", "order_items"):
+        for folder in (tmp_path / table).iterdir():
+            if folder.name.startswith("order_year=") and folder.name != "order_year=2016":
+                for file in folder.glob("*.parquet"):
+                    file.write_bytes(b"not parquet")
+    year = read_by_year(spark, root, 2016, 2016)
+    expected = REPORTS["yearly_growth"](t).where("order_year = 2016").drop("yoy_growth_pct")
+    found = REPORTS["yearly_growth"](year)
+    assert found.drop("yoy_growth_pct").collect() == expected.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("(order_year#") >= 2 and "PartitionFilters: [isnotnull(order_year" in plan
+    with pytest.raises(Exception):
+        read_by_year(spark, root, 2017, 2017).orders.collect()
+
+
+def test_a_hot_year_is_written_by_several_tasks(spark, golden, tmp_path):
+    rows = spark.range(200_000).selectExpr(
+        "id AS order_id", "id AS customer_id", "1 AS order_status", "DATE '2017-01-01' AS order_date",
+        "DATE '2017-01-02' AS required_date", "CAST(NULL AS DATE) AS shipped_date", "1 AS store_id", "id AS staff_id",
+    )
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "200KB")
+    try:
+        write_by_year(golden.replace(orders=rows), str(tmp_path))
+    finally:
+        spark.conf.set(key, before)
+    assert len(list((tmp_path / "orders" / "order_year=2017").glob("*.parquet"))) > 1
+
+
+def test_the_session_is_prepared_when_facts_are_first_opened(spark, golden_dir, monkeypatch):
+    from tallyshop import session
+
+    seen = []
+    monkeypatch.setattr(session, "tune", lambda spark, df: seen.append(df.columns[0]))
+    t = read_tables(spark, golden_dir)
+    assert t.brands.count() and seen == []
+    assert t.order_items.count() and t.order_items.count() and seen == ["order_id"]
