@@ -9,9 +9,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from tallyshop.plans import customer, operations, product, sales
 from tallyshop.schema import PRIMARY_KEYS, REFERENCES, REQUIRED, SCHEMAS
 
+# Codes, bounds and labels of the reports, stated here apart from the reports.
+STATUSES = {"pending": 1, "processing": 2, "rejected": 3, "completed": 4}
+PRICE_BOUNDS = (500, 1000, 2000, 3000)
+PRICE_TIERS = ("1. Under $500", "2. $500-$999", "3. $1000-$1999", "4. $2000-$2999", "5. $3000+")
+CLV_BOUNDS = (500, 1500, 3000, 6000)
+CLV_TIERS = ("1. Under $500", "2. $500-$1499", "3. $1500-$2999", "4. $3000-$5999", "5. $6000+")
+AOV_BOUNDS = (1000, 2500, 5000, 10000)
+AOV_BUCKETS = (
+    "1. Under $1000", "2. $1000-$2499", "3. $2500-$4999", "4. $5000-$9999", "5. $10000+",
+)
+DISCOUNT_BOUNDS = ("0.05", "0.10", "0.15", "0.20")
+DISCOUNT_TIERS = (
+    "1. No discount (0%)", "2. 1-5%", "3. 6-10%", "4. 11-15%", "5. 16-20%", "6. 20%+",
+)
+WIDE_DISCOUNT_BOUNDS = ("0.10", "0.20")
+WIDE_DISCOUNT_TIERS = ("1. No discount (0%)", "2. 1-10%", "3. 11-20%", "4. 20%+")
+
 # The retail model over the driver's star: one ``m_`` relation per table.
 STAR = """
 geo AS (
@@ -131,7 +147,7 @@ _DISC = f"{_r2('(' + _avg('discount') + ') * 100')} AS avg_discount_pct"
 _AVG_QTY = f"{_r2(_avg('quantity'))} AS avg_quantity_per_line_item"
 _MONTH = "strftime(order_date, '%Y-%m') AS order_month"
 _NAMES = "product_id, product_name, brand_name, category_name"
-_PRICE_TIER = _lt("list_price", product.PRICE_BOUNDS, product.PRICE_TIERS) + " AS price_tier"
+_PRICE_TIER = _lt("list_price", PRICE_BOUNDS, PRICE_TIERS) + " AS price_tier"
 _DAYS = f"{_r2(_avg('took'))} AS avg_days_to_ship"
 _EARLY = f"{_r2(_avg('over'))} AS avg_days_early_or_late"
 # A sum, unlike a count, is null over no rows at all.
@@ -140,7 +156,7 @@ _LATE = f"{_n(_NUM_LATE)} AS num_late_orders, {_pct(_NUM_LATE, 'count(*)')} AS p
 _DONE = "count(*) AS num_completed_orders"
 _PIVOT = ", ".join(
     f"count(*) FILTER (order_status = {code}) AS {name}"
-    for name, code in operations.STATUS_COLUMNS.items()
+    for name, code in STATUSES.items()
 )
 _REJECTION = _pct("count(*) FILTER (order_status = 3)", "count(*)") + " AS rejection_rate_pct"
 _ACTIVE = "(SELECT count(*) FROM m_staffs f WHERE f.store_id = s.store_id AND f.active = 1)"
@@ -168,13 +184,12 @@ _NO_FAN_OUT = (
 
 
 def _median(table: str, key: str, value: str) -> str:
-    """Literal row-number median of ``value`` per ``key``, nulls ranked first."""
+    """Median of ``value`` per ``key``: the mean of what has a value at the two middle places of
+    the sorted list of all values, nulls first (one place, twice, if their number is odd)."""
+    middle = "[v[len(v) // 2 + len(v) % 2], v[len(v) // 2 + 1]]"
     return f"""(
-  SELECT {key}, {_avg(value)} AS median FROM (
-    SELECT {key}, {value}, count(*) OVER (PARTITION BY {key}) AS n,
-      row_number() OVER (PARTITION BY {key} ORDER BY {value} NULLS FIRST) AS rn
-    FROM {table}
-  ) WHERE rn IN ((n + 1) // 2, (n + 2) // 2) GROUP BY {key}
+  SELECT {key}, list_avg({middle}) AS median
+  FROM (SELECT {key}, list({value} ORDER BY {value} NULLS FIRST) AS v FROM {table} GROUP BY {key})
 )"""
 
 
@@ -243,8 +258,8 @@ SELECT model_year, {_n("sum(quantity)")} AS total_stock_remaining,
 FROM m_stocks JOIN m_products USING (product_id) GROUP BY model_year""",
     # --- operations ---
     "status_breakdown": f"""
-SELECT order_status, CASE {" ".join(f"WHEN order_status = {c} THEN '{s}'"
-    for c, s in operations.STATUS_LABELS.items())} ELSE '{operations.UNKNOWN_STATUS}' END
+SELECT order_status, CASE {" ".join(f"WHEN order_status = {c} THEN '{s.capitalize()}'"
+    for s, c in STATUSES.items())} ELSE 'Unknown' END
   AS status_label, count(*) AS num_orders,
   {_pct("count(*)", "(SELECT count(*) FROM m_orders)")} AS pct_of_all_orders
 FROM m_orders GROUP BY order_status""",
@@ -264,8 +279,8 @@ FROM shipped JOIN m_stores USING (store_id) GROUP BY store_id, store_name""",
 SELECT staff_id, first_name, last_name, {_DONE}, {_DAYS}, {_LATE}
 FROM shipped JOIN m_staffs USING (staff_id) GROUP BY staff_id, first_name, last_name""",
     "fulfilment_buckets": f"""
-SELECT CASE WHEN took = 0 THEN '{operations.SAME_DAY}' WHEN took = 1 THEN '{operations.NEXT_DAY}'
-  WHEN took IN (2, 3) THEN '{operations.FEW_DAYS}' ELSE '{operations.LONGER}' END
+SELECT CASE WHEN took = 0 THEN '0. Same day' WHEN took = 1 THEN '1. Next day'
+  WHEN took IN (2, 3) THEN '2. 2-3 days' ELSE '3. 4+ days' END
   AS fulfillment_bucket, count(*) AS num_orders,
   {_pct("count(*)", "(SELECT count(*) FROM shipped)")} AS pct_of_completed_orders
 FROM shipped GROUP BY fulfillment_bucket""",
@@ -322,17 +337,17 @@ SELECT c.customer_id, first_name, last_name, count(order_id) AS num_orders
 FROM m_customers c LEFT JOIN m_orders o ON o.customer_id = c.customer_id
 GROUP BY c.customer_id, first_name, last_name""",
     "onetime_vs_repeat": f"""
-SELECT if(n = 1, '{customer.ONE_TIME}', '{customer.REPEAT}') AS customer_segment,
+SELECT if(n = 1, '1. One-time customer', '2. Repeat customer') AS customer_segment,
   count(*) AS num_customers,
   {_pct("count(*)", "(SELECT count(DISTINCT customer_id) FROM m_orders)")} AS pct_of_customers
 FROM (SELECT customer_id, count(*) AS n FROM m_orders GROUP BY 1) GROUP BY 1""",
     "frequency_bands": f"""
-SELECT CASE WHEN n = 1 THEN '{customer.BAND_ONE}' WHEN n = 2 THEN '{customer.BAND_TWO}'
-  WHEN n IN (3, 4) THEN '{customer.BAND_FEW}' ELSE '{customer.BAND_MANY}' END AS frequency_band,
+SELECT CASE WHEN n = 1 THEN '1. One-time (1 order)' WHEN n = 2 THEN '2. Occasional (2 orders)'
+  WHEN n IN (3, 4) THEN '3. Regular (3-4 orders)' ELSE '4. Loyal (5+ orders)' END AS frequency_band,
   count(*) AS num_customers
 FROM (SELECT customer_id, count(*) AS n FROM m_orders GROUP BY 1) GROUP BY 1""",
     "segment_revenue": f"""
-SELECT if(n = 1, '{customer.ONE_TIME}', '{customer.REPEAT}') AS customer_segment,
+SELECT if(n = 1, '1. One-time customer', '2. Repeat customer') AS customer_segment,
   count(DISTINCT a.customer_id) AS num_customers,
   {_r2("sum(coalesce(spend, 0))")} AS total_revenue,
   {_r2(_div("sum(coalesce(spend, 0))", "count(DISTINCT a.customer_id)"))}
@@ -365,7 +380,7 @@ FROM sold JOIN m_customers USING (customer_id)
 GROUP BY customer_id, first_name, last_name, city, state
 ORDER BY lifetime_value DESC, customer_id LIMIT 20""",
     "clv_tiers": f"""
-SELECT {_lt("v", customer.CLV_BOUNDS, customer.CLV_TIERS)} AS clv_tier,
+SELECT {_lt("v", CLV_BOUNDS, CLV_TIERS)} AS clv_tier,
   count(*) AS num_customers, {_r2("sum(v)")} AS tier_total_revenue,
   {_pct("sum(v)", "(SELECT sum(nr) FROM sold)")} AS pct_of_total_revenue
 FROM (SELECT customer_id, sum(nr) AS v FROM sold GROUP BY customer_id) GROUP BY 1""",
@@ -420,7 +435,7 @@ SELECT store_name, category_name, {_UNITS}, {_NET}
 FROM sold JOIN typed USING (product_id) JOIN m_stores USING (store_id)
 GROUP BY store_name, category_name""",
     "discount_tiers": f"""
-SELECT {_le("discount", sales.DISCOUNT_BOUNDS, sales.DISCOUNT_TIERS)} AS discount_tier,
+SELECT {_le("discount", DISCOUNT_BOUNDS, DISCOUNT_TIERS)} AS discount_tier,
   count(*) AS num_line_items, {_AVG_QTY}, {_n("sum(quantity)")} AS total_units_sold, {_NET}
 FROM sold GROUP BY discount_tier""",
     "discount_vs_quantity": f"""
@@ -429,12 +444,12 @@ SELECT product_id, product_name, count(*) AS num_line_items, {_DISC}, {_AVG_QTY}
 FROM sold JOIN m_products USING (product_id) GROUP BY product_id, product_name
 HAVING count(*) >= 5""",
     "discounted_flag": f"""
-SELECT if(discount = 0, '{sales.NOT_DISCOUNTED}', '{sales.DISCOUNTED}') AS discount_flag,
+SELECT if(discount = 0, '1. No discount', '2. Discounted') AS discount_flag,
   count(*) AS num_line_items, {_n("sum(quantity)")} AS total_units_sold, {_AVG_QTY}, {_DISC}
 FROM sold GROUP BY 1""",
     "discount_tiers_category": f"""
 SELECT category_name,
-  {_le("discount", sales.WIDE_DISCOUNT_BOUNDS, sales.WIDE_DISCOUNT_TIERS)} AS discount_tier,
+  {_le("discount", WIDE_DISCOUNT_BOUNDS, WIDE_DISCOUNT_TIERS)} AS discount_tier,
   count(*) AS num_line_items, {_AVG_QTY}
 FROM sold JOIN typed USING (product_id) GROUP BY 1, 2""",
     "aov_overall": f"SELECT {_ORDERS}, {_TOTAL}, {_AOV} FROM sold",
@@ -447,7 +462,7 @@ FROM sold JOIN m_customers USING (customer_id) GROUP BY customer_id, first_name,
 HAVING count(DISTINCT order_id) >= 2
 ORDER BY avg_order_value DESC, customer_id LIMIT 20""",
     "aov_buckets": f"""
-SELECT {_lt("v", sales.AOV_BOUNDS, sales.AOV_BUCKETS)} AS aov_bucket, count(*) AS num_customers
+SELECT {_lt("v", AOV_BOUNDS, AOV_BUCKETS)} AS aov_bucket, count(*) AS num_customers
 FROM (
   SELECT {_div("sum(nr)", "count(DISTINCT order_id)")} AS v FROM sold GROUP BY customer_id
 ) GROUP BY 1""",
