@@ -12,6 +12,7 @@ from tallyshop.operators.periods import growth_pct, running_total
 from tallyshop.operators.quality import fk_violations, null_violations, pk_violations, validate
 from tallyshop.operators.relations import count_lookup, team_rollup, unmatched, with_manager
 from tallyshop.operators.stats import (
+    count_distinct_ids,
     fulfilment,
     group_median,
     pct_of_total,
@@ -21,6 +22,7 @@ from tallyshop.operators.stats import (
 
 __all__ = [
     "class_totals",
+    "count_distinct_ids",
     "count_lookup",
     "fits_broadcast",
     "fk_violations",

@@ -382,3 +382,15 @@ def test_ranges_never_fall(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     ranges = [r[1] for r in sorted(df.select("v", _value_range(F.col("v"))).collect())]
     assert ranges == sorted(ranges) and min(ranges) > -1e6
+
+
+@pytest.mark.parametrize("spread", [1, 40_000, 10**12])
+def test_distinct_ids_are_countdistinct(spark, spread):
+    rng = random.Random(spread)
+    edges = [0, -1, 1, 32767, 32768, 32769, -32768, 2**62, None]
+    rows = [(rng.choice(["a", "b", None]), rng.choice([*edges, rng.randrange(100) * spread])) for _ in range(2000)]
+    df = spark.createDataFrame(rows + [("none", None)], "g string, id bigint").repartition(5)
+    ours = ops.count_distinct_ids(df, ["g"], "id", "n")
+    plain = df.groupBy("g").agg(F.countDistinct("id").alias("n"))
+    assert {tuple(r) for r in ours.collect()} == {tuple(r) for r in plain.collect()}
+    assert ops.count_distinct_ids(df.limit(0), ["g"], "id").isEmpty()
