@@ -148,3 +148,96 @@ SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, coalesce(m.component_id,
 FROM sets s LEFT JOIN classes k ON len(s.shingles) > 0 AND list_sort(s.shingles) = k.shingles
   LEFT JOIN named m ON k.c = m.c
 """
+
+# Documents of the first operator: the same join at 80%, kept where a document names its component.
+NEAR_DUPLICATES = (
+    NGRAM_JOIN.replace("85 * greatest", "80 * greatest")
+    .replace("185 * count(*) >= 85 *", "180 * count(*) >= 80 *")
+    .replace(
+        "AS component_id\nFROM sets s", "AS component_id,\n  coalesce(m.component_id, s.doc_id) = s.doc_id AS kept\nFROM sets s"
+    )
+)
+
+_SPACED = r"chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+
+QUALITY = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w
+  FROM documents
+), grams AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, g) > 1 AS twice
+  FROM (SELECT rid, unnest(range(1, len(w) - 1)) AS i, unnest([[w[i], w[i + 1], w[i + 2]] FOR i IN range(1, len(w) - 1)]) AS g
+        FROM (SELECT row_number() OVER () AS rid, w FROM texts))
+), measured AS (
+  SELECT t.doc_id, t.text, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0) AS word_chars,
+    length(t.text) - length(regexp_replace(t.text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(t.text, chr(10)), lambda l: length(trim(l, {_SPACED})) > 0) AS lines,
+    coalesce(r.n, 0) AS n_repeat_words
+  FROM (SELECT row_number() OVER () AS rid, * FROM texts) t LEFT JOIN (
+    SELECT rid, count(DISTINCT p) AS n
+    FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE twice) GROUP BY rid
+  ) r ON t.rid = r.rid
+), counted AS (
+  SELECT *, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM measured
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+    OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+    OR 2 * (length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g'))) > word_chars) AS kept
+FROM counted
+"""
+
+PASSAGES = rf"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents
+), windows AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) > 1 AS later
+  FROM (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s,
+          unnest([array_to_string(w[i:i + 19], ' ') FOR i IN range(1, len(w) - 18)]) AS x FROM cut)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS s FROM cut
+), marked AS (
+  SELECT x.doc_id, x.word, x.s,
+    bool_or(coalesce(y.later, false)) OVER (PARTITION BY x.doc_id ORDER BY x.s ROWS 19 PRECEDING) AS gone
+  FROM words x LEFT JOIN windows y ON x.doc_id = y.doc_id AND x.s = y.s
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY s) FILTER (NOT gone) AS left_over
+  FROM marked GROUP BY doc_id
+)
+SELECT c.doc_id, len(c.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(k.left_over, '')) AS kept_sha256
+FROM cut c LEFT JOIN kept k ON c.doc_id = k.doc_id
+"""
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION = rf"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED}, '{_ALNUM}') AS w FROM documents
+), items AS (
+  SELECT item_id, w, least(len(w), 10) AS n
+  FROM (SELECT item_id, regexp_extract_all({_LOWERED}, '{_ALNUM}') AS w FROM benchmark) WHERE len(w) > 0
+), searched AS (
+  SELECT DISTINCT item_id, n, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS x
+  FROM items
+), places AS (
+  SELECT c.doc_id, l.n, unnest(range(1, len(c.w) - l.n + 2)) AS s,
+    unnest([array_to_string(c.w[i:i + l.n - 1], ' ') FOR i IN range(1, len(c.w) - l.n + 2)]) AS x
+  FROM cut c, (SELECT DISTINCT n FROM items) l
+), found AS (
+  SELECT p.doc_id, p.s, p.n, q.item_id FROM places p JOIN searched q ON p.n = q.n AND p.x = q.x
+), hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM found) GROUP BY doc_id
+), held AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id
+)
+SELECT c.doc_id, len(c.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit,
+  coalesce(i.n_items, 0)::BIGINT AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
+  coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM cut c LEFT JOIN hits h ON c.doc_id = h.doc_id LEFT JOIN held i ON c.doc_id = i.doc_id
+"""

@@ -28,7 +28,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4)
+    """Components of documents that share 80% of their distinct 4-word shingles."""
+    found = near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,4 +159,12 @@ QUERIES = {
     "op12_ngram_join": op12_ngram_join,
     "op13_filter_audit": op13_filter_audit,
 }
-ORACLES: dict[str, str] = {"op11_merkle": oracles.MERKLE, "op12_ngram_join": oracles.NGRAM_JOIN, "op13_filter_audit": oracles.AUDIT}
+ORACLES: dict[str, str] = {
+    "op1_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op3_quality_rules": oracles.QUALITY,
+    "op6_substrings": oracles.PASSAGES,
+    "op9_decontamination": oracles.DECONTAMINATION,
+    "op11_merkle": oracles.MERKLE,
+    "op12_ngram_join": oracles.NGRAM_JOIN,
+    "op13_filter_audit": oracles.AUDIT,
+}
