@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyshop.llm import words as W
+from tallyshop.llm.storage import opened, shared
 
 FIT_ROWS = 20_000
 WORD_BITS, TRIGRAM_BITS = 16, 15
@@ -300,10 +301,10 @@ def identify_rows(
     ids, empty tables and other columns make no difference; long texts are read whole.
     """
     docs = docs.drop(*(name for name, _ in _RESULT))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
 
     def run(batches):
-        yield from _identify(shared.value, penalty, text_col)(batches)
+        yield from _identify(opened(held), penalty, text_col)(batches)
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     return docs.mapInArrow(run, ", ".join(kinds + [f"{name} {kind}" for name, kind in _RESULT]))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyshop.llm import words as W
-from tallyshop.llm.storage import saved
+from tallyshop.llm.storage import opened, saved, shared
 
 VOCABULARY = 4_096
 OWN, SHARED = 127, 32
@@ -183,12 +183,11 @@ def fit(docs: DataFrame, text_col: str = "text", seed: int = 23) -> tuple[Vocabu
     network."""
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     (vocab, counts), net = vocabulary(texts), initial(seed)
-    context = docs.sparkSession.sparkContext
     for round_ in range(ROUNDS):
-        shared, train = context.broadcast((vocab, net)), _train_copies(round_)
+        held, train = shared(docs.sparkSession, (vocab, net)), _train_copies(round_)
 
-        def run(batches, shared=shared, train=train):
-            yield from train(shared.value, batches)
+        def run(batches, held=held, train=train):
+            yield from train(opened(held), batches)
 
         mean = (
             texts.mapInArrow(run, "i long, v double, n long")
@@ -290,13 +289,13 @@ def score(
     texts have equal scores. Texts are read whole.
     """
     vocab, net, counts = fitted
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, net))
+    held = shared(docs.sparkSession, (vocab, net))
 
     def run(batches):
-        yield from _score(shared.value, batches)
+        yield from _score(opened(held), batches)
 
     def list_beyond(batches):
-        yield from _beyond(shared.value[0], batches)
+        yield from _beyond(opened(held)[0], batches)
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

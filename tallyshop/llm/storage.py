@@ -1,7 +1,10 @@
-"""Cutting lineage in the folder that all executors share."""
+"""What all executors share: the folder in which lineage is cut, and models."""
 
 from __future__ import annotations
 
+import pickle
+
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,3 +22,13 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, where it outlives executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared(spark: SparkSession, model) -> Broadcast:
+    """A broadcast that ``opened`` reads in tasks. Spark pickles broadcasts by reference; this one
+    carries its classes with it, so executors need no copy of this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def opened(model: Broadcast):
+    return pickle.loads(model.value)

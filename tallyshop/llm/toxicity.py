@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyshop.llm import words as W
+from tallyshop.llm.storage import opened, shared
 
 #: Bounds of the training sample.
 FIT_TOXIC, FIT_CLEAN = 800, 2_000
@@ -194,10 +195,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Rows are taken one by one, so null ids, repeated rows, empty tables and other columns
     make no difference; texts are read whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
 
     def run(batches):
-        yield from _score(shared.value, batches)
+        yield from _score(opened(held), batches)
 
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
