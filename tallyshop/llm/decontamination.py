@@ -22,11 +22,8 @@ from tallyshop.llm import words as W
 _SHORT = 1 << 40  # salts the fingerprints of short items apart from those of k-grams
 
 
-def winnow(grams: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
-    """Places of the smallest of ``width`` consecutive grams (the first of equals), for the
-    windows that begin at ``places``."""
-    if len(places) == 0:
-        return places
+def lowest(grams: np.ndarray, width: int) -> np.ndarray:
+    """For each place, that of the smallest of the ``width`` grams from there (the first of equals)."""
     best = grams[: len(grams) - width + 1].copy()
     at = np.arange(len(best))
     for j in range(1, width):
@@ -34,7 +31,15 @@ def winnow(grams: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
         less = other < best
         best = np.where(less, other, best)
         at[less] = np.flatnonzero(less) + j
-    kept = at[places]
+    return at
+
+
+def winnow(grams: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """Places of the smallest of ``width`` consecutive grams (the first of equals), for the
+    windows that begin at ``places``."""
+    if len(places) == 0:
+        return places
+    kept = lowest(grams, width)[places]
     return kept[np.concatenate([[True], kept[1:] != kept[:-1]])]
 
 

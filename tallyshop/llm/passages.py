@@ -3,15 +3,15 @@
 1. Phrases: of each window of words, the phrase (``PHRASE`` words) with the smallest hash
    represents it, so equal windows have the same phrase at the same place. Phrases that
    occur once in the corpus cannot lie in a repeated window and drop out.
-2. Suspects: a window whose own phrase recurs may repeat, and no other one can. That alone
-   locates every repeated window. Per slice of documents, an Aho-Corasick automaton of the
-   recurring phrases of that slice marks further places where they stand; it only adds
-   windows that the next step dismisses, and the results are the same without it.
+2. Suspects: documents are dealt in slices, and the recurring phrases of a slice are compiled
+   into an Aho-Corasick automaton, which reads the slice and tells where they stand. A window
+   whose own phrase is at one of these places may repeat, and no other one can.
 3. Suspects are confirmed: per slice only the first of equal windows goes on, the others are
    known repeats already. The firsts are sorted by window and read in that order; all but the
    earliest are repeats.
 
-Words are compared by 64-bit hashes, windows by a 64-bit hash of their words.
+Texts are shuffled once, for both joins on the id. Words are compared by 64-bit hashes, windows
+by a 64-bit hash of their words.
 """
 
 from __future__ import annotations
@@ -23,20 +23,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tallyshop.llm import words as W
-from tallyshop.llm.decontamination import winnow
+from tallyshop.llm.decontamination import lowest
 from tallyshop.llm.keys import keyed
 
 PHRASE = 8
+_RESULT = [
+    StructField("id", LongType()),
+    StructField("n_words", LongType()),
+    StructField("n_removed", LongType()),
+    StructField("kept_text", StringType()),
+    StructField("kept_sha256", StringType()),
+    StructField("spans", ArrayType(ArrayType(IntegerType()))),
+]
 _DIGIT = 6  # words are numbered within a slice and written as characters of this many bits
 
 
 def _phrases(found: W.Words, hashes: np.ndarray, window: int):
-    """The places of representing phrases, their hashes, and the place for each window."""
+    """The places of windows, the hashes of phrases, and the place of each window's phrase
+    (places ascend within a text, so equal ones are neighbours)."""
     grams = W.grams(hashes, PHRASE)
     places = W.gram_places(found.first, window)
-    return places, grams, winnow(grams, places, window - PHRASE + 1)
+    return places, grams, lowest(grams, window - PHRASE + 1)[places] if len(places) else places
 
 
 def _phrase_rows(window: int):
@@ -45,6 +55,7 @@ def _phrase_rows(window: int):
             for lo, hi, data, offsets in W.slices(batch.column("text")):
                 found = W.find_words(data, offsets, W.PLAIN)
                 _, grams, at = _phrases(found, found.hashes(W.PLAIN), window)
+                at = np.unique(at)
                 owner = np.searchsorted(found.first, at, side="right") - 1
                 value = grams[at].view(np.int64)
                 order = np.lexsort((value, owner))
@@ -92,16 +103,14 @@ def _suspects(window: int):
                 places, grams, at = _phrases(found, hashes, window)
                 part = listed.slice(lo, hi - lo)
                 wanted = np.unique(part.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-                seeds = at[np.isin(grams[at], wanted)]
-                if len(seeds) == 0:
+                chosen = np.unique(at)
+                value, one = np.unique(grams[chosen], return_index=True)
+                one = one[np.isin(value, wanted, assume_unique=True)]
+                if len(one) == 0:
                     continue
-                _, one = np.unique(grams[seeds], return_index=True)
-                marked = np.zeros(len(hashes) + 1, np.int64)
-                marked[_located(hashes, seeds[one]) + 1] = 1
-                marked = np.cumsum(marked)
-                # a window holds its own phrase; any located phrase in it makes it a suspect
-                reach = places + window - PHRASE + 1
-                places = places[marked[reach] > marked[places]]
+                stands = np.zeros(len(hashes), bool)
+                stands[_located(hashes, chosen[one])] = True
+                places = places[stands[at]]
                 value = W.grams(hashes, window)[places].view(np.int64)
                 owner = np.searchsorted(found.first, places, side="right") - 1
                 ids, start = all_ids[lo:hi][owner], places - found.first[owner]
@@ -173,7 +182,9 @@ def _later(batches):
         yield batch.select(["id", "at"]).filter(pa.array(again))
 
 
-def _cut(window: int):
+def _cut(window: int, further: list[str]):
+    """Rows of the result; columns named in ``further`` follow as they came."""
+
     def run(batches):
         for batch in batches:
             removed = batch.column("removed")
@@ -203,15 +214,16 @@ def _cut(window: int):
                         pa.array(texts, pa.binary()).cast(pa.string()),
                         pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
                         pa.array(spans, pa.list_(pa.list_(pa.int32()))),
+                        *(batch.column(c).slice(lo, hi - lo) for c in further),
                     ],
-                    ["id", "n_words", "n_removed", "kept_text", "kept_sha256", "spans"],
+                    ["id", "n_words", "n_removed", "kept_text", "kept_sha256", "spans", *further],
                 )
 
     return run
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, whole: bool = False
 ) -> DataFrame:
     """``(id, n_words, n_removed, kept_text, kept_sha256, spans)`` for every document.
 
@@ -224,12 +236,15 @@ def remove_repeats(
     in id and text are one document, which repeats nothing of itself: each of them has its
     result. Documents with a null id, and different texts under one id, come after all others
     (ids are below 2**62), in an order by hash. Empty tables give no rows; other columns are
-    not read. ``window`` is at least ``PHRASE`` words.
+    not read, unless ``whole`` asks for the rows of ``docs`` as well: as structs in a column
+    ``row``, without another join. ``window`` is at least ``PHRASE`` words.
     """
     if window < PHRASE:
         raise ValueError(f"a window has {PHRASE} words at least")
     rows = docs.select(
-        F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("string").alias("text")
+        F.col(id_col).cast("long").alias("own"),
+        F.col(text_col).cast("string").alias("text"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest")] if whole else []),
     )
     texts, _ = keyed(rows, "own", ["text"], "id")
     phrases = texts.select("id", "text").mapInArrow(_phrase_rows(window), "phrase long, id long, n long")
@@ -238,14 +253,21 @@ def remove_repeats(
         phrases.select("phrase", "id").join(recurring, "phrase")
         .groupBy("id").agg(F.collect_list("phrase").alias("phrases"))
     )
-    suspects = texts.select("id", "text").join(listed, "id").mapInArrow(_suspects(window), "key long, id long, at long")
+    # with all columns of ``texts``, so that the join below reads the same shuffle again
+    suspects = texts.join(listed, "id").mapInArrow(_suspects(window), "key long, id long, at long")
     removed = (
         suspects.repartition("key").sortWithinPartitions("key", "id", "at")
         .mapInArrow(_later, "id long, at long")
         .groupBy("id").agg(F.collect_list("at").alias("removed"))
     )
-    return texts.join(removed, "id", "left").mapInArrow(
-        _cut(window),
-        "id long, n_words long, n_removed long, kept_text string, kept_sha256 string, "
-        "spans array<array<int>>",
-    ).withColumnRenamed("id", id_col)
+    further = ["text", "rest"] if whole else []
+    fields = [f for f in texts.schema.fields if f.name in further]
+    out = texts.join(removed, "id", "left").mapInArrow(
+        _cut(window, [f.name for f in fields]), StructType([*_RESULT, *fields])
+    )
+    if whole:
+        row = F.struct(
+            *(F.col("text") if c == text_col else F.col("rest").getField(c) for c in docs.columns)
+        )
+        out = out.withColumn("row", row).drop(*further)
+    return out.withColumnRenamed("id", id_col)

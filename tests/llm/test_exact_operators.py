@@ -103,6 +103,21 @@ def test_repeated_passages_of_odd_tables(no_docs, clashing, texts):
     assert {r.doc_id: r.n_removed for r in got} == {i: x[1] for i, x in repeats_of(texts, 20).items()}
 
 
+def test_passages_are_found_by_the_automata(docs, monkeypatch):
+    """Without the places that the automata tell, nothing is found."""
+    monkeypatch.setattr(passages, "_located", lambda hashes, places: places[:0])
+    assert {r.n_removed for r in passages.remove_repeats(docs).collect()} == {0}
+
+
+def test_passages_with_whole_rows(docs, texts):
+    """Rows follow their result as they came, and texts are shuffled once."""
+    got = passages.remove_repeats(docs, whole=True)
+    assert sorted((r.doc_id, r.n_removed) for r in got.collect()) == [
+        (i, x[1]) for i, x in sorted(repeats_of(texts, 20).items())
+    ]
+    assert sorted(map(str, got.select("row.*").collect())) == sorted(map(str, docs.collect()))
+
+
 def hits_of(texts, items, window):
     windows = {}
     for item, text in items:
