@@ -1,5 +1,8 @@
 """The pipeline against its stages worked out by brute force."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from tests.llm.conftest import ALNUM, PLAIN, lowered
 from tests.llm.test_exact_operators import components_of, hits_of, repeats_of
@@ -38,6 +41,22 @@ def test_stages_on_driver_tables(spark, star_dir):
     assert abs(used - 1.5 * total) < 0.1 * total
 
 
+@pytest.mark.parametrize("stage", [name for name, _ in pipeline.STAGES])
+def test_stages_with_clashing_columns(spark, star_dir, stage):
+    """Further columns keep their values, whatever they are called."""
+    run = dict(pipeline.STAGES)[stage]
+    docs = spark.read.parquet(f"{star_dir}/documents.parquet")
+    names = ["_key", "kept_text", "copies", "lang_pred", "lang_score", "spans", "size", "taken", "row", "rest", "own", "id", "n"]
+    wide = docs
+    for name in names:
+        wide = wide.withColumn(name, F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")))
+    out = run(spark, wide, star_dir)
+    assert out.columns[: len(wide.columns)] == wide.columns
+    rows = out.collect()
+    assert rows and all(r[wide.columns.index(name)] == f"{name} of {r.doc_id}" for r in rows for name in names)
+    assert {r.doc_id for r in rows} == {r.doc_id for r in run(spark, docs, star_dir).collect()}
+
+
 def test_run_on_odd_tables(spark, docs, no_docs, tmp_path):
     for i, table in enumerate((docs, no_docs)):
         table.write.parquet(f"{tmp_path}/{i}/documents.parquet")
