@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tallyshop.llm.storage import saved
 
 MAX_PATTERNS = 100_000
+#: Quotas are broadcast up to this size, by their names' lengths.
+QUOTA_BYTES = 32 << 20
 WORDS = r"[^\x20\x09-\x0D]+"
 BUCKET_BITS = 10
 LEVELS = 3
@@ -207,6 +209,10 @@ def mix(
         ],
         "pattern array<string>, base int, extra double, pattern_size long, pattern_target double",
     )
+    # at most MAX_PATTERNS rows, counted above: sent to all tasks while their names are not too
+    # long, so that no task gets all documents of a pattern
+    if sum(64 + sum(len(s or "") for s in p) for p in tokens) <= QUOTA_BYTES:
+        quota = F.broadcast(quota)
     picked = _select(sized, quota.select("pattern", "base", "extra"), id_col, seed)
     return picked.join(quota.select("pattern", "pattern_size", "pattern_target"), "pattern").select(
         id_col, "size", "pattern", "pattern_size", "pattern_target", F.col("taken").cast("long").alias("taken")
