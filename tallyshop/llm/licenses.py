@@ -87,6 +87,7 @@ MAX_FEATURES = 20_000
 FIT_DOCS = 300
 COPIES = 24
 LEAST_MATCH = 0.5
+LEAST_PROBABILITY = 0.5
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -138,6 +139,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
     families = [UNKNOWN, *TEMPLATES]
     texts = [(f, t, 0) for f, ts in TEMPLATES.items() for t in ts]
     texts += [(f, _damaged(rng, t), i) for f, t, _ in list(texts) for i in range(1, COPIES + 1)]
+    # words of templates out of order are no notice
+    texts += [
+        (UNKNOWN, " ".join(rng.sample(t.split(), len(t.split()))), i) for _, t, copy in list(texts) if copy == 0 for i in (1, 2)
+    ]
     made = spark.createDataFrame(texts, "family string, line string, copy int")
     made = made.withColumn("features", _bigrams("line")).collect()
     held_by: dict[int, set[int]] = {}
@@ -152,13 +157,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
     for r in sample.select("features").collect():
         if sum(f in held_by for f in r.features) < LEAST_MATCH * len(r.features):
             examples.append((0, r.features))
-    # words of templates out of order are no notice
-    for _, t, copy in texts:
-        if copy == 1:
-            words = t.split()
-            rng.shuffle(words)
-            examples.append((0, [hash((a, b)) for a, b in zip(words[:-1], words[1:], strict=True)]))
-    features = sorted(held_by)[:MAX_FEATURES]
+    if len(held_by) > MAX_FEATURES:
+        raise ValueError(f"templates have more than {MAX_FEATURES} bigrams")
+    features = sorted(held_by)
     column = {f: i for i, f in enumerate(features)}
     x = np.zeros((len(examples), len(features)), np.float32)
     y = np.array([c for c, _ in examples])
@@ -175,13 +176,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
         g = (p - yt) * weight
         w -= 8.0 * (xt.T @ g + 1e-4 * w)
         b -= 8.0 * g.sum(0)
-    p = _softmax(x[kept_back] @ w + b)[y[kept_back] == 0, 1:]
-    worst = float(p.max()) if p.size else 0.0
+    # the examples kept back tell from which probability a notice is believed: where most of
+    # them, notices and others weighing the same, come out right
+    p, of = _softmax(x[kept_back] @ w + b), y[kept_back]
+    notice, other = p[of > 0, of[of > 0]], p[of == 0, 1:].max(1)
+    levels = np.linspace(LEAST_PROBABILITY, 0.99, 50)
+    right = [(notice >= t).mean() + (other < t).mean() if len(notice) and len(other) else 0.0 for t in levels]
+    threshold = float(levels[int(np.argmax(right))])
     held = np.zeros((len(features), len(families)), np.int64)
     for f, classes in held_by.items():
         if f in column:
             held[column[f], list(classes)] = 1
-    return Model(families, features, w, b, held, float(np.clip(worst, 0.5, 0.9)))
+    return Model(families, features, w, b, held, threshold)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:

@@ -188,6 +188,13 @@ def test_licenses(spark, docs, no_docs, clashing, texts):
     ]
     table = spark.createDataFrame([(i, t) for i, t, _ in notices], "doc_id long, text string")
     model = licenses.fit(docs)
+    assert licenses.LEAST_PROBABILITY <= model.threshold < 0.99
+    # notices in order are believed, their words in another order are not
+    rng = random.Random(3)
+    lines = [(t, copy) for ts in licenses.TEMPLATES.values() for t in ts if len(t.split()) > 12 for copy in (True, False)]
+    made = [(i, t if copy else " ".join(rng.sample(t.split(), len(t.split())))) for i, (t, copy) in enumerate(lines)]
+    believed = licenses.scan(docs.sparkSession.createDataFrame(made, "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.n_notices for r in believed} == {i: int(copy) for i, (_, copy) in enumerate(lines)}
     got = {r.doc_id: r for r in licenses.scan(table, model).collect()}
     assert {i: got[i].families for i, _, _ in notices} == {i: f for i, _, f in notices}
     assert got[1].notices[0].paragraph == 1 and got[1].n_notices == 1
