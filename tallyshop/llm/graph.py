@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyshop.llm.storage import saved
+from tallyshop.llm.storage import fitted, saved_small
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,10 +15,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     until every node hangs on one root; the number of rounds grows with the logarithm of the
     longest chain, and a graph of stars needs none. A node's neighbours are never gathered: a
     round takes one minimum per node, combined before the shuffle, and one join back. Each
-    round is saved. Edges from a node to itself, repeated edges and either direction are
-    fine; nulls are ignored; no edges give no rows.
+    round is saved, in as many partitions as its edges need; they never grow. Edges from a node
+    to itself, repeated edges and either direction are fine; nulls are ignored; no edges give
+    no rows.
     """
-    now = saved(
+    now, rows = saved_small(
         edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
         .where("hi <> lo")
         .distinct()
@@ -26,20 +27,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not _stars(now):
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.min("lo").alias("m"))
-        least = least.select(F.col("hi").alias("node"), F.least("hi", "m").alias("m"))
+        least = fitted(least.select(F.col("hi").alias("node"), F.least("hi", "m").alias("m")), 2 * rows)
         # large star: every neighbour above a node moves to the least of the node's surroundings
-        large = (
-            now.withColumnRenamed("lo", "node")
-            .join(least, "node")
-            .select("hi", F.col("m").alias("lo"))
-            .distinct()
+        large = fitted(
+            now.withColumnRenamed("lo", "node").join(least, "node").select("hi", F.col("m").alias("lo")),
+            rows,
         )
         # small star: the neighbours below a node, and the node, move to the least of them
-        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = fitted(large.groupBy("hi").agg(F.min("lo").alias("m")), rows)
         moved = large.join(small, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = saved(
-            moved.where("hi <> lo").union(small.select("hi", F.col("m").alias("lo"))).distinct()
-        )
+        ties = moved.where("hi <> lo").union(small.select("hi", F.col("m").alias("lo")))
+        now, rows = saved_small(fitted(ties, 2 * rows).distinct())
     stars = now.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     return stars.union(now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
 

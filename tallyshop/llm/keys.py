@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Keys made from hashes begin here, behind the ids.
-_MADE = 1 << 62
+FIRST_MADE = 1 << 62
 
 
 def keyed(docs: DataFrame, id_col: str, columns: list[str], name: str) -> tuple[DataFrame, bool]:
@@ -18,7 +18,7 @@ def keyed(docs: DataFrame, id_col: str, columns: list[str], name: str) -> tuple[
     of it, from 2**62 up. One pass over ``docs`` and a shuffle of ids and hashes decide.
     """
     value = F.xxhash64(*(F.struct(F.col(c).isNull(), F.col(c)) for c in (id_col, *columns)))
-    made = F.shiftrightunsigned(value, 2).bitwiseOR(F.lit(_MADE))
+    made = F.shiftrightunsigned(value, 2).bitwiseOR(F.lit(FIRST_MADE))
     own = F.col(id_col).cast("long")
     rows = docs.select(own.alias("id"), value.alias("v"))
     # a null id has no key of its own: its rows are counted by their hash

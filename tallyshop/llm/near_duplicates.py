@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from tallyshop.llm import words as W
 from tallyshop.llm.graph import components
-from tallyshop.llm.storage import saved
+from tallyshop.llm.keys import FIRST_MADE, keyed
+from tallyshop.llm.storage import fitted, saved, saved_small
 
 MISS = 1e-6
 
@@ -67,7 +68,7 @@ SIGNATURE = 8
 _BITS = [f"s{i}" for i in range(SIGNATURE)] + ["loose"]
 WHOLE_SIGNATURE = 32
 _WHOLE_BITS = [f"f{i}" for i in range(WHOLE_SIGNATURE)] + ["over"]
-_SKETCH_NAMES = ["id", "n_shingles", "sum1", "sum2", "sketch", *_BITS]
+_SKETCH_NAMES = ["id", "own", "n_shingles", "sum1", "sum2", "sketch", *_BITS]
 
 
 def _signatures(values: np.ndarray, held: np.ndarray, longs: int) -> list[np.ndarray]:
@@ -95,6 +96,7 @@ def _sketch(n: int, k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(lo, hi - lo),
+                        batch.column("own").slice(lo, hi - lo),
                         pa.array(sizes, pa.int64()),
                         *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in sums),
                         W.list_array(pa.array(values), held),
@@ -162,13 +164,14 @@ _STRIP = 1 << 15
 _CELL = ["v", "i", "j"]
 
 
-def _cells(members: DataFrame) -> DataFrame:
+def _cells(members: DataFrame, rows: int) -> DataFrame:
     """Lists in blocks, and a cell ``(v, i, j)`` with the members of both blocks for each pair of
     blocks; ``low`` marks those of block ``i``."""
+    members = saved(fitted(members, rows))
     blocks = members.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block, other = F.col("block"), F.col("other")
     return (
-        members.join(blocks, "v")
+        members.join(fitted(blocks, rows), "v")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
@@ -245,8 +248,8 @@ def _named_columns(name: str, columns: list[str]) -> list[Column]:
     return [F.col(x).alias(y) for x, y in (("id", name), *((c, f"{c}_{name}") for c in ("n", *columns)))]
 
 
-def _lists(held: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Inverted lists ``(v, id)`` of two members at least, in which any two sets of different
+def _lists(held: DataFrame, sizes: DataFrame) -> tuple[DataFrame, int]:
+    """Inverted lists ``(v, id)`` of two members at least, and their rows, in which any two sets of different
     components ``c`` meet that share the ``needed`` number of values: the rarest ``size - needed
     + 1`` values of each set, among which those of one component alone come first and need no
     list."""
@@ -262,13 +265,13 @@ def _lists(held: DataFrame, sizes: DataFrame) -> DataFrame:
         .select("id", F.explode(F.expr("slice(shared, 1, take)")).alias("x"))
         .select("id", F.col("x.v").alias("v"))
     )
-    rarest = saved(rarest)
+    rarest, rows = saved_small(rarest)
     # lists with the same members give the same pairs, so one of them is enough
     members = rarest.groupBy("v").agg(
         F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "id")).alias(f"x{i}") for i in (1, 2))
     )
-    kept = members.where("n > 1").groupBy("n", "x1", "x2").agg(F.min("v").alias("v"))
-    return saved(rarest.join(kept.select("v"), "v", "left_semi"))
+    kept = fitted(members.where("n > 1"), rows).groupBy("n", "x1", "x2").agg(F.min("v").alias("v"))
+    return saved_small(fitted(rarest.join(fitted(kept.select("v"), rows), "v", "left_semi"), rows))
 
 
 def near_duplicates(
@@ -279,57 +282,54 @@ def near_duplicates(
     percent: int = 80,
     sketch_size: int = 64,
 ) -> DataFrame:
-    """``(id, n_shingles, component_id, kept, links)`` for every document.
+    """``(id, n_shingles, component_id, kept)`` for every document.
 
     Documents are linked when ``100 * |A & B| >= percent * |A | B|`` over their sets of
     distinct shingles (words cut at ASCII space, A-Z lower-cased); ``component_id`` is the
-    smallest id reachable over links, ``kept`` marks that one. ``links`` counts the confirmed
-    links of the document's class to other classes (those tested; links inside a component
-    that is already joined need no test).
+    smallest id reachable over links, ``kept`` marks that one.
 
     A text with fewer words than a shingle is one shingle; an empty or null text has none and
-    is linked with nothing. Ids are unique integers; a repeated id counts as one document with the
-    text of any of its rows, and a null id is left out. Other columns are not read, so names
-    do not clash. An empty table gives no rows.
+    is linked with nothing. Rows equal in id and text are one document and give one row.
+    Different texts under one id are documents of their own. So is each text with a null id:
+    it is no smallest id unless its component has no other (then ``component_id`` is null and
+    the document with the smallest key is kept). Other columns are not read, so names do not
+    clash. An empty table gives no rows.
     """
     k, sure = sketch_size, shared_at_least(sketch_size, percent)
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
-    ).where("id IS NOT NULL")
+    plain = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("string").alias("text"))
+    texts, _ = keyed(plain, "own", ["text"], "id")
     sketched = saved(
         texts.mapInArrow(
             _sketch(shingle_words, k),
-            "id long, n_shingles long, sum1 long, sum2 long, sketch array<long>, "
+            "id long, own long, n_shingles long, sum1 long, sum2 long, sketch array<long>, "
             + ", ".join(f"{c} long" for c in _BITS),
         )
     )
     key = ["n_shingles", "sum1", "sum2"]
-    filled = sketched.where("n_shingles > 0").dropDuplicates(["id"])
-    classes = filled.groupBy(*key).agg(F.min("id").alias("rep"))
-    member = saved(
-        filled.join(classes, key).select(
-            "id", "rep", F.col("n_shingles").alias("n"), F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch"), *_BITS
-        )
+    # sets of equal sums are equal, so any sketch of a class is that of all
+    classes = saved(
+        sketched.where("n_shingles > 0").groupBy(*key)
+        .agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("sketch", *_BITS)))
     )
-    reps = member.where("sketch IS NOT NULL").select("id", "n", "sketch", *_BITS)
+    all_reps = classes.withColumnRenamed("n_shingles", "n")
 
     size = F.size("sketch")
     needed = F.when(
         F.col("n") * 100 <= k * percent, F.ceil(F.col("n") * percent / 100).cast("int")
     ).otherwise(F.least(F.lit(sure), size))
-    lists = _lists(
-        reps.select("id", F.col("id").alias("c"), F.explode("sketch").alias("v")),
-        reps.select("id", size.alias("size"), needed.alias("needed")),
+    lists, listed = _lists(
+        all_reps.select("id", F.col("id").alias("c"), F.explode("sketch").alias("v")),
+        all_reps.select("id", size.alias("size"), needed.alias("needed")),
     )
-    reps = saved(reps.join(lists.select("id").distinct(), "id", "left_semi"))
+    ids = fitted(lists.select("id").distinct(), listed)
+    reps, open_reps = saved_small(all_reps.join(ids, "id", "left_semi").select("id", "n", "sketch", *_BITS))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs ``(a, b)``, those whose full sets are similar enough."""
-        both = pairs.join(reps.select(*_named_columns("a", ["sketch", *_BITS])), "a").join(
-            reps.select(*_named_columns("b", ["sketch", *_BITS])), "b"
-        )
+    def confirmed(pairs: DataFrame, rows: int) -> DataFrame:
+        """Of at most ``rows`` pairs ``(a, b)``, those whose full sets are similar enough."""
+        one = fitted(fitted(pairs, rows).join(reps.select(*_named_columns("a", ["sketch", *_BITS])), "a"), rows)
+        both = one.join(reps.select(*_named_columns("b", ["sketch", *_BITS])), "b")
         close = _alike(both.where(_possible(k, percent)), k, percent)
-        return exact(saved(close.select("a", "b", "n_a", "n_b")))
+        return exact(*saved_small(fitted(close.select("a", "b", "n_a", "n_b"), rows)))
 
     def full_sets(ids: DataFrame) -> DataFrame:
         wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
@@ -341,75 +341,82 @@ def near_duplicates(
             .join(ids, "id", "left_semi").dropDuplicates(["id"])
         )
 
-    def exact(close: DataFrame) -> DataFrame:
+    def exact(close: DataFrame, rows: int) -> DataFrame:
         involved = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id")))
-        sets = full_sets(involved.distinct())
+        sets = full_sets(fitted(involved.distinct(), 2 * rows)).select("id", "shingles")
         both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        one = close.join(sets.toDF("a", "shingles_a"), "a")
         return saved(
-            close.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("shingles_a")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("shingles_b")), "b")
+            fitted(one, rows).join(sets.toDF("b", "shingles_b"), "b")
             .where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
             .select("a", "b")
         )
 
-    def labelled(edges: DataFrame, lists: DataFrame) -> DataFrame:
-        found = components(edges)
-        return lists.join(found, "id", "left").select(
+    def labelled(of: DataFrame) -> DataFrame:
+        return fitted(lists.join(of, "id", "left"), listed).select(
             "v", "id", F.coalesce("component", "id").alias("c")
         )
 
-    def open_lists(marked: DataFrame) -> DataFrame:
-        """Lists that span several components."""
+    def open_lists(marked: DataFrame, rows: int) -> tuple[DataFrame, int]:
+        """Lists that span several components, saved. What is known of a list gets a shuffle of its
+        own, so that adaptive execution can split the members of a large one."""
         torn = marked.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y")
-        return marked.join(torn.select("v"), "v", "left_semi")
+        return saved_small(fitted(marked.join(fitted(torn.select("v"), rows), "v", "left_semi"), rows))
 
-    def with_leader(marked: DataFrame, leader: Column) -> DataFrame:
-        head = marked.groupBy("v").agg(leader.alias("head"))
+    def with_leader(marked: DataFrame, leader: Column, rows: int) -> DataFrame:
+        head = marked.groupBy("v").agg(leader.alias("head")).select("v", "head.id", "head.c").toDF("v", "b", "cb")
+        met = fitted(marked.join(fitted(head, rows), "v"), rows)
         return (
-            marked.join(head.select("v", "head.id", "head.c").toDF("v", "b", "cb"), "v")
-            .where("id <> b AND c <> cb")
+            met.where("id <> b AND c <> cb")
             .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
             .distinct()
         )
 
-    first = with_leader(lists.withColumn("c", F.col("id")), F.min(F.struct("id", "c")))
-    edges = confirmed(first)
-    left = saved(open_lists(labelled(edges, lists)))
-    if not left.isEmpty():
+    first = with_leader(lists.withColumn("c", F.col("id")), F.min(F.struct("id", "c")), listed)
+    of = components(confirmed(first, listed))
+    left, torn = open_lists(labelled(of), listed)
+    if torn:
         seeded = F.min_by(F.struct("id", "c"), F.xxhash64("v", "id"))
-        edges = edges.union(confirmed(with_leader(left, seeded)))
-        placed = saved(open_lists(labelled(edges, lists)).select("id", "c").distinct())
+        # components hang on their smallest id, so what joins them later starts from stars
+        of = components(_tied(of).union(confirmed(with_leader(left, seeded, torn), torn)))
+        placed, torn = open_lists(labelled(of), listed)
+    if torn:
+        placed = saved(fitted(placed.select("id", "c"), torn).distinct())
         open_ids = placed.select("id")
         sizes = F.col("n").alias("size"), F.ceil(F.col("n") * percent / 100).cast("int").alias("needed")
         sets = saved(full_sets(open_ids))
-        whole = _lists(
+        whole, rows = _lists(
             sets.join(placed, "id").select("id", "c", F.explode("shingles").alias("v")),
             reps.join(open_ids, "id", "left_semi").select("id", *sizes),
         )
-        left = open_lists(whole.join(placed, "id"))
+        left, rows = open_lists(fitted(whole.join(placed, "id"), rows), rows)
         left = left.join(reps.select("id", "n"), "id").join(sets.select("id", *_WHOLE_BITS), "id")
         rest = (
-            _cells(saved(left)).repartition(*_CELL).sortWithinPartitions(*_CELL)
+            _cells(left, rows).repartition(*_CELL).sortWithinPartitions(*_CELL)
             .mapInArrow(_compare(percent), "a long, b long").distinct()
         )
-        edges = edges.union(confirmed(saved(rest)))
-    edges = edges.distinct()
+        rest, pairs = saved_small(rest)
+        of = components(_tied(of).union(confirmed(rest, pairs)))
 
-    degree = (
-        edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    # classes are named by their smallest key, so a component's smallest class is its smallest key
+    counts = sketched.agg(F.count("*").alias("n"), F.max("id").alias("last")).first()
+    named = classes.select(*key, "id").join(of, "id", "left").select(
+        *key, F.coalesce("component", "id").alias("c")
     )
-    # classes are named by their smallest id, so a component's smallest class is its smallest id
-    of = components(edges).withColumnRenamed("id", "rep")
-    placed = member.join(of.join(degree, "rep"), "rep", "left").select(
-        "id", F.coalesce("component", "rep").alias("c"), "links"
-    )
-    return (
-        sketched.select("id", "n_shingles").dropDuplicates(["id"]).join(placed, "id", "left")
-        .select(
-            F.col("id").alias(id_col),
-            "n_shingles",
-            F.coalesce("c", "id").alias("component_id"),
-            (F.col("id") == F.coalesce("c", "id")).alias("kept"),
-            F.coalesce("links", F.lit(0)).cast("long").alias("links"),
-        )
+    once = sketched.select("id", "own", *key).dropDuplicates(["id"])
+    out = once.join(fitted(named, counts.n), key, "left").withColumn("c", F.coalesce("c", "id"))
+    if counts.n and counts.last >= FIRST_MADE:
+        smallest = out.groupBy("c").agg(F.min("own").alias("component_id"))
+        out = out.join(fitted(smallest, counts.n), "c")
+    else:
+        out = out.withColumn("component_id", F.col("c"))
+    return out.select(
+        F.col("own").alias(id_col),
+        "n_shingles",
+        "component_id",
+        F.coalesce(F.col("own") == F.col("component_id"), F.col("id") == F.col("c")).alias("kept"),
     )
+
+
+def _tied(of: DataFrame) -> DataFrame:
+    return of.select(F.col("id").alias("a"), F.col("component").alias("b"))

@@ -24,6 +24,23 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows in a partition of a small table, at least while it has more than ``FEWEST`` partitions.
+ROWS, FEWEST = 4_096, 8
+
+
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most ``rows`` rows in no more partitions than they need. Shuffles write files
+    per partition that feeds them, however few the rows."""
+    return df.coalesce(max(FEWEST, -(-rows // ROWS)))
+
+
+def saved_small(df: DataFrame) -> tuple[DataFrame, int]:
+    """``saved`` and ``fitted``, with the number of rows."""
+    out = saved(df)
+    rows = out.count()
+    return fitted(out, rows), rows
+
+
 def shared(spark: SparkSession, model) -> Broadcast:
     """A broadcast that ``opened`` reads in tasks. Spark pickles broadcasts by reference; this one
     carries its classes with it, so executors need no copy of this package."""
