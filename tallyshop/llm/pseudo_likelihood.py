@@ -4,7 +4,8 @@ A small network looks at the ``SIDE`` words on either side of a word and predict
 vectors, a tanh layer, a softmax over word classes. The most frequent words are classes of
 their own, all others share hashed ones, within which a word has its share of the corpus
 counts. The log-probabilities of all words of a text, each given its neighbours, sum to
-the text's score.
+the text's score. Texts are cut into words twice: to count them, and to number them; training
+and scoring read the numbers, two bytes a word.
 
 The vocabulary counts every word of the corpus. Words beyond the numbered ones have a class of
 their own together, and their counts, a table that grows with the corpus, are joined when texts
@@ -17,6 +18,7 @@ sum. So what is gathered grows with the corpus, and what the driver gets is one
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,26 +85,45 @@ def vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
     ), counts
 
 
-def _numbered(hashes: np.ndarray, vocab: Vocabulary):
-    """Per word: its vector, its class and the log-share in the class."""
-    vector = VOCABULARY + 1 + (hashes % np.uint64(_RARE)).astype(np.int64)
-    classes = np.full(len(hashes), _CLASSES - 1)
-    share = np.full(len(hashes), vocab.rare)
+def _numbers(hashes: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """The number of each word: its rank, or for one beyond the vocabulary ``_EDGE + 1`` and more."""
+    out = _EDGE + 1 + (hashes % np.uint64(_RARE)).astype(np.int16)
     if len(vocab.hashes):
         at = np.minimum(np.searchsorted(vocab.hashes, hashes), len(vocab.hashes) - 1)
         known = vocab.hashes[at] == hashes
-        number = vocab.number[at[known]]
-        vector[known] = number
-        classes[known] = vocab.classes[number]
-        share[known] = vocab.log_share[number]
-    return vector, classes, share
-
-
-def _padded(vector: np.ndarray, found: W.Words) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors' numbers with ``SIDE`` edges around each text, and where each word is in them."""
-    at = np.arange(len(vector)) + SIDE * (found.owner() + 1)
-    out = np.full(len(vector) + SIDE * (found.texts + 1), _EDGE)
-    out[at] = vector
+        out[known] = vocab.number[at[known]]
+    return out
+
+
+def _of_numbers(vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Per number: its class, and the log-share in the class."""
+    known, numbers = len(vocab.classes), VOCABULARY + 1 + _RARE
+    classes, share = np.full(numbers, _CLASSES - 1), np.full(numbers, vocab.rare)
+    classes[:known], share[:known] = vocab.classes, vocab.log_share
+    return classes, share
+
+
+#: Words whose contexts are held at once, at least one text.
+_PART = 1 << 17
+
+
+def _parts(column: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(from, to, numbers, first)`` for runs of texts, ``first`` where each text's words begin."""
+    offsets, values = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy()
+    at = 0
+    while at < len(column):
+        to = int(np.searchsorted(offsets, offsets[at] + _PART, side="right")) - 1
+        to = min(max(to, at + 1), len(column))
+        yield at, to, values[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        at = to
+
+
+def _padded(numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers with ``SIDE`` edges around each text, and where each word is in them."""
+    texts = len(first) - 1
+    at = np.arange(len(numbers)) + np.repeat(SIDE * np.arange(1, texts + 1), np.diff(first))
+    out = np.full(len(numbers) + SIDE * (texts + 1), _EDGE, np.int16)
+    out[at] = numbers
     return out, at
 
 
@@ -115,7 +136,7 @@ def initial(seed: int = 23) -> dict[str, np.ndarray]:
 
 
 def _forward(net: dict, context: np.ndarray):
-    x = net["vectors"][context].reshape(len(context), -1)
+    x = net["vectors"].take(context, axis=0).reshape(len(context), -1)
     h = np.tanh(x @ net["w1"] + net["b1"])
     z = h @ net["w2"]
     z += net["b2"]
@@ -139,34 +160,32 @@ def _learn(net: dict, context: np.ndarray, target: np.ndarray, rate: float) -> N
         pull = (back @ net["w1"].T).reshape(-1, SIZE)
         net["w1"] -= x.T @ back
         net["b1"] -= back.sum(0)
-        order = np.argsort(c, axis=None, kind="stable")
-        number, begin = np.unique(c.ravel()[order], return_index=True)
-        net["vectors"][number] -= 8 * np.add.reduceat(pull[order], begin, axis=0)
+        flat = c.ravel()
+        order = flat.argsort(kind="stable")
+        number = flat[order]
+        begin = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+        net["vectors"][number[begin]] -= 8 * np.add.reduceat(pull[order], begin, axis=0)
 
 
-def _round_of(hashes: np.ndarray, inside: np.ndarray) -> np.ndarray:
+def _round_of(numbers: np.ndarray, inside: np.ndarray) -> np.ndarray:
     """The one round in which each word, at its place inside its text, is a target."""
-    return (W.mix(hashes + inside.astype(np.uint64)) % np.uint64(ROUNDS)).astype(np.int64)
+    return (W.mix(numbers.astype(np.uint64) + (inside.astype(np.uint64) << np.uint64(16))) % np.uint64(ROUNDS)).astype(np.int64)
 
 
 def _train_copies(round_: int):
     def run(state, batches):
         vocab, start = state
         net, seen = {k: v.copy() for k, v in start.items()}, 0
+        classes, _ = _of_numbers(vocab)
         for batch in batches:
-            for _, _, data, offsets in W.slices(batch.column("text")):
-                found = W.find_words(data, offsets, W.ALNUM)
-                if len(found.starts) == 0:
-                    continue
-                hashes = found.hashes(W.ALNUM)
-                vector, classes, _ = _numbered(hashes, vocab)
-                inside = np.arange(len(vector)) - np.repeat(found.first[:-1], found.counts())
+            for _, _, numbers, first in _parts(batch.column("numbers")):
+                inside = np.arange(len(numbers)) - np.repeat(first[:-1], np.diff(first))
                 # the round in which a word is masked depends on the word and its place only
-                places = np.flatnonzero(_round_of(hashes, inside) == round_)
+                places = np.flatnonzero(_round_of(numbers, inside) == round_)
                 if len(places) == 0:
                     continue
-                padded, at = _padded(vector, found)
-                _learn(net, padded[at[places, None] + _STEPS], classes[places], 0.5 / (1 + round_))
+                padded, at = _padded(numbers, first)
+                _learn(net, padded[at[places, None] + _STEPS], classes[numbers[places]], 0.5 / (1 + round_))
                 seen += len(places)
         if seen:
             flat = np.concatenate([net[k].ravel() for k in _SHAPES]).astype(np.float64)
@@ -178,19 +197,71 @@ def _train_copies(round_: int):
     return run
 
 
+def numbered(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, key, numbers, words, times, copies)`` for every row, saved: a hash of the text, the
+    numbers of its words and, in one of the rows of a slice with equal texts, the words beyond
+    the vocabulary with ``times`` summed over those rows, and their number."""
+    held, kind = shared(docs.sparkSession, vocab), docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        yield from _numbered(opened(held), batches)
+
+    return saved(
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+            run,
+            f"id {kind}, key long, numbers array<smallint>, words array<long>, times array<long>, copies long",
+        )
+    )
+
+
+def _numbered(vocab: Vocabulary, batches):
+    for batch in batches:
+        for lo, hi, data, offsets in W.slices(batch.column("text")):
+            found = W.find_words(data, offsets, W.ALNUM)
+            hashes = found.hashes(W.ALNUM)
+            numbers, keys = _numbers(hashes, vocab), _text_keys(data, offsets)
+            _, of, same = np.unique(keys, return_index=True, return_inverse=True)
+            copies = np.zeros(len(keys), np.int64)
+            copies[of] = np.bincount(same)
+            rare = (numbers > _EDGE) & (copies > 0)[found.owner()]
+            owner, word = found.owner()[rare], hashes[rare].view(np.int64)
+            order = np.lexsort((word, owner))
+            owner, word = owner[order], word[order]
+            new = np.ones(len(owner), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])
+            times = np.diff(np.append(np.flatnonzero(new), len(owner))) * copies[owner[new]]
+            held = np.bincount(owner[new], minlength=len(keys))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id").slice(lo, hi - lo),
+                    pa.array(keys),
+                    W.list_array(pa.array(numbers), found.counts()),
+                    W.list_array(pa.array(word[new]), held),
+                    W.list_array(pa.array(times), held),
+                    pa.array(copies),
+                ],
+                ["id", "key", "numbers", "words", "times", "copies"],
+            )
+
+
 def fit(docs: DataFrame, text_col: str = "text", seed: int = 23) -> tuple[Vocabulary, dict, DataFrame]:
     """Vocabulary, network and word counts of a corpus. A corpus without words keeps the initial
     network."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    (vocab, counts), net = vocabulary(texts), initial(seed)
+    texts = docs.select(F.lit(0).alias("id"), F.col(text_col).cast("string").alias("text"))
+    vocab, counts = vocabulary(texts)
+    return vocab, _trained(numbered(texts, vocab, "id", "text"), vocab, seed), counts
+
+
+def _trained(corpus: DataFrame, vocab: Vocabulary, seed: int) -> dict:
+    net = initial(seed)
     for round_ in range(ROUNDS):
-        held, train = shared(docs.sparkSession, (vocab, net)), _train_copies(round_)
+        held, train = shared(corpus.sparkSession, (vocab, net)), _train_copies(round_)
 
         def run(batches, held=held, train=train):
             yield from train(opened(held), batches)
 
         mean = (
-            texts.mapInArrow(run, "i long, v double, n long")
+            corpus.select("numbers").mapInArrow(run, "i long, v double, n long")
             .groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas().sort_values("i")
         )
         if len(mean):
@@ -198,21 +269,22 @@ def fit(docs: DataFrame, text_col: str = "text", seed: int = 23) -> tuple[Vocabu
             for k, shape in _SHAPES.items():
                 net[k] = flat[at : at + int(np.prod(shape))].reshape(shape)
                 at += int(np.prod(shape))
-    return vocab, net, counts
+    return net
 
 
-def word_scores(found: W.Words, vocab: Vocabulary, net: dict) -> np.ndarray:
+def word_scores(numbers: np.ndarray, first: np.ndarray, vocab: Vocabulary, net: dict) -> np.ndarray:
     """The conditional log-probability of each word, one beyond the vocabulary as if it occurred
     once."""
-    vector, classes, share = _numbered(found.hashes(W.ALNUM), vocab)
-    padded, at = _padded(vector, found)
-    out, ones = np.empty(len(vector)), np.ones(_CLASSES, np.float32)
-    for a in range(0, len(vector), 1 << 11):
+    classes, share = _of_numbers(vocab)
+    padded, at = _padded(numbers, first)
+    out, ones = np.empty(len(numbers)), np.ones(_CLASSES, np.float32)
+    target = classes[numbers]
+    for a in range(0, len(numbers), 1 << 11):
         part = slice(a, a + (1 << 11))
         _, _, z = _forward(net, padded[at[part, None] + _STEPS])
-        own = z[np.arange(len(z)), classes[part]]
+        own = z[np.arange(len(z)), target[part]]
         out[part] = own - np.log(np.exp(z, out=z) @ ones)
-    return out + share
+    return out + share[numbers]
 
 
 def _text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -229,53 +301,19 @@ def _text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _score(state, batches):
     vocab, net = state
     for batch in batches:
-        for lo, hi, data, offsets in W.slices(batch.column("text")):
-            found = W.find_words(data, offsets, W.ALNUM)
-            total = np.concatenate([[0.0], np.cumsum(word_scores(found, vocab, net))])[found.first]
+        for lo, hi, numbers, first in _parts(batch.column("numbers")):
+            total = np.concatenate([[0.0], np.cumsum(word_scores(numbers, first, vocab, net))])[first]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").slice(lo, hi - lo),
-                    pa.array(_text_keys(data, offsets)),
-                    pa.array(found.counts(), pa.int64()),
+                    batch.column("key").slice(lo, hi - lo),
+                    pa.array(np.diff(first)),
                     pa.array(np.diff(total)),
                 ],
                 ["id", "key", "n_tokens", "base"],
             )
 
 
-def _beyond(vocab: Vocabulary, batches):
-    """``(key, word, times, copies)``: the words beyond the vocabulary of each text of a slice,
-    with ``times`` summed over its copies, and a row with the number of copies (``times`` 0)."""
-    for batch in batches:
-        for _, _, data, offsets in W.slices(batch.column("text")):
-            found = W.find_words(data, offsets, W.ALNUM)
-            hashes = found.hashes(W.ALNUM)
-            rare = np.ones(len(hashes), bool)
-            if len(vocab.hashes):
-                at = np.minimum(np.searchsorted(vocab.hashes, hashes), len(vocab.hashes) - 1)
-                rare = vocab.hashes[at] != hashes
-            owner = found.owner()[rare]
-            if len(owner) == 0:
-                continue
-            keys, word = _text_keys(data, offsets), hashes[rare].view(np.int64)
-            own = keys[owner]
-            order = np.lexsort((word, own))
-            own, word = own[order], word[order]
-            new = np.ones(len(own), bool)
-            new[1:] = (own[1:] != own[:-1]) | (word[1:] != word[:-1])
-            times = np.diff(np.append(np.flatnonzero(new), len(own)))
-            texts, copies = np.unique(keys[np.unique(owner)], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([own[new], texts])),
-                    pa.array(np.concatenate([word[new], texts])),
-                    pa.array(np.concatenate([times, np.zeros(len(texts), np.int64)])),
-                    pa.array(np.concatenate([np.zeros(len(times), np.int64), copies])),
-                ],
-                ["key", "word", "times", "copies"],
-            )
-
-
 def score(
     docs: DataFrame, fitted: tuple[Vocabulary, dict, DataFrame], id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -288,21 +326,35 @@ def score(
     and other columns make no difference: counts are joined by the text's hash, and equal
     texts have equal scores. Texts are read whole.
     """
+    return _scored(numbered(docs, fitted[0], id_col, text_col), fitted, id_col)
+
+
+def fit_and_score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 23
+) -> DataFrame:
+    """``score`` of a corpus by the network fitted on itself, with its words numbered once."""
+    vocab, counts = vocabulary(docs.select(F.col(text_col).cast("string").alias("text")))
+    corpus = numbered(docs, vocab, id_col, text_col)
+    return _scored(corpus, (vocab, _trained(corpus, vocab, seed), counts), id_col)
+
+
+def _scored(corpus: DataFrame, fitted: tuple[Vocabulary, dict, DataFrame], id_col: str) -> DataFrame:
     vocab, net, counts = fitted
-    held = shared(docs.sparkSession, (vocab, net))
+    held, kind = shared(corpus.sparkSession, (vocab, net)), corpus.schema["id"].dataType.simpleString()
 
     def run(batches):
         yield from _score(opened(held), batches)
 
-    def list_beyond(batches):
-        yield from _beyond(opened(held)[0], batches)
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    scored = texts.mapInArrow(run, f"id {kind}, key long, n_tokens long, base double")
+    scored = corpus.select("id", "key", "numbers").mapInArrow(
+        run, f"id {kind}, key long, n_tokens long, base double"
+    )
     often = counts.where("n > 1").select("word", F.log("n").alias("log_n"))
+    beyond = corpus.select("key", "copies", F.posexplode(F.arrays_zip("words", "times")).alias("at", "x"))
     extra = (
-        texts.select("text").mapInArrow(list_beyond, "key long, word long, times long, copies long")
+        beyond.select(
+            "key", F.col("x.words").alias("word"), F.col("x.times").alias("times"),
+            F.when(F.col("at") == 0, F.col("copies")).alias("copies"),
+        )
         .join(often, "word", "left")
         .groupBy("key")
         .agg((F.sum(F.col("times") * F.coalesce("log_n", F.lit(0.0))) / F.sum("copies")).alias("extra"))

@@ -95,8 +95,8 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
+    """Every document scored by the network fitted on all of them."""
+    return pseudo_likelihood.fit_and_score(_table(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

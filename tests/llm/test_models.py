@@ -151,6 +151,17 @@ def test_pseudo_likelihood_of_odd_input(docs, no_docs, clashing, texts):
     assert len(pseudo_likelihood.score(docs, pseudo_likelihood.fit(no_docs)).collect()) == len(texts)
 
 
+def test_fit_and_score_of_repeated_texts(docs, texts):
+    """Equal texts, within and across slices, have equal scores; tokens are those of ``score``."""
+    corpus = docs.select("doc_id", "text").union(docs.selectExpr("doc_id + 1000", "text")).repartition(2)
+    got = {r.doc_id: r for r in pseudo_likelihood.fit_and_score(corpus).collect()}
+    plain = {r.doc_id: r for r in pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs)).collect()}
+    assert len(got) == 2 * len(texts)
+    for i, r in got.items():
+        assert r.n_tokens == plain[i % 1000].n_tokens
+        assert r.pseudo_log_likelihood == pytest.approx(got[i % 1000].pseudo_log_likelihood, abs=1e-6)
+
+
 def test_word_scores_against_definition():
     """Softmax over classes times the share in the class, word by word."""
     words = "a b c a b d".split()
@@ -160,7 +171,7 @@ def test_word_scores_against_definition():
     known = np.sort(np.unique(hashes)[:3])
     vocab = pseudo_likelihood.Vocabulary(known, np.arange(3), np.arange(3), np.log(np.array([0.5, 1.0, 0.25])), -1.5)
     net = pseudo_likelihood.initial()
-    got = pseudo_likelihood.word_scores(found, vocab, net)
+    got = pseudo_likelihood.word_scores(pseudo_likelihood._numbers(hashes, vocab), found.first, vocab, net)
     number = {int(h): i for i, h in enumerate(known)}
 
     def vector(i):

@@ -101,7 +101,8 @@ def test_each_word_is_a_target_once(monkeypatch):
     vocab = pseudo_likelihood.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int), np.zeros(0), -1.0)
     seen = []
     monkeypatch.setattr(pseudo_likelihood, "_learn", lambda net, context, target, rate: seen.append(len(target)))
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
+    (batch,) = pseudo_likelihood._numbered(vocab, [rows])
     for round_ in range(pseudo_likelihood.ROUNDS):
         list(pseudo_likelihood._train_copies(round_)((vocab, pseudo_likelihood.initial()), [batch]))
     assert sum(seen) == count
