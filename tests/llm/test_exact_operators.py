@@ -68,6 +68,20 @@ def test_near_duplicates_of_odd_tables(docs, no_docs, clashing):
     assert sorted(plain.collect()) == sorted(twice.collect())
 
 
+def test_near_duplicates_under_null_and_shared_ids(spark):
+    """Rows equal in id and text are one; other rows are documents of their own."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    c = " ".join(f"c{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, a), (None, c), (None, c + " more"), (7, "x y"), (7, "x y"), (8, None)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        got = near_duplicates.near_duplicates(df, shingle_words=4).collect()
+        found = sorted(((r.doc_id, r.component_id) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[1] or 0))
+        assert found == [(1, 1), (1, 1), (2, 1), (3, 1), (7, 7), (8, 8), (None, None), (None, None), (None, 1)]
+        assert sorted(r.doc_id for r in got if r.kept and r.doc_id is not None) == [1, 1, 7, 8]
+        assert [r.component_id for r in got if r.kept and r.doc_id is None] == [None]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (200, 201)]
     got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
