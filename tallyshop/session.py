@@ -11,17 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 # A shuffle holds (scan tasks x shuffle partitions) blocks, so both are bounded:
 # beyond these numbers tasks get larger and spill, instead of blocks getting tiny.
-# They are the defaults of ``tune``; a larger cluster gives larger ones.
-SHUFFLE_PARTITION_BYTES = 256 << 20
+# They are the defaults of ``tune``; a larger cluster gives larger ones. What a task sorts and
+# hashes takes up to 20 times the shuffled bytes it reads, so those are bounded as well.
+SHUFFLE_PARTITION_BYTES = 16 << 20
 SHUFFLE_PARTITIONS = 16_384
 SCAN_TASKS = 200_000
 SCAN_BYTES = 1 << 30
+TASK_BYTES = 16 << 20
 # Without it, blocks of a hot key are reported by the average of all small blocks once a
 # shuffle has thousands of partitions, and adaptive execution does not see the key.
 ACCURATE_BLOCKS = "spark.shuffle.accurateBlockSkewedFactor"
 
 _INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 _SCAN_BYTES = "spark.sql.files.maxPartitionBytes"
+_TASK_BYTES = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+_SKEWED_BYTES = "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"
 
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 
@@ -47,13 +51,17 @@ def tune(
     max_shuffle_partitions: int = SHUFFLE_PARTITIONS,
     max_scan_tasks: int = SCAN_TASKS,
     max_scan_bytes: int = SCAN_BYTES,
+    max_task_bytes: int = TASK_BYTES,
 ) -> None:
     """Prepare a session for adaptive execution on skewed and large inputs.
 
     * A skewed join is split even where a later aggregation would have reused
       its partitioning; that costs one more exchange, and only when skew is seen.
+    * Adaptive execution merges shuffle partitions, and splits skewed ones, to tasks that read
+      ``max_task_bytes``; a partition counts as skewed from four times that. Smaller settings
+      of the session stay.
     * Shuffles start with enough partitions for the input ``largest`` to be near
-      256 MB each; adaptive execution merges the small ones afterwards. The
+      16 MB each; adaptive execution merges the small ones afterwards. The
       session's own ``spark.sql.shuffle.partitions`` is the floor.
       At most ``max_shuffle_partitions`` are asked for.
     * Scans that would have more than ``max_scan_tasks`` tasks read larger splits, up to
@@ -67,6 +75,9 @@ def tune(
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    for key, most in ((_TASK_BYTES, max_task_bytes), (_SKEWED_BYTES, 4 * max_task_bytes)):
+        if parse_bytes(spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
     context = spark.sparkContext
     if not context.master.startswith("local") and float(context.getConf().get(ACCURATE_BLOCKS, "-1")) <= 0:
         warnings.warn(f"{ACCURATE_BLOCKS} is off: hot join keys may stay unsplit", stacklevel=2)

@@ -1,7 +1,10 @@
 """Operators against their plain definitions."""
 
+import math
 import random
+from collections import Counter
 from decimal import Decimal
+from functools import partial
 
 import pytest
 from pyspark.sql import Window
@@ -320,6 +323,70 @@ def test_tune_sizes_shuffles_from_the_input(spark, golden, monkeypatch):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@pytest.fixture
+def task_settings(spark):
+    keys = (
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst",
+    )
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.unset(k)
+    yield keys
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_tune_bounds_what_a_task_reads(spark, golden, task_settings, monkeypatch):
+    from tallyshop import session
+
+    read, skewed, initial = task_settings[:3]
+    monkeypatch.setattr(session, "input_bytes", lambda df: 4 * 10**9)
+    tune(spark, golden.order_items)
+    assert parse_bytes(spark.conf.get(read)) == 16 << 20
+    assert parse_bytes(spark.conf.get(skewed)) == 64 << 20
+    # 16 MB of input each, so that 64 MB are not left to a task that cannot be split
+    assert int(spark.conf.get(initial)) == math.ceil(4 * 10**9 / (16 << 20))
+    spark.conf.set(read, "8MB")
+    spark.conf.set(skewed, "32MB")
+    tune(spark, golden.order_items)
+    assert (spark.conf.get(read), spark.conf.get(skewed)) == ("8MB", "32MB")
+
+
+@pytest.mark.parametrize("name", ["revenue_by_brand"])
+def test_lines_of_ten_times_the_orders_make_no_larger_task(spark, task_settings, tmp_path, monkeypatch, name):
+    """Distinct orders per group: the rows that one task sorts and hashes do not grow with the table."""
+    from tallyshop import read_tables, session
+    from tallyshop.operators import valid_lines
+    from tallyshop.plans import REPORTS, sales
+    from tests.fixtures import _save, random_tables
+
+    read, _, initial, least, parallel = task_settings
+    monkeypatch.setattr(session, "tune", partial(tune, max_task_bytes=8 << 10))
+    broadcast = "spark.sql.autoBroadcastJoinThreshold"
+    unchanged = spark.conf.get(broadcast)
+    for k, v in ((initial, "64"), (least, "1KB"), (parallel, "false"), (broadcast, "-1")):
+        spark.conf.set(k, v)
+    try:
+        largest = []
+        for n in (600, 6000):
+            t = read_tables(spark, _save(str(tmp_path / str(n)), random_tables(5, n_orders=n)))
+            names = sales.product_brand(t) if name == "revenue_by_brand" else sales.product_category(t)
+            lines = valid_lines(t, t.order_items.join(names, "product_id"))
+            counts = lines.groupBy(F.spark_partition_id()).count().select("count").collect()
+            largest.append(max(r[0] for r in counts))
+            got = REPORTS[name](t).select(name.split("_by_")[1] + "_name", "num_orders").collect()
+            key = got[0].__fields__[0]
+            pairs = Counter(r[0] for r in lines.select(key, "order_id").distinct().collect())
+            assert {r[0]: r[1] for r in got} == pairs
+        assert largest[1] <= 2 * largest[0]
+    finally:
+        spark.conf.set(broadcast, unchanged)
+
+
 @pytest.mark.parametrize("configured", ["/shared/checkpoints", None])
 def test_checkpoint_folder_comes_from_the_session(configured):
     class Context:
