@@ -356,7 +356,7 @@ def test_tune_bounds_what_a_task_reads(spark, golden, task_settings, monkeypatch
     assert (spark.conf.get(read), spark.conf.get(skewed)) == ("8MB", "32MB")
 
 
-@pytest.mark.parametrize("name", ["revenue_by_brand"])
+@pytest.mark.parametrize("name", ["revenue_by_brand", "revenue_by_category"])
 def test_lines_of_ten_times_the_orders_make_no_larger_task(spark, task_settings, tmp_path, monkeypatch, name):
     """Distinct orders per group: the rows that one task sorts and hashes do not grow with the table."""
     from tallyshop import read_tables, session
