@@ -272,6 +272,11 @@ def _trained(corpus: DataFrame, vocab: Vocabulary, seed: int) -> dict:
     return net
 
 
+#: Rows of each product of matrices when words are scored. One size for all, as others round
+#: otherwise, so that a word's score does not depend on what is scored beside it.
+_ROWS = 1 << 11
+
+
 def word_scores(numbers: np.ndarray, first: np.ndarray, vocab: Vocabulary, net: dict) -> np.ndarray:
     """The conditional log-probability of each word, one beyond the vocabulary as if it occurred
     once."""
@@ -279,11 +284,14 @@ def word_scores(numbers: np.ndarray, first: np.ndarray, vocab: Vocabulary, net:
     padded, at = _padded(numbers, first)
     out, ones = np.empty(len(numbers)), np.ones(_CLASSES, np.float32)
     target = classes[numbers]
-    for a in range(0, len(numbers), 1 << 11):
-        part = slice(a, a + (1 << 11))
-        _, _, z = _forward(net, padded[at[part, None] + _STEPS])
-        own = z[np.arange(len(z)), target[part]]
-        out[part] = own - np.log(np.exp(z, out=z) @ ones)
+    for a in range(0, len(numbers), _ROWS):
+        part = slice(a, a + _ROWS)
+        context = np.full((_ROWS, len(_STEPS)), _EDGE, np.int16)
+        words = len(target[part])
+        context[:words] = padded[at[part, None] + _STEPS]
+        _, _, z = _forward(net, context)
+        own = z[np.arange(words), target[part]]
+        out[part] = own - np.log(np.exp(z, out=z) @ ones)[:words]
     return out + share[numbers]
 
 

@@ -188,6 +188,19 @@ def test_word_scores_against_definition():
         assert got[i] == pytest.approx(z[c] - np.log(np.exp(z).sum()) + share, abs=1e-4)
 
 
+def test_word_scores_do_not_depend_on_what_is_scored_beside():
+    """The same words have the same scores to the last bit, wherever they stand in a task's words."""
+    rng = np.random.default_rng(1)
+    vocab = pseudo_likelihood.Vocabulary(np.arange(200, dtype=np.uint64), np.arange(200), np.arange(200) % 150, np.zeros(200), -3.0)
+    net = pseudo_likelihood.initial()
+    words = rng.integers(0, 200, 37)
+    alone = pseudo_likelihood.word_scores(words, np.array([0, 37]), vocab, net)
+    for n in range(2000, 2060):
+        beside = np.concatenate([rng.integers(0, 200, n), words])
+        got = pseudo_likelihood.word_scores(beside, np.array([0, n, n + 37]), vocab, net)[n:]
+        assert (got == alone).all(), n
+
+
 def test_licenses(spark, docs, no_docs, clashing, texts):
     notices = [
         (1, "Some text here.\nLicensed under the Apache License, Version 2.0.\nMore prose.", ["apache"]),
